@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,31 +11,46 @@ from clausegrid import constants as K
 from clausegrid.functions.text import col, normalize_for_compare
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it several times in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bigrams(text: Column) -> Column:
     """Character bigrams of a string; empty when shorter than two characters."""
-    n = F.length(text)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))
-    )
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return let(chars, lambda c: F.when(F.size(c) < 2, F.array().cast("array<string>")).otherwise(
+        F.zip_with(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(2), F.size(c)), lambda x, y: F.concat(x, y))))
 
 
 def _numbered(grams: Column) -> Column:
     """Tag each gram with its occurrence number, so that set intersection counts a multiset."""
-    ordered = F.array_sort(grams)
-    return F.transform(
-        ordered, lambda g, i: F.concat(g, (i.cast("long") - F.array_position(ordered, g)).cast("string"))
-    )
+    return let(F.array_sort(grams), lambda o: F.transform(
+        o, lambda g, i: F.concat(g, (i.cast("long") - F.array_position(o, g)).cast("string"))))
 
 
-def dice_of_normalized(na: Column, nb: Column) -> Column:
-    shared = F.size(F.array_intersect(_numbered(bigrams(na)), _numbered(bigrams(nb))))
+def dice_of_numbered(na: Column, ga: Column, nb: Column, gb: Column) -> Column:
+    """Dice from two normalised texts and their numbered bigrams (all evaluated already)."""
     return (
         F.when(na == nb, F.lit(1.0))
         .when((F.length(na) < 2) | (F.length(nb) < 2), F.lit(0.0))
-        .otherwise(F.lit(2.0) * shared / (F.length(na) + F.length(nb) - 2))
+        .otherwise(F.lit(2.0) * F.size(F.array_intersect(ga, gb)) / (F.length(na) + F.length(nb) - 2))
     )
 
 
+def dice_of_normalized(na: Column, nb: Column) -> Column:
+    return let(na, lambda a: let(nb, lambda b: dice_of_numbered(a, _numbered(bigrams(a)), b, _numbered(bigrams(b)))))
+
+
+def profile(text: Column | str) -> Column:
+    """Normalised text with its numbered bigrams, for repeated comparison."""
+    return let(normalize_for_compare(text), lambda n: F.struct(n.alias("n"), _numbered(bigrams(n)).alias("g")))
+
+
+def dice_of_profiles(a: Column, b: Column) -> Column:
+    return dice_of_numbered(a["n"], a["g"], b["n"], b["g"])
+
+
 def dice(a: Column | str, b: Column | str) -> Column:
     """Dice coefficient on multiset bigrams of normalised text; meant for short spans."""
     return dice_of_normalized(normalize_for_compare(a), normalize_for_compare(b))
@@ -90,21 +107,21 @@ def numeric_ok(value: Column | str, quote: Column | str) -> Column:
     value, quote = col(value), col(quote)
     claimed = F.regexp_extract_all(value, F.lit(r"\d[\d,\.]*"), F.lit(0))
     in_quote = F.transform(
-        F.regexp_extract_all(quote, F.lit(r"\d[\d,\.]*"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit(""))
-    )
-    low = F.lower(F.translate(quote, "\u2018\u2019", "''"))
-    spelled = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(d)) for w, d in K.NUMBER_WORDS]))
+        F.regexp_extract_all(quote, F.lit(r"\d[\d,\.]*"), F.lit(0)), lambda n: F.replace(n, F.lit(","), F.lit("")))
+    lowered = F.lower(F.translate(quote, "\u2018\u2019", "''"))
+    spelled = F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(w)), F.lit(d)) for w, d in K.NUMBER_WORDS]))
+    facts = F.struct(in_quote.alias("digits"), spelled.alias("spelled"), lowered.alias("low"))
 
-    def found(n: Column) -> Column:
+    def found(n: Column, f: Column) -> Column:
         clean = F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), r"\.\z", "")
         digits = F.regexp_replace(F.regexp_extract(clean, r"^\d+", 0), "^0+", "")
         whole = F.when(digits == "", F.lit("0")).otherwise(digits)
         return (
-            F.array_contains(in_quote, clean) | F.array_contains(in_quote, whole)
-            | F.array_contains(spelled, whole) | F.contains(low, clean)
+            F.array_contains(f["digits"], clean) | F.array_contains(f["digits"], whole)
+            | F.array_contains(f["spelled"], whole) | F.contains(f["low"], clean)
         )
 
-    return F.coalesce(F.forall(claimed, found), F.lit(True))
+    return F.coalesce(let(facts, lambda f: F.forall(claimed, lambda n: found(n, f))), F.lit(True))
 
 
 def _unit(c: Column) -> Column:

@@ -154,23 +154,25 @@ def segment_outcome(clauses: DataFrame) -> DataFrame:
 def chunk(clauses: DataFrame, pages: DataFrame, target: int = K.CHUNK_WORDS, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
     """Overlapping word windows over each clause, numbered through the document."""
     step = target - overlap
-    listed = clauses.withColumn("w", T.words("text")).withColumn("n", F.size("w")).filter("n > 0")
+    ws = f"[{K.WS}]+"
+    listed = clauses.withColumns({
+        "raw": F.split("text", ws, -1), "gaps": F.regexp_extract_all("text", F.lit(ws), F.lit(0))})
+    listed = (listed.withColumns({"w": F.filter("raw", lambda x: x != ""), "lead": F.when(F.get("raw", F.lit(0)) == "", 1).otherwise(0)})
+              .withColumn("n", F.size("w")).filter("n > 0"))
     windows = listed.withColumn(
         "i", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.col("n") - target) / step)).cast("int"))))
     first = F.col("i") * step
     count = F.least(F.lit(target), F.col("n") - first)
     piece = F.array_join(F.slice("w", first + 1, count), " ")
-    raw, gaps = F.split("text", f"[{K.WS}]+", -1), F.regexp_extract_all("text", F.lit(f"[{K.WS}]+"), F.lit(0))
-    before = first + F.when(F.get(raw, F.lit(0)) == "", 1).otherwise(0)
 
-    def total(parts: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), before), F.lit(0), lambda a, x: a + F.length(x))
+    def total(parts: str) -> Column:
+        return F.aggregate(F.slice(parts, F.lit(1), first + F.col("lead")), F.lit(0), lambda a, x: a + F.length(x))
 
     rows = windows.select(
         "dv_id", "clause_id", "section_ref", "i", F.col("char_start").alias("clause_start"), F.col("char_end").alias("clause_end"),
         piece.alias("text"), count.alias("token_count"),
         (F.col("char_start") + F.greatest(F.lit(0), F.instr(F.col("text"), F.get("w", first)) - 1)).cast("long").alias("char_start"),
-        (F.col("char_start") + total(raw) + total(gaps)).cast("long").alias("true_start"))
+        (F.col("char_start") + total("raw") + total("gaps")).cast("long").alias("true_start"))
     rows = (rows.withColumn("char_end", F.least(F.col("char_start") + F.length("text"), F.col("clause_end")))
             .withColumn("__last", F.greatest(F.col("char_start"), F.col("char_end") - 1)))
     seq = (F.row_number().over(W.partitionBy("dv_id").orderBy("clause_start", "i")) - 1).cast("long")

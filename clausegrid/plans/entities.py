@@ -366,14 +366,14 @@ def stage_events(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(k % 4 == 0, "running").when(k % 4 == 1, "succeeded").when(k % 4 == 2, "degraded").otherwise("failed")
     return table(spark, d, "events").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("dv_id"), stage.alias("stage"), status.alias("status"),
-        (k % 3 + 1).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("at"))
+        (k % 3 + 1).cast("int").alias("attempt"), F.col("ts").cast("timestamp").alias("happened_at"))
 
 
 CTE["stage_events"] = ([], """
 SELECT event_id AS seq, user_id AS dv_id,
        CASE event_type WHEN 'view' THEN 'parsing' WHEN 'click' THEN 'segmenting' WHEN 'purchase' THEN 'extracting' WHEN 'signup' THEN 'risk' ELSE 'summarizing' END AS stage,
        CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'succeeded' WHEN 2 THEN 'degraded' ELSE 'failed' END AS status,
-       CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1 AS INTEGER) AS attempt, CAST(ts AS TIMESTAMP) AS at
+       CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 + 1 AS INTEGER) AS attempt, CAST(ts AS TIMESTAMP) AS happened_at
 FROM events""")
 
 
