@@ -17,6 +17,19 @@ from pyspark.sql import functions as F
 _B = "__block"
 
 
+def stack(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Union by name that is safe to group afterwards.
+
+    Spark 4.1 reports a union of equally partitioned inputs as partitioned, although
+    adaptive execution may coalesce the inputs differently; groups then come out split.
+    The setting is switched off for the session before such a union is planned.
+    """
+    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def _order(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order_by]
 

@@ -102,6 +102,5 @@ def fnv1a(token: Column) -> Column:
 
 
 def hash_dimension(token: Column, dim: int) -> Column:
-    h = fnv1a(token)
-    signed = F.when(h >= 2147483648, h - 4294967296).otherwise(h)
+    signed = F.shiftright(F.shiftleft(fnv1a(token), 32), 32)  # as a 32-bit signed value
     return (F.abs(signed) % dim).cast("int")

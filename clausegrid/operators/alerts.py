@@ -73,7 +73,7 @@ def due_notifications(
     shared = due.filter(F.col("recipient_user_id").isNull()).join(staff, "workspace_id")
     facts = obligations.select("obligation_id", F.col("title").alias("o_title"), "contract_id", "due_date")
     names = contracts.select("contract_id", F.col("title").alias("c_title"))
-    rows = named.unionByName(shared).join(facts, "obligation_id").join(names, "contract_id", "left").join(
+    rows = ordered.stack(named, shared).join(facts, "obligation_id").join(names, "contract_id", "left").join(
         users.select("user_id", "email"), "user_id", "left")
     return rows.select(
         "schedule_id", "idempotency_key", "workspace_id", "channel", "user_id",

@@ -134,7 +134,7 @@ def segment(docs: DataFrame, pages: DataFrame) -> DataFrame:
         "dv_id", F.lit(None).cast("string").alias("section_ref"),
         F.concat(F.lit("Page "), F.col("page_number").cast("string")).alias("section_title"), F.lit(1).alias("depth"),
         "char_start", F.lit(None).cast("string").alias("clause_type"), "text")
-    rows = (from_headings.unionByName(by_page).filter(~T.is_blank("text"))
+    rows = (ordered.stack(from_headings, by_page).filter(~T.is_blank("text"))
             .withColumn("char_start", F.col("char_start").cast("long"))
             .withColumn("char_end", F.col("char_start") + F.length("text"))
             .withColumn("__last", F.greatest(F.col("char_start"), F.col("char_end") - 1)))

@@ -15,6 +15,7 @@ from clausegrid.plans import entities as E
 from clausegrid.plans import sqltext as Q
 from clausegrid.plans import text_queries as TQ
 from clausegrid.plans.entities import CTE, with_ctes
+from clausegrid.session import cut_lineage
 
 QUERIES: dict = {}
 SPAN = ("struct<page:int,section_ref:string,section_title:string,char_start:int,char_end:int,quoted_text:string>")
@@ -67,6 +68,7 @@ def evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
               .when(v == 4, F.concat(F.substr(quote, F.lit(1), F.lit(20)), F.substr(quote, F.lit(29), F.lit(1000))))
               .when(v == 5, E.concat("zq ", dv, " xj wholly unrelated kvq ", pg, " pzzx")).otherwise(quote))
     shift = F.when(v == 0, 0).when(v == 2, F.when(dv % 4 == 0, 15).otherwise(0)).otherwise(25)
+    p = cut_lineage(p)
     rows = p.filter(n > 0).select(
         F.concat_ws(":", "dv_id", "page_number").alias("citation_id"), "dv_id", F.col("page_number").alias("page"), v.alias("variant"),
         (start + shift).cast("int").alias("char_start"), (start + size + shift).cast("int").alias("char_end"), quoted.alias("quoted_text"))

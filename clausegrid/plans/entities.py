@@ -6,11 +6,11 @@ common table expression (`CTE`) used by the independent SQL checks.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.functions import ordered
+
 AS_OF = "2000-06-15"
 AS_OF_TS = "2000-06-15 12:00:00"
 PAGE_CHARS = 2400
@@ -470,4 +470,4 @@ FROM (SELECT *, unnest(generate_series(1, greatest(1, CAST(ceil(length(text) / {
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return ordered.stack(*frames)

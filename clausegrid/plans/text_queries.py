@@ -163,7 +163,7 @@ def t06(spark, d):
         "source", "n_chars", T.clause_type("source", F.concat(F.lit("payment schedule "), F.col("text"))).alias("clause_type"))
     turns = E.table(spark, d, "conversations").select(
         F.col("role").alias("source"), F.length("text").cast("long").alias("n_chars"), T.clause_type("role", "text").alias("clause_type"))
-    return docs.unionByName(turns).groupBy("source", "clause_type").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
+    return E.union_all([docs, turns]).groupBy("source", "clause_type").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 
 
 @_register("t07_page_of", with_ctes(["doc_pages"], "SELECT s.dv_id, s.off, p.page_number AS page FROM (SELECT doc_id AS dv_id, unnest(range(0, length(text), 997)) AS off FROM documents) s "
@@ -182,7 +182,7 @@ def t08(spark, d):
 @_register("t09_language_gate", "SELECT lang, CASE WHEN lang = 'en' THEN 'accepted' ELSE 'failed' END AS status, CASE WHEN lang <> 'en' THEN 'Unsupported language: ' || lang END AS failure_reason, count(*) AS documents FROM documents GROUP BY lang")
 def t09(spark, d):
     ok, refused = ops.language_gate(E.table(spark, d, "documents").select("doc_id", "lang"))
-    rows = ok.withColumns({"status": F.lit("accepted"), "failure_reason": F.lit(None).cast("string")}).unionByName(refused)
+    rows = E.union_all([ok.withColumns({"status": F.lit("accepted"), "failure_reason": F.lit(None).cast("string")}), refused])
     return rows.groupBy("lang", "status", "failure_reason").agg(F.count("*").alias("documents"))
 
 

@@ -89,7 +89,7 @@ def upsert(base: DataFrame, updates: DataFrame, key: Sequence[str], mode: str =
     order = list(order_by) or [c for c in updates.columns if c not in key]
     if mode == "ignore":
         fresh = ordered.earliest(updates, key, order).select(*cols)
-        return base.unionByName(fresh.join(base.select(*key), list(key), "left_anti"))
+        return ordered.stack(base, fresh.join(base.select(*key), list(key), "left_anti"))
     changed = list(columns) if columns else [c for c in cols if c not in key]
     last = ordered.latest(updates, key, order).select(*cols)
     old = base.select(*key, F.struct(*cols).alias("o"), (keep if keep is not None else F.lit(False)).alias("kept"))
@@ -111,7 +111,7 @@ def replace_slice(base: DataFrame, new: DataFrame, slice_keys: Sequence[str], re
     `replaceable` go, everything else stays, then the new rows are added."""
     touched = new.select(*slice_keys).distinct().withColumn("__touched", F.lit(True))
     kept = base.join(touched, list(slice_keys), "left").filter(F.col("__touched").isNull() | ~F.coalesce(replaceable, F.lit(False)))
-    return kept.drop("__touched").select(*base.columns).unionByName(new.select(*base.columns))
+    return ordered.stack(kept.drop("__touched").select(*base.columns), new.select(*base.columns))
 
 
 def snapshot_diff(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
