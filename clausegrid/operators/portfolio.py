@@ -18,7 +18,7 @@ def _text(c: Column | str) -> Column:
 
 def money(minor: Column | str, currency: Column | str) -> Column:
     """Minor units as 'CUR 1,234.5'; empty when unknown."""
-    value = F.format_number(T.col(minor) / F.lit(100).cast("decimal(3,0)"), "#,##0.###")
+    value = F.call_function("format_number", T.col(minor).cast("decimal(18,2)") / 100, F.lit("#,##0.###"))
     return F.coalesce(F.concat_ws(" ", F.coalesce(T.col(currency), F.lit("USD")), F.nullif(value, F.lit(""))), F.lit(""))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_queries", "date_queries", "citation_queries", "retrieval_queries", "risk_queries", "portfolio_queries"]
+MODULES = ["text_queries", "date_queries", "citation_queries", "retrieval_queries", "risk_queries", "portfolio_queries", "stream_queries"]
 
 
 def registry() -> dict:

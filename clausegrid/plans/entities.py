@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausegrid.constants import WS
 from clausegrid.functions import ordered
 
 AS_OF = "2000-06-15"
@@ -420,6 +421,10 @@ FROM documents""")
 # ------------------------------------------------------------------ contract text: two numbered versions of every document
 
 def contract_texts(spark: SparkSession, d: str) -> DataFrame:
+    return number_sections(table(spark, d, "documents"))
+
+
+def number_sections(documents: DataFrame) -> DataFrame:
     """Lines become numbered sections; version 2 changes every third line, drops section 4
     and has a section 5 that version 1 lacks. Every tenth document stays unnumbered."""
     v = F.col("v")
@@ -436,7 +441,7 @@ def contract_texts(spark: SparkSession, d: str) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     body = F.array_join(F.filter(F.transform(lines, section), lambda x: x != ""), "\n")
     text = F.when(F.col("doc_id") % 10 == 9, F.col("text")).otherwise(concat("AGREEMENT from ", F.col("source"), "\n", body))
-    return (table(spark, d, "documents").withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    return (documents.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
             .select((F.col("doc_id") * 2 + v).alias("dv_id"), F.col("doc_id").alias("contract_id"),
                     (v + 1).cast("int").alias("version_number"), "lang", text.alias("text")))
 
@@ -454,10 +459,14 @@ FROM documents, (VALUES (0), (1)) t(v)""")
 
 
 def raw_pages(spark: SparkSession, d: str) -> DataFrame:
+    return cut_pages(contract_texts(spark, d))
+
+
+def cut_pages(texts: DataFrame) -> DataFrame:
     """Contract text cut into pages of a fixed number of characters."""
     p = F.col("page_number")
     n = F.greatest(F.lit(1), F.ceil(F.length("text") / PAGE_CHARS)).cast("int")
-    return (contract_texts(spark, d).withColumn("page_number", F.explode(F.sequence(F.lit(1), n)))
+    return (texts.withColumn("page_number", F.explode(F.sequence(F.lit(1), n)))
             .select("dv_id", "contract_id", "page_number", F.substr("text", (p - 1) * PAGE_CHARS + 1, F.lit(PAGE_CHARS)).alias("text"),
                     ((F.col("dv_id") + p) % 9 == 0).alias("ocr_derived"),
                     F.when((F.col("dv_id") + p) % 9 == 0, (F.col("dv_id") % 100) / 100.0).alias("ocr_confidence")))
