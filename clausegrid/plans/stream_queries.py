@@ -75,7 +75,7 @@ def st2(spark, d):
 
 
 def _limit_sql(n: int, seconds: int) -> str:
-    return f"""SELECT user_id, event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts, {n}) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < {seconds} * 1000000, false) AS limited FROM events"""
+    return f"""SELECT user_id, event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts, {n}) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < {seconds * 1000000}, false) AS limited FROM events"""
 
 
 def _attempts(df):

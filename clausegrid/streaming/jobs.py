@@ -100,14 +100,14 @@ def rate_flags(events: DataFrame, key: str, ts: str, tie: str, n: int = 5, secon
 def rate_flag_stream(stream: DataFrame, key: str, ts: str, tie: str, n: int = 5, seconds: int = 600, watermark: str = "10 minutes") -> DataFrame:
     """The limiter over a stream; state holds the last n attempt times of a key and expires
     when the watermark has passed them by the window."""
-    micros = seconds * 1_000_000
+    micros, name = seconds * 1_000_000, key
 
     class Limiter(StatefulProcessor):
         def init(self, handle) -> None:
             self._handle = handle
             self._recent = handle.getListState("recent", "t long")
 
-        def handleInputRows(self, k, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             frame = pd.concat(list(rows)).sort_values([ts, tie])
             recent = [r[0] for r in self._recent.get()]
             limited = []
@@ -118,11 +118,11 @@ def rate_flag_stream(stream: DataFrame, key: str, ts: str, tie: str, n: int = 5,
             for old in list(self._handle.listTimers()):
                 self._handle.deleteTimer(old)
             self._handle.registerTimer(recent[-1] // 1000 + seconds * 1000 + 1)
-            yield pd.DataFrame({key: frame[key], tie: frame[tie], "limited": limited})
+            yield pd.DataFrame({name: frame[name], tie: frame[tie], "limited": limited})
 
-        def handleExpiredTimer(self, k, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self._recent.clear()
-            yield pd.DataFrame({key: [], tie: [], "limited": []})
+            yield pd.DataFrame({name: [], tie: [], "limited": []})
 
         def close(self) -> None:
             pass
