@@ -203,7 +203,7 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     ev, p = evidence(spark, d)
     c = (F.col("dv_id") * 7 + F.col("page") * 3) % 8
     head = F.regexp_extract("quoted_text", "^ *([^ ]+ +){0,4}", 0)
-    value = (F.when(c == 1, F.concat(head, F.lit(" 987654"))).when(c == 2, F.concat(head, F.lit(" is guaranteed")))
+    value = (F.when(c == 1, F.concat(head, F.lit(" 987654"))).when(c == 2, F.concat(head, F.lit(" is certified")))
              .when(c == 3, "entirely different words").when(c == 4, F.lit(None)).otherwise(head))
     status = F.when(c.isin(5, 6), "conflicting").when(c == 7, "not_found").otherwise("found")
     span = F.struct("page", F.lit(None).cast("string").alias("section_ref"), F.lit(None).cast("string").alias("section_title"), "char_start", "char_end", "quoted_text")
@@ -221,7 +221,7 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 CTE["candidates"] = (["evidence"], """
 SELECT *, CASE WHEN c IN (5, 6) THEN 'conflicting' WHEN c = 7 THEN 'not_found' ELSE 'found' END AS status,
-       CASE c WHEN 1 THEN head || ' 987654' WHEN 2 THEN head || ' is guaranteed' WHEN 3 THEN 'entirely different words' WHEN 4 THEN NULL ELSE head END AS value_text,
+       CASE c WHEN 1 THEN head || ' 987654' WHEN 2 THEN head || ' is certified' WHEN 3 THEN 'entirely different words' WHEN 4 THEN NULL ELSE head END AS value_text,
        CASE WHEN c <> 4 THEN '{"n":' || length(quoted_text) || '}' END AS value_normalized,
        CASE WHEN c = 3 AND dv_id % 2 = 0 THEN 'interpretation' ELSE 'factual' END AS extraction_kind, (dv_id % 101) / 100.0 AS self_confidence, 'field.' || page AS field_key
 FROM (SELECT *, (dv_id * 7 + page * 3) % 8 AS c, regexp_extract(quoted_text, '^ *([^ ]+ +){0,4}', 0) AS head FROM evidence)""")

@@ -224,7 +224,9 @@ def parse_candidates(raw: DataFrame, kind: str, json_col: str = "payload") -> tu
     Invalid rows keep their payload and list every rule they break.
     """
     schema = t.StructType.fromDDL(CANDIDATE_SCHEMAS[kind]).add("_corrupt_record", t.StringType())
-    parsed = raw.withColumn("c", F.from_json(json_col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    doc = F.from_json(json_col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    # a generator keeps the optimizer from parsing the document again for every field used below
+    parsed = raw.withColumn("c", F.explode(F.array(doc)))
     broken = F.col("c").isNull() | F.col("c._corrupt_record").isNotNull()
     problems = [F.when(broken, F.lit("malformed"))]
     for name in CANDIDATE_REQUIRED[kind]:
