@@ -72,7 +72,7 @@ def evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = p.filter(n > 0).select(
         F.concat_ws(":", "dv_id", "page_number").alias("citation_id"), "dv_id", F.col("page_number").alias("page"), v.alias("variant"),
         (start + shift).cast("int").alias("char_start"), (start + size + shift).cast("int").alias("char_end"), quoted.alias("quoted_text"))
-    return rows, p
+    return cut_lineage(rows), p
 
 
 CTE["evidence"] = (["pages_o"], """
