@@ -155,9 +155,8 @@ def fts_topk(questions: DataFrame, chunks: DataFrame, k: int = K.CANDIDATES, ind
     rated = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rated.groupBy(*key).agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n_terms"))
     picked = rare.join(index.select("workspace_id", "term", "chunk_id"), ["workspace_id", "term"]).drop("term")
-    facts = corpus.select(F.lit(1).alias("one"), "n", "avgdl")  # a single row
-    hits = (picked.join(rated, key).join(index.drop("workspace_id"), ["term", "chunk_id"]).withColumn("one", F.lit(1))
-            .join(F.broadcast(facts), "one"))
+    n_chunks, avgdl = corpus.select("n").scalar(), corpus.select("avgdl").scalar()
+    hits = picked.join(rated, key).join(index.drop("workspace_id"), ["term", "chunk_id"]).withColumns({"n": n_chunks, "avgdl": avgdl})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(*key, "chunk_id").agg(
