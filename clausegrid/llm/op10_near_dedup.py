@@ -6,10 +6,11 @@ count of two sketches' XOR estimates how many samples differ, most precisely for
 sets are one class, its smallest id stands for it. Representatives that share a band are candidates; candidates whose
 sketches put them clearly below the threshold (more than five standard errors) are dropped, the rest are confirmed on full sets.
 
-Not all pairs of a bucket are looked at, yet no link that could join two components is left out: in each round a bucket
-whose members are in several components compares all of them with a few hubs, and then lets go of the hubs, since
-they have met everyone; links merge components, and a bucket within one component is done. The number of hubs grows by four
-from round to round, so rounds are few. Two documents at the threshold share no band with a probability below 1e-7.
+Not all pairs of a bucket are looked at, yet no link that could join two components is left out. In three rounds every bucket of the first bands
+compares its members with one hub, which merges most of a large group. The documents that still share a bucket with another component go
+through an exact prefix join: shingles are ordered from rare to frequent, and two sets that are similar enough must share one among the first
+few of both, so what is unlike its group by its own rare shingles meets nobody. Within a shingle, rows of its most frequent component meet only rows of
+others. Two documents at the threshold share no band with a probability below 1e-7.
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts of fewer than `words` words have one element, their whole
 sequence; rows that repeat an id count as one document when their texts are equal; an empty table gives an empty result; other columns are
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clausegrid.llm.common import keep, release
 
@@ -32,6 +34,8 @@ SAMPLES, ROWS, BITS, SEED = 128, 4, 1024, 7
 BANDS = SAMPLES // ROWS
 SLACK = 0.2
 BROADCAST_IDS = 2_000_000
+#: Bands that the rounds of hubs look at.
+FIRST_BANDS = (2, 8, BANDS)
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -167,50 +171,92 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = keep(classes, "classes")
-    posted = classes.select("id", F.explode("bands").alias("bucket"))
+    posted = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     crowded = posted.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = keep(posted.join(crowded, "bucket"), "members")
     ids = keep(members.select(F.col("id").alias("doc_id")).distinct(), "met")
     root = ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"))
-    sets, met, hubs_per_bucket, written = None, None, 1, []
-    while True:
-        active = members.join(root, "id")
-        split = active.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-        active = keep(active.join(split, "bucket"), "active")
+    for bands in FIRST_BANDS:
+        active = _open(members.where(F.col("band") < bands), root)
         if active.isEmpty():
-            break
-        hubs = active.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs_per_bucket)).alias("sub")).agg(
-            F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(SEED))).alias("hub"))
-        hubs = keep(hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
-        pairs = active.join(hubs, "bucket").where("root <> hub_root").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        small = classes.select("id", "n", "sketch")
-        pairs = pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
-        pairs = pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (sketch_similarity("sa", "sb") >= percent / 100 - SLACK))
-        pairs = keep(pairs.select("a", "b"), "pairs")
-        if sets is None:
-            if ids.isEmpty():
-                break
-            chosen = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "confirm")
-            sets, met = _kept_sets(docs, chosen, words), chosen
-        else:
-            new = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(met, "doc_id", "left_anti"), "confirm")
-            if not new.isEmpty():
-                sets = sets.unionByName(_kept_sets(docs, new, words))
-                met = met.unionByName(new)
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        links = keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
-        if not links.isEmpty():
-            lifted = links.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-            merged = components(lifted).toDF("root", "top")
-            root = keep(root.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
-        members = keep(active.select("bucket", "id").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"), "members")
-        hubs_per_bucket *= 4
+            continue
+        hubs = active.groupBy("bucket").agg(F.min_by(F.struct("id", "root", "n"), F.xxhash64("id", F.lit(SEED))).alias("hub"))
+        hubs = hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"))
+        near_in_size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+        pairs = active.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & near_in_size)
+        pairs = keep(_sketched(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), classes, percent), "pairs")
+        chosen = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "confirm")
+        root = _joined(root, _confirmed(pairs, _kept_sets(docs, chosen, words), percent))
+        release(active)
+        release(pairs)
+    active = _open(members, root)
+    chosen = keep(active.select(F.col("id").alias("doc_id")).distinct(), "confirm")
+    if not chosen.isEmpty():
+        sets = _kept_sets(docs, chosen, words)
+        pairs = keep(_sketched(prefix_pairs(sets, root, percent), classes, percent), "pairs")
+        root = _joined(root, _confirmed(pairs, sets, percent))
     named = classes.select("set_id", "id").join(root, "id", "left").select("set_id", F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _open(members: DataFrame, root: DataFrame) -> DataFrame:
+    """Members, with their component, of the buckets that hold more than one."""
+    rows = members.join(root, "id")
+    split = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    return keep(rows.join(split, "bucket"), "active")
+
+
+def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule them out."""
+    sketch = classes.select("id", "sketch")
+    rows = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
+    return rows.where(sketch_similarity("sa", "sb") >= percent / 100 - SLACK).select("a", "b")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after the links."""
+    if links.isEmpty():
+        return root
+    lifted = links.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    merged = components(lifted).toDF("root", "top")
+    return keep(root.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for doc_id, s in zip(b.column(0).to_pylist(), b.column(1)):
+            t = np.frombuffer(s.as_buffer(), np.int64)
+            for at in range(0, len(t), 65_536):
+                part = t[at : at + 65_536]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), doc_id)), pa.array(np.full(len(part), len(t))), pa.array(part)], names=["id", "n", "token"])
+
+
+def prefix_pairs(sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle early enough to reach the threshold: every linked pair is among them."""
+    rows = sets.select("id", "set").mapInArrow(_tokens, "id long, n long, token long")
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(shared, "token")
+    own = Window.partitionBy("id")  # the shingles of one document
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1  # those of no other come first
+    rows = rows.withColumn("place", place).where(F.col("place") * 100 <= F.col("n") * (100 - percent))
+    rows = keep(rows.join(root, "id").select("token", "id", "n", "place", "root"), "prefixes")
+    most = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
+    others = rows.join(most, "token").where("root <> most").select(
+        "token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2"))
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100 + percent))
+    test = (F.col("root") != F.col("root2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("place") <= F.col("n") - need) & (
+        F.col("place2") <= F.col("n2") - need)
+    return rows.join(others, "token").where(test).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
 def _kept_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     texts = _fewer(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
     sets = texts.mapInArrow(_sets(words), "id long, set binary")
