@@ -61,7 +61,8 @@ RULES = [
 # End of fixed values.
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_END = r"([.!?:;])[ \t]+|[ \t]*\n[ \t]*\n\s*|([.!?:;])[ \t]*\n"
+_END = r"([.!?:;])[ \t]+|[ \t]*\n[ \t]*\n[ \t\n\x0B\f\r]*|([.!?:;])[ \t]*\n"
+_BLANK = " \t\n\x0b\x0c\r"
 _NOISE = r"[^a-z0-9.]+"
 _HINT = r"licen[cs]e|copyright|rights reserved"
 
@@ -90,14 +91,15 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[t
     sentences, rules = sentences or SENTENCES, rules or RULES
     codes = _coded(sentences)
     text = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
-    # 1. segments end at sentence ends and blank lines; one that holds line ends is tried whole and line by line
+    # 1. segments end at sentence ends and blank lines; one that holds line ends is a wrapped sentence, or else lines of which one may be known
     marked = F.regexp_replace(text, _END, "$1$2\u0001")
-    parts = F.split(marked, "\u0001")
-    tried = F.flatten(F.transform(parts, lambda p: F.when(
-        F.contains(p, F.lit("\n")), F.concat(F.array(p), F.split(p, "\n"))).otherwise(F.array(p))))
-    normal = F.filter(F.transform(tried, _plain), lambda s: s != "")
+    parts = F.transform(F.split(marked, "\u0001"), lambda p: F.btrim(p, F.lit(_BLANK)))
     known = F.create_map(*[F.lit(x) for k, s in sentences.items() for x in (plain(s), codes[k])])
-    rows = docs.select("doc_id", normal.alias("s"))
+    is_known = lambda s: F.try_element_at(known, s).isNotNull()
+    lines = lambda p: F.transform(F.split(p, "\n"), _plain)
+    tried = F.flatten(F.transform(parts, lambda p: F.when(
+        F.contains(p, F.lit("\n")) & F.exists(lines(p), is_known) & ~is_known(_plain(p)), lines(p)).otherwise(F.array(_plain(p)))))
+    rows = docs.select("doc_id", F.filter(tried, lambda s: s != "").alias("s"))
     ids = F.filter(F.transform("s", lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
     unknown = F.size(F.filter("s", lambda s: s.rlike(_HINT) & F.try_element_at(known, s).isNull()))
     rows = rows.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"), unknown.cast("long").alias("n_unknown"))
@@ -137,15 +139,16 @@ def sql() -> str:
         last = f"step{r}"
     held = " + ".join(f"rule{r}" for r in range(len(RULES)))
     names = ", ".join(f"CASE WHEN rule{r} > 0 THEN {_quoted(RULES[r][0])} END" for r in range(len(RULES)))
+    normal = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', ' ', 'g'), ' +', ' ', 'g'))"
     return rf"""
 WITH marked AS (
-  SELECT doc_id, string_split(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
-    '([.!?:;])[ \t]+|[ \t]*\n[ \t]*\n[ \t\n\x0B\f\r]*|([.!?:;])[ \t]*\n', '\1\2' || chr(1), 'g'), chr(1)) AS parts FROM documents),
-tried AS (
-  SELECT doc_id, flatten(list_transform(parts, lambda p: CASE WHEN contains(p, chr(10)) THEN list_concat([p], string_split(p, chr(10))) ELSE [p] END)) AS t FROM marked),
+  SELECT doc_id, list_transform(string_split(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '([.!?:;])[ \t]+|[ \t]*\n[ \t]*\n[ \t\n\x0B\f\r]*|([.!?:;])[ \t]*\n', '\1\2' || chr(1), 'g'), chr(1)), lambda p: trim(p, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS parts FROM documents),
+lined AS (
+  SELECT doc_id, list_transform(parts, lambda p: {{'whole': {normal("p")}, 'lines': list_transform(string_split(p, chr(10)), lambda x: {normal("x")})}}) AS t FROM marked),
 normal AS (
-  SELECT doc_id, list_filter(list_transform(t, lambda p: trim(regexp_replace(regexp_replace(regexp_replace(p, '[^a-z0-9.]+', ' ', 'g'),
-    '\.( |$)', ' ', 'g'), ' +', ' ', 'g'))), lambda p: p <> '') AS s FROM tried),
+  SELECT doc_id, list_filter(flatten(list_transform(t, lambda p: CASE WHEN len(p.lines) > 1 AND ({known})[p.whole] IS NULL
+    AND len(list_filter(p.lines, lambda x: ({known})[x] IS NOT NULL)) > 0 THEN p.lines ELSE [p.whole] END)), lambda p: p <> '') AS s FROM lined),
 ided AS (
   SELECT doc_id, len(s)::BIGINT AS n_sentences, list_filter(list_transform(s, lambda p: ({known})[p]), lambda i: i IS NOT NULL) AS ids,
     len(list_filter(s, lambda p: regexp_matches(p, '{_HINT}') AND ({known})[p] IS NULL))::BIGINT AS n_unknown,
