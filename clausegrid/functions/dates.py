@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid import constants as K
@@ -55,3 +55,8 @@ def json_date(raw: Column | str) -> Column:
     from_object = F.get_json_object(raw, "$.date")
     from_string = F.when(raw.rlike(r'^\s*"[^"\\]*"\s*$'), F.regexp_extract(raw, r'"([^"\\]*)"', 1))
     return F.try_to_date(F.coalesce(from_object, from_string), "yyyy-MM-dd")
+
+
+def written(fields: DataFrame) -> Column:
+    """Order of writing among rows of one field: creation, prompt version and id, as far as the table has them."""
+    return F.struct(*[F.col(c) for c in ("created_at", "prompt_version", "field_id") if c in fields.columns], F.col("value_text") if "value_text" in fields.columns else F.lit(0))

@@ -118,8 +118,9 @@ def earliest(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> Dat
     return picked.select(*keys, "__r.*")
 
 
-def top_n(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First n rows per key. The planner limits each partition before the shuffle, so a
+def top_n(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], n: int | None, rank: str = "rank") -> DataFrame:
+    """First n rows per key, with their rank; all rows if n is None. The planner limits each partition before the shuffle, so a
     large key sends at most n rows per task."""
     w = W.partitionBy(*keys).orderBy(*order_by)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if n is None else ranked.filter(F.col(rank) <= n)

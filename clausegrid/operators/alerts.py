@@ -52,24 +52,28 @@ def reschedule(schedules: DataFrame, deliveries: DataFrame, changes: DataFrame,
     return both.select(pick.alias("r")).select("r.*")
 
 
+def due_schedules(schedules: DataFrame, deliveries: DataFrame, as_of: str, batch: int | None = None) -> DataFrame:
+    """Schedules that are due and not yet delivered, with their idempotency key; a batch is taken from what is left to do."""
+    due = schedules.filter((F.col("status") == "scheduled") & (F.col("scheduled_for") <= _instant(as_of)))
+    due = due.withColumn("idempotency_key", F.concat_ws(":", *KEY)).join(
+        deliveries.select("idempotency_key").distinct(), "idempotency_key", "left_anti")
+    return due if batch is None else due.orderBy("scheduled_for", "schedule_id").limit(batch)
+
+
 def due_notifications(
     schedules: DataFrame, deliveries: DataFrame, obligations: DataFrame, contracts: DataFrame,
-    memberships: DataFrame, users: DataFrame, as_of: str, batch: int | None = K.ALERT_BATCH,
+    memberships: DataFrame, users: DataFrame, as_of: str, batch: int | None = None, recipients: int | None = None,
 ) -> DataFrame:
     """Messages to send for schedules that are due and not yet delivered.
 
-    A named recipient gets the message; otherwise up to five admins and owners of the
-    workspace do. `batch` is the sweep size; None takes everything that is due.
+    A named recipient gets the message; otherwise the admins and owners of the workspace do,
+    the first `recipients` of them if given. `batch` bounds a sweep; None takes everything that is due.
     """
-    due = schedules.filter((F.col("status") == "scheduled") & (F.col("scheduled_for") <= _instant(as_of)))
-    if batch is not None:
-        due = due.orderBy("scheduled_for", "schedule_id").limit(batch)
-    due = due.withColumn("idempotency_key", F.concat_ws(":", *KEY)).join(
-        deliveries.select("idempotency_key").distinct(), "idempotency_key", "left_anti")
+    due = due_schedules(schedules, deliveries, as_of, batch)
     named = due.filter(F.col("recipient_user_id").isNotNull()).withColumn("user_id", F.col("recipient_user_id"))
     staff = ordered.top_n(
         memberships.filter(F.col("role").isin(*K.ALERT_ROLES)).select("workspace_id", "user_id"),
-        ["workspace_id"], [F.col("user_id")], 5).drop("rank")
+        ["workspace_id"], [F.col("user_id")], recipients).drop("rank")
     shared = due.filter(F.col("recipient_user_id").isNull()).join(staff, "workspace_id")
     facts = obligations.select("obligation_id", F.col("title").alias("o_title"), "contract_id", "due_date")
     names = contracts.select("contract_id", F.col("title").alias("c_title"))
@@ -84,9 +88,12 @@ def due_notifications(
         F.concat(F.lit("/obligations?focus="), F.col("contract_id").cast("string")).alias("link"))
 
 
-def settle_deliveries(schedules: DataFrame, results: DataFrame, as_of: str) -> DataFrame:
-    """Schedules after a sweep: delivered ones are sent, failed ones move 15 minutes ahead."""
+def settle_deliveries(schedules: DataFrame, results: DataFrame, as_of: str, due: DataFrame | None = None) -> DataFrame:
+    """Schedules after a sweep: delivered ones are sent, failed ones move 15 minutes ahead. Of the `due` ones, those
+    without any recipient have no result and are sent as well."""
     r = results.groupBy("schedule_id").agg(F.bool_and("ok").alias("ok"))
+    if due is not None:
+        r = due.select("schedule_id").distinct().join(r, "schedule_id", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     later = _instant(as_of) + F.expr(f"INTERVAL {K.RETRY_MINUTES} MINUTES")
     return schedules.join(r, "schedule_id", "left").withColumns({
         "status": F.when(F.col("ok"), "sent").otherwise(F.col("status")),
@@ -96,9 +103,9 @@ def settle_deliveries(schedules: DataFrame, results: DataFrame, as_of: str) -> D
 
 def alert_section(
     section: str, schedules: DataFrame, obligations: DataFrame, contracts: DataFrame, workspaces: DataFrame,
-    citations: DataFrame, users: DataFrame, as_of: str, limit: int = 100,
+    citations: DataFrame, users: DataFrame, as_of: str, limit: int | None = None,
 ) -> DataFrame:
-    """Upcoming, due or sent alerts, a bounded list per workspace, with citation and recipient."""
+    """Upcoming, due or sent alerts, all of a workspace unless `limit` is given, with citation and recipient."""
     at, now = F.col("scheduled_for"), _instant(as_of)
     wanted = {
         "sent": F.col("status") == "sent",
@@ -115,7 +122,7 @@ def alert_section(
             .join(users.select(F.col("user_id").alias("recipient_user_id"), F.col("email").alias("recipient_email")), "recipient_user_id", "left"))
 
 
-def unread(notifications: DataFrame, limit: int = 50) -> DataFrame:
+def unread(notifications: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest unread notifications of every user."""
     open_rows = notifications.filter(F.col("read_at").isNull())
     return ordered.top_n(open_rows, ["user_id"], [F.col("created_at").desc(), F.col("notification_id")], limit)

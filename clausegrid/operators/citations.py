@@ -223,7 +223,7 @@ def citation_views(citations: DataFrame, layout: DataFrame, pages: DataFrame) ->
             .withColumn("resolvable", F.col("resolvable") & (F.col("boxes") > 0)))
 
 
-def apply_corrections(fields: DataFrame, corrections: DataFrame, history: int = 50) -> tuple[DataFrame, DataFrame]:
+def apply_corrections(fields: DataFrame, corrections: DataFrame, history: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fields after their latest correction, and the newest history rows per field.
 
     `corrections`: correction_id, field_id, new_value, new_normalized, corrected_by, corrected_at.

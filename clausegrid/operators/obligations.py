@@ -15,7 +15,7 @@ DUE_COLUMNS = ["due_date", "due_date_math", "needs_assumption", "assumption_reas
 def anchors(fields: DataFrame) -> DataFrame:
     """One row per version with the four anchor dates; the invoice date is never known."""
     picked = [
-        F.max(F.when(F.col("field_key") == key, D.json_date("value_normalized"))).alias(name)
+        F.max_by(D.json_date("value_normalized"), F.when(F.col("field_key") == key, D.written(fields))).alias(name)
         for name, key in K.ANCHOR_FIELDS.items()
     ]
     return fields.groupBy("dv_id").agg(*picked).withColumn("invoice_date", F.lit(None).cast("date"))
@@ -136,8 +136,9 @@ def recompute(corrections: DataFrame, obligations: DataFrame, fields: DataFrame,
 
 def renewal_notice_by(fields: DataFrame) -> DataFrame:
     """Expiration minus the notice period, where both are known."""
-    raw = F.max(F.when(F.col("field_key") == "renewal.notice_period_days", F.col("value_normalized")))
-    expiration = F.max(F.when(F.col("field_key") == "dates.expiration", D.json_date("value_normalized")))
+    newest = D.written(fields)
+    raw = F.max_by("value_normalized", F.when(F.col("field_key") == "renewal.notice_period_days", newest))
+    expiration = F.max_by(D.json_date("value_normalized"), F.when(F.col("field_key") == "dates.expiration", newest))
     agg = fields.groupBy("dv_id").agg(expiration.alias("expiration_date"), raw.alias("raw"))
     is_object = F.col("raw").rlike(r"^\s*\{")
     named = F.when(is_object, F.get_json_object("raw", "$.days").try_cast("int"))
@@ -149,9 +150,13 @@ def renewal_notice_by(fields: DataFrame) -> DataFrame:
 
 def promote_dates(fields: DataFrame, contracts: DataFrame) -> DataFrame:
     """ISO dates written in the effective and expiration fields of each contract's newest
-    version replace the dates on the contract row."""
+    version replace the dates on the contract row; a date which that version lacks becomes null.
+    The newest version has the largest `version_no`, or id where there is no such column."""
+    number = F.struct(*[c for c in ("version_no", "dv_id") if c in fields.columns])
+    versions = fields.groupBy("contract_id").agg(F.max_by("dv_id", number).alias("dv_id"))
+    fields = fields.join(versions, ["contract_id", "dv_id"], "left_semi")
     picked = {
-        name: F.max_by(D.iso_date_in("value_text"), F.when(F.col("field_key") == key, F.col("dv_id")))
+        name: F.max_by(D.iso_date_in("value_text"), F.when(F.col("field_key") == key, D.written(fields)))
         for name, key in [("effective_date", "dates.effective"), ("expiration_date", "dates.expiration")]
     }
     newest = fields.groupBy("contract_id").agg(*[c.alias(f"__{n}") for n, c in picked.items()])
@@ -231,16 +236,16 @@ def manual_obligations(rows: DataFrame) -> DataFrame:
 
 
 def window_days(window: Column) -> Column:
-    """'30d' → 30, 'all' → 3650, anything without digits → 30."""
+    """'30d' → 30, 'all' → null (no end), anything without digits → 30."""
     digits = F.regexp_replace(window, "[^0-9]", "").try_cast("int")
-    return F.when(window == "all", 3650).otherwise(F.coalesce(F.nullif(digits, F.lit(0)), F.lit(30)))
+    return F.when(window == "all", F.lit(None)).otherwise(F.coalesce(F.nullif(digits, F.lit(0)), F.lit(30)))
 
 
-def obligations_due(obligations: DataFrame, contracts: DataFrame, as_of: str, window: str = "30d", limit: int = 200) -> DataFrame:
-    """Obligations due in the coming window, soonest first, a bounded list per workspace."""
+def obligations_due(obligations: DataFrame, contracts: DataFrame, as_of: str, window: str = "30d", limit: int | None = None) -> DataFrame:
+    """Obligations due in the coming window, soonest first; all of a workspace unless `limit` is given."""
     today = D.as_date(as_of)
     until = F.date_add(today, window_days(F.lit(window)))
-    due = obligations.filter(F.col("due_date").between(today, until))
+    due = obligations.filter((F.col("due_date") >= today) & (until.isNull() | (F.col("due_date") <= until)))
     top = ordered.top_n(due, ["workspace_id"], [F.col("due_date"), F.col("obligation_id")], limit)
     return top.join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
 

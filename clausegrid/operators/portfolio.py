@@ -67,7 +67,7 @@ def portfolio_tabs(contracts: DataFrame, obligations: DataFrame, flags: DataFram
 
 
 def export_sections(contracts: DataFrame, fields: DataFrame, obligations: DataFrame, flags: DataFrame, contract_id: int | str | None = None,
-                    newest: int = 500) -> dict[str, DataFrame]:
+                    newest: int | None = None) -> dict[str, DataFrame]:
     """Factual fields of current versions, the newest obligations, and the newest flags minus superseded ones.
 
     The newest rows are chosen per workspace before the contract filter and the status filter.
@@ -115,14 +115,14 @@ def dashboard(contracts: DataFrame, obligations: DataFrame, flags: DataFrame, ve
     return out.select("workspace_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
-def recent_activity(audit: DataFrame, users: DataFrame, n: int = 8) -> DataFrame:
+def recent_activity(audit: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
     top = ordered.top_n(audit, ["workspace_id"], [F.col("created_at").desc(), F.col("audit_id").desc()], n)
     return top.join(users.select(F.col("user_id").alias("actor_user_id"), "email"), "actor_user_id", "left").withColumn("actor", F.coalesce("email", F.lit("system"))).drop("email")
 
 
 def search_contracts(contracts: DataFrame, status: str | None = None, contract_type: str | None = None, text: str | None = None,
-                     expiring_before: str | None = None, limit: int = 200) -> DataFrame:
-    """Live contracts matching all given conditions, latest change first, a bounded list per workspace."""
+                     expiring_before: str | None = None, limit: int | None = None) -> DataFrame:
+    """Live contracts matching all given conditions, latest change first; all of a workspace unless `limit` is given."""
     rows = contracts.filter("deleted_at IS NULL")
     if status:
         rows = rows.filter(F.col("status") == status)
@@ -136,7 +136,7 @@ def search_contracts(contracts: DataFrame, status: str | None = None, contract_t
     return ordered.top_n(rows, ["workspace_id"], [F.col("updated_at").desc(), F.col("contract_id")], limit)
 
 
-def document_activity(versions: DataFrame, stages: DataFrame, calls: DataFrame, n: int = 30) -> tuple[DataFrame, DataFrame]:
+def document_activity(versions: DataFrame, stages: DataFrame, calls: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Newest versions per workspace with call, token and latency sums, and their stage runs in
     order. Stage runs stay rows, so a version with very many runs needs no single large value."""
     top = ordered.top_n(versions, ["workspace_id"], [F.col("uploaded_at").desc(), F.col("dv_id")], n)
@@ -158,7 +158,7 @@ def usage_ledger(calls: DataFrame, by: list[str], rollup: bool = False) -> DataF
         F.count_if(F.col("validation_outcome") != "passed").alias("not_passed"))
 
 
-def audit_query(audit: DataFrame, users: DataFrame, readers: DataFrame, action_prefix: str | None = None, resource_type: str | None = None, limit: int = 200) -> DataFrame:
+def audit_query(audit: DataFrame, users: DataFrame, readers: DataFrame, action_prefix: str | None = None, resource_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Newest audit events per workspace for readers whose role allows it.
 
     `readers`: workspace_id, user_id, role. Only workspaces with an allowed reader appear.

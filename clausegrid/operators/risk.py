@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid import constants as K
+from clausegrid.functions import dates as D
 from clausegrid.functions import ordered
 from clausegrid.functions import similarity as S
 from clausegrid.functions import text as T
@@ -66,7 +67,7 @@ def evaluate_playbook(versions: DataFrame, fields: DataFrame, rules: DataFrame)
         F.col("e.value").alias("wanted"), "outcome", "severity", "reviewer_role")
     known = fields.filter(F.col("value_text").isNotNull() & (F.col("validation_status") != "not_found"))
     value = F.coalesce(F.get_json_object("value_normalized", "$.value"), F.get_json_object("value_normalized", "$.days"))
-    known = known.groupBy("dv_id", "field_key").agg(F.max(value).alias("value"), F.lit(True).alias("present"))
+    known = known.groupBy("dv_id", "field_key").agg(F.max_by(value, D.written(known)).alias("value"), F.lit(True).alias("present"))
     rows = versions.select("dv_id", "workspace_id").join(spec, "workspace_id").join(known, ["dv_id", "field_key"], "left")
     present = F.coalesce("present", F.lit(False))
     a, b = F.col("value").try_cast("double"), F.col("wanted").try_cast("double")
@@ -80,8 +81,8 @@ def evaluate_playbook(versions: DataFrame, fields: DataFrame, rules: DataFrame)
                        F.when(result == "violated", F.col("outcome")).alias("outcome"), "severity", "reviewer_role")
 
 
-def risk_queue(flags: DataFrame, contracts: DataFrame, status: str = "open", severity: str | None = None, limit: int = 200) -> DataFrame:
-    """Flags to review, worst first then newest, a bounded list per workspace."""
+def risk_queue(flags: DataFrame, contracts: DataFrame, status: str = "open", severity: str | None = None, limit: int | None = None) -> DataFrame:
+    """Flags to review, worst first then newest; all of a workspace unless `limit` is given."""
     rows = flags if status == "all" else flags.filter(F.col("status") == status)
     if severity:
         rows = rows.filter(F.col("severity") == severity)

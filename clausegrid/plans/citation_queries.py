@@ -358,7 +358,7 @@ def c14(spark, d):
 @_register("c14_correction_history", with_ctes(["corrections", "extracted_fields"], """
 SELECT field_id, rank, correction_id, new_value, previous_value FROM (
   SELECT c.field_id, correction_id, new_value, coalesce(lag(new_value) OVER (PARTITION BY c.field_id ORDER BY corrected_at, correction_id), f.value_text) AS previous_value,
-         row_number() OVER (PARTITION BY c.field_id ORDER BY corrected_at DESC, correction_id DESC) AS rank FROM corrections c JOIN extracted_fields f ON f.field_id = c.field_id) WHERE rank <= 50"""))
+         row_number() OVER (PARTITION BY c.field_id ORDER BY corrected_at DESC, correction_id DESC) AS rank FROM corrections c JOIN extracted_fields f ON f.field_id = c.field_id)"""))
 def c14b(spark, d):
     _, history = C.apply_corrections(E.extracted_fields(spark, d), DQ.field_corrections(spark, d))
     return history.select("field_id", "rank", "correction_id", "new_value", "previous_value")

@@ -271,7 +271,7 @@ def _due_sql(days: int) -> str:
     return with_ctes(["obligations", "contracts"], f"""
 SELECT o.workspace_id, o.rank, o.obligation_id, o.contract_id, c.title AS contract_title, o.title, o.status, CAST(o.due_date AS VARCHAR) AS due_date, o.due_date_math
 FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY due_date, obligation_id) AS rank FROM obligations WHERE due_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + {days}) o
-JOIN contracts c ON c.contract_id = o.contract_id WHERE rank <= 200""")
+JOIN contracts c ON c.contract_id = o.contract_id""")
 
 
 def _due(spark, d, window):
@@ -351,10 +351,9 @@ def _notify_sql(batch: str) -> str:
     return with_ctes(["schedules", "deliveries", "obligations", "contracts", "memberships", "users"], f"""
 SELECT r.schedule_id, r.schedule_id AS idempotency_key, r.workspace_id, r.channel, r.user_id, CASE WHEN r.channel = 'email' THEN u.email END AS email,
        'Reminder: ' || o.title AS title, c.title || ' — due ' || o.due_date AS body, '/obligations?focus=' || o.contract_id AS link
-FROM (SELECT s.*, coalesce(s.recipient_user_id, m.user_id) AS user_id FROM (SELECT * FROM schedules WHERE scheduled_for <= TIMESTAMP '{AS_OF_TS}' {batch}) s
-      LEFT JOIN (SELECT workspace_id, user_id FROM memberships WHERE role IN ('workspace_admin', 'contract_owner')
-                 QUALIFY row_number() OVER (PARTITION BY workspace_id ORDER BY user_id) <= 5) m ON s.recipient_user_id IS NULL AND m.workspace_id = s.workspace_id
-      WHERE s.schedule_id NOT IN (SELECT idempotency_key FROM deliveries) AND coalesce(s.recipient_user_id, m.user_id) IS NOT NULL) r
+FROM (SELECT s.*, coalesce(s.recipient_user_id, m.user_id) AS user_id FROM (SELECT * FROM schedules WHERE scheduled_for <= TIMESTAMP '{AS_OF_TS}' AND schedule_id NOT IN (SELECT idempotency_key FROM deliveries) {batch}) s
+      LEFT JOIN (SELECT workspace_id, user_id FROM memberships WHERE role IN ('workspace_admin', 'contract_owner')) m ON s.recipient_user_id IS NULL AND m.workspace_id = s.workspace_id
+      WHERE coalesce(s.recipient_user_id, m.user_id) IS NOT NULL) r
 JOIN obligations o ON o.obligation_id = r.obligation_id JOIN contracts c ON c.contract_id = o.contract_id LEFT JOIN users u ON u.user_id = r.user_id""")
 
 
@@ -395,7 +394,7 @@ def _section_sql(section: str) -> str:
 SELECT s.workspace_id, s.rank, s.schedule_id, s.channel, strftime(s.scheduled_for, '%Y-%m-%d %H:%M:%S') AS scheduled_for, o.title AS obligation_title, CAST(o.due_date AS VARCHAR) AS due_date,
        c.title AS contract_title, w.timezone, ci.page, ci.section_ref, u.email AS recipient_email
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY scheduled_for {direction}, schedule_id) AS rank
-      FROM (SELECT * REPLACE (CASE WHEN obligation_id % 5 = 0 THEN 'sent' ELSE status END AS status) FROM schedules) WHERE {where}) WHERE rank <= 100) s
+      FROM (SELECT * REPLACE (CASE WHEN obligation_id % 5 = 0 THEN 'sent' ELSE status END AS status) FROM schedules) WHERE {where})) s
 JOIN obligations o ON o.obligation_id = s.obligation_id JOIN contracts c ON c.contract_id = o.contract_id JOIN workspaces w ON w.workspace_id = s.workspace_id
 LEFT JOIN order_citations ci ON ci.citation_id = o.citation_id LEFT JOIN users u ON u.user_id = s.recipient_user_id""")
 
@@ -422,7 +421,7 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
 
 @_register("d19_unread", """
 SELECT user_id, rank, notification_id, kind FROM (
-  SELECT user_id, event_id AS notification_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events WHERE event_id % 3 <> 0) WHERE rank <= 50""")
+  SELECT user_id, event_id AS notification_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events WHERE event_id % 3 <> 0)""")
 def d19(spark, d):
     return A.unread(notifications(spark, d)).select("user_id", "rank", "notification_id", "kind")
 

@@ -45,10 +45,10 @@ _ACT = "SELECT a.workspace_id, a.rank, a.audit_id, a.action, a.resource_type, co
 
 @_register("p02_recent_activity", with_ctes(["audit_events", "users"], _ACT.format(w="", n=8)))
 def p02(spark, d):
-    return P.recent_activity(E.audit_events(spark, d), E.users(spark, d)).select("workspace_id", "rank", "audit_id", "action", "resource_type", "actor")
+    return P.recent_activity(E.audit_events(spark, d), E.users(spark, d), n=8).select("workspace_id", "rank", "audit_id", "action", "resource_type", "actor")
 
 
-_SEARCH = "SELECT workspace_id, rank, contract_id, title, status FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY updated_at DESC, contract_id) AS rank FROM contracts WHERE deleted_at IS NULL AND {w}) WHERE rank <= 200"
+_SEARCH = "SELECT workspace_id, rank, contract_id, title, status FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY updated_at DESC, contract_id) AS rank FROM contracts WHERE deleted_at IS NULL AND {w})"
 
 
 @_register("p03_search_contracts", with_ctes(["contracts"], _SEARCH.format(w="contract_type = 'sow' AND status = 'in_review' AND expiration_date <= DATE '2001-06-30'")))
@@ -64,7 +64,7 @@ def p03b(spark, d):
 @_register("p04_document_activity", with_ctes(["document_versions", "usage_rows"], """
 SELECT v.workspace_id, v.rank, v.dv_id, coalesce(calls, 0) AS calls, coalesce(tokens, 0) AS tokens, coalesce(latency_ms, 0) AS latency_ms
 FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY uploaded_at DESC, dv_id) AS rank FROM document_versions) v
-LEFT JOIN (SELECT dv_id, count(*) AS calls, sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS tokens, sum(coalesce(latency_ms, 0)) AS latency_ms FROM usage_rows GROUP BY 1) u ON u.dv_id = v.dv_id WHERE rank <= 30"""))
+LEFT JOIN (SELECT dv_id, count(*) AS calls, sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS tokens, sum(coalesce(latency_ms, 0)) AS latency_ms FROM usage_rows GROUP BY 1) u ON u.dv_id = v.dv_id"""))
 def p04(spark, d):
     docs, _ = P.document_activity(E.document_versions(spark, d), E.stage_events(spark, d), E.usage_rows(spark, d))
     return docs.select("workspace_id", "rank", "dv_id", "calls", "tokens", "latency_ms")
@@ -72,7 +72,7 @@ def p04(spark, d):
 
 @_register("p04_stage_runs", with_ctes(["document_versions", "stage_events"], """
 SELECT dv_id, seq, stage, status, row_number() OVER (PARTITION BY dv_id ORDER BY happened_at, seq) AS position FROM stage_events
-WHERE dv_id IN (SELECT dv_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY uploaded_at DESC, dv_id) AS rank FROM document_versions) WHERE rank <= 30)"""))
+WHERE dv_id IN (SELECT dv_id FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY uploaded_at DESC, dv_id) AS rank FROM document_versions))"""))
 def p04b(spark, d):
     _, runs = P.document_activity(E.document_versions(spark, d), E.stage_events(spark, d), E.usage_rows(spark, d))
     return runs.select("dv_id", "seq", "stage", "status", "position")
@@ -93,7 +93,7 @@ def p05b(spark, d):
 
 @_register("p06_audit_query", with_ctes(["audit_events", "users", "memberships"], _ACT.format(n=200, w="WHERE action LIKE 'contract.%' AND resource_type = 'contract' AND workspace_id IN (SELECT workspace_id FROM memberships WHERE role IN ('legal_reviewer', 'workspace_admin'))")))
 def p06(spark, d):
-    return P.audit_query(E.audit_events(spark, d), E.users(spark, d), E.memberships(spark, d), "contract.", "contract").select("workspace_id", "rank", "audit_id", "action", "resource_type", "actor")
+    return P.audit_query(E.audit_events(spark, d), E.users(spark, d), E.memberships(spark, d), "contract.", "contract", limit=200).select("workspace_id", "rank", "audit_id", "action", "resource_type", "actor")
 
 
 def _versioned(spark, d):
@@ -336,7 +336,7 @@ def s04c(spark, d):
 
 
 def _sections(spark, d):
-    return P.export_sections(_versioned(spark, d), E.extracted_fields(spark, d), DQ.obligations(spark, d), E.risk_flags(spark, d))
+    return P.export_sections(_versioned(spark, d), E.extracted_fields(spark, d), DQ.obligations(spark, d), E.risk_flags(spark, d), newest=500)
 
 
 @_register("s05_export_fields", with_ctes(["versioned", "extracted_fields"], """

@@ -65,24 +65,38 @@ def k01(spark, d):
     return R.build_flags(cands, p).select("citation_id", "dv_id", "title", "confidence", "status", "char_start")
 
 
+#: Rules of the fixture: evaluator type, field, comparison, value, outcome, reviewer, severity.
+FIXTURE_RULES = [
+    ("threshold", "commercial.payment_net_days", "<=", "45", "review_required", "finance", "low"),
+    ("threshold", "commercial.payment_net_days", ">=", "10", "unacceptable", "finance", "medium"),
+    ("threshold", "liability.cap_months", ">=", "6", "review_required", "legal", "high"),
+    ("threshold", "renewal.notice_period_days", "<=", "80", "review_required", "business", "medium"),
+    ("threshold", "sla.uptime_pct", ">=", "99.3", "unacceptable", "business", "high"),
+    ("presence", "data.protection", "==", "true", "unacceptable", "privacy", "high"),
+    ("presence", "dates.signature", "==", "true", "review_required", "legal", "medium"),
+    ("presence", "insurance.requirement", "==", "true", "review_required", "procurement", "low"),
+    ("threshold", "confidentiality.years", ">=", "2", "review_required", "legal", "low"),
+]
+
+
 def rules(spark, d):
     specs = F.array(*[F.struct(
         F.lit(i).alias("n"), F.lit(f'{{"type":"{kind}","field":"{field}","op":"{op}","value":{value}}}').alias("evaluator"),
         F.lit(outcome).alias("outcome"), F.lit(sev).alias("severity"), F.lit(reviewer).alias("reviewer_role"))
-        for i, (_, _, kind, field, op, value, outcome, reviewer, sev) in enumerate(K.PLAYBOOK)])
+        for i, (kind, field, op, value, outcome, reviewer, sev) in enumerate(FIXTURE_RULES)])
     return E.workspaces(spark, d).select("workspace_id", F.explode(specs).alias("s")).select(
         "workspace_id", E.concat(F.col("workspace_id"), ".", F.col("s.n")).alias("rule_id"), "s.evaluator", "s.outcome", "s.severity", "s.reviewer_role",
         ((F.col("workspace_id") + F.col("s.n")) % 11 != 0).alias("active"))
 
 
-_PB = ", ".join(f"({i}, '{k}', '{f}', '{op}', '{v}', '{o}', '{s}', '{r}')" for i, (_, _, k, f, op, v, o, r, s) in enumerate(K.PLAYBOOK))
+_PB = ", ".join(f"({i}, '{k}', '{f}', '{op}', '{v}', '{o}', '{s}', '{r}')" for i, (k, f, op, v, o, r, s) in enumerate(FIXTURE_RULES))
 
 
 @_register("k02_playbook", with_ctes(["extracted_fields"], f"""
 SELECT dv_id, workspace_id, rule_id, field_key, result, CASE WHEN result = 'violated' THEN outcome END AS outcome, severity, reviewer_role FROM (
   SELECT v.dv_id, v.workspace_id, v.workspace_id || '.' || p.n AS rule_id, p.field AS field_key, p.outcome, p.severity, p.reviewer AS reviewer_role,
          CASE WHEN p.kind = 'presence' THEN CASE WHEN f.dv_id IS NOT NULL THEN 'ok' ELSE 'violated' END
-              WHEN f.value IS NULL THEN 'not_evaluated' WHEN p.op = '>=' AND TRY_CAST(f.value AS DOUBLE) >= TRY_CAST(p.value AS DOUBLE) THEN 'ok' WHEN p.op = '==' AND f.value = p.value THEN 'ok' ELSE 'violated' END AS result
+              WHEN f.value IS NULL THEN 'not_evaluated' WHEN p.op = '>=' AND TRY_CAST(f.value AS DOUBLE) >= TRY_CAST(p.value AS DOUBLE) THEN 'ok' WHEN p.op = '<=' AND TRY_CAST(f.value AS DOUBLE) <= TRY_CAST(p.value AS DOUBLE) THEN 'ok' WHEN p.op = '==' AND f.value = p.value THEN 'ok' ELSE 'violated' END AS result
   FROM (SELECT o_orderkey AS dv_id, CAST(c_nationkey AS BIGINT) AS workspace_id FROM orders JOIN customer ON c_custkey = o_custkey) v
   JOIN (VALUES {_PB}) p(n, kind, field, op, value, outcome, severity, reviewer) ON (v.workspace_id + p.n) % 11 <> 0
   LEFT JOIN (SELECT dv_id, field_key, coalesce(json_extract_string(CASE WHEN value_normalized LIKE '{{%' THEN value_normalized END, '$.value'), json_extract_string(CASE WHEN value_normalized LIKE '{{%' THEN value_normalized END, '$.days')) AS value
@@ -99,7 +113,7 @@ _SEV = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' TH
 def _queue_sql(where):
     return with_ctes(["risk_flags", "contracts"], f"""
 SELECT q.workspace_id, q.rank, q.flag_id, q.contract_id, c.title AS contract_title, q.severity, q.status FROM (
-  SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY {_SEV}, created_at DESC, flag_id) AS rank FROM risk_flags WHERE {where}) q JOIN contracts c ON c.contract_id = q.contract_id WHERE rank <= 200""")
+  SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY {_SEV}, created_at DESC, flag_id) AS rank FROM risk_flags WHERE {where}) q JOIN contracts c ON c.contract_id = q.contract_id""")
 
 
 def _queue(spark, d, **kw):

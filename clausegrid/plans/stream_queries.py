@@ -55,10 +55,9 @@ def st1b(spark, d):
     return spark.read.parquet(f"{root}/out").select("dv_id", "seq", "status", "done")
 
 
-@_register("st2_alert_sweep", with_ctes(["schedules", "deliveries", "obligations", "memberships"], f"""
+@_register("st2_alert_sweep", with_ctes(["schedules", "deliveries", "obligations"], f"""
 SELECT 'obligations' AS kind, CASE WHEN status = 'active' AND due_date + grace_days < DATE '{AS_OF}' THEN 'overdue' ELSE status END AS status, count(*) AS n FROM obligations GROUP BY 1, 2
-UNION ALL SELECT 'schedules', CASE WHEN scheduled_for <= TIMESTAMP '{AS_OF_TS}' AND schedule_id NOT IN (SELECT schedule_id FROM deliveries)
-  AND (recipient_user_id IS NOT NULL OR workspace_id IN (SELECT workspace_id FROM memberships WHERE role IN ('workspace_admin', 'contract_owner'))) THEN 'sent' ELSE status END, count(*) FROM schedules GROUP BY 1, 2"""))
+UNION ALL SELECT 'schedules', CASE WHEN scheduled_for <= TIMESTAMP '{AS_OF_TS}' AND schedule_id NOT IN (SELECT schedule_id FROM deliveries) THEN 'sent' ELSE status END, count(*) FROM schedules GROUP BY 1, 2"""))
 def st2(spark, d):
     root = _folder(spark)
     sched = DQ.schedules(spark, d)

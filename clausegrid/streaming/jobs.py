@@ -157,14 +157,16 @@ def dedupe_deliveries(stream: DataFrame, out: str, checkpoint: str, order_by: li
 # ------------------------------------------------------------------ alert sweep
 
 def sweep(tables: dict[str, DataFrame], as_of: str, batch: int | None = None, sent: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """One sweep: messages that are due, schedules after delivery, obligations after the overdue rule.
+    """One sweep: messages that are due, their delivery keys (write them before sending), schedules after delivery, obligations after the overdue rule.
 
     `sent` maps messages to (schedule_id, ok) as the transport reports them; by default all go out.
     """
+    due = A.due_schedules(tables["schedules"], tables["deliveries"], as_of, batch)
     messages = A.due_notifications(
         tables["schedules"], tables["deliveries"], tables["obligations"], tables["contracts"], tables["memberships"], tables["users"], as_of, batch)
     results = sent(messages) if sent else messages.select("schedule_id", F.lit(True).alias("ok"))
-    return {"messages": messages, "schedules": A.settle_deliveries(tables["schedules"], results, as_of),
+    return {"messages": messages, "schedules": A.settle_deliveries(tables["schedules"], results, as_of, due),
+            "deliveries": due.select("idempotency_key", "schedule_id"),
             "obligations": O.mark_overdue(tables["obligations"], as_of[:10])}
 
 

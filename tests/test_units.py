@@ -20,6 +20,7 @@ from clausegrid.operators import compare as CMP
 from clausegrid.operators import obligations as O
 from clausegrid.operators import portfolio as P
 from clausegrid.operators import retrieval as R
+from clausegrid.operators import risk as RK
 from clausegrid.operators import text as TX
 from clausegrid.sources import io
 from clausegrid.streaming import jobs as ST
@@ -33,29 +34,24 @@ def values(df, *cols):
 
 # ------------------------------------------------------------------ text
 
-def plain_normalize(s):
-    out, i = [], 0
-    while i < len(s):
-        if s.startswith("-\n", i):
-            i += 2
-        elif s[i] in SPACE:
-            j = i
-            while j < len(s) and s[j] in SPACE:
-                j += 1
-            if out and j < len(s):
-                out.append("\n" if "\n" in s[i:j] else " ")
-            i = j
-        else:
-            out.append(s[i])
-            i += 1
-    return "".join(out)
-
-
-def test_normalize_page(spark):
+def test_normalize_page_properties(spark):
     rng = random.Random(1)
-    texts = ["".join(rng.choice("ab-\n \t\xa0 é😀") for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    texts = ["".join(rng.choice("ab-\n \t\xa0 é😀") for _ in range(rng.randint(0, 25))) for _ in range(400)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.normalize_page("t").alias("n")).collect()
-    assert all(r.n == plain_normalize(r.t) for r in rows)
+    for r in rows:
+        assert "-\n" in r.t or not re.search(f"[{SPACE}]{{2}}", r.n)
+        assert "-\n" in r.t or r.n == r.n.strip(SPACE)
+        assert not set(r.n) & set(SPACE) - {" ", "\n"}
+        letters = f"[-{SPACE}]+"
+        assert re.sub(letters, "", r.n) == re.sub(letters, "", r.t)
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("", ""), ("a", "a"), (" a  b ", "a b"), ("a \n b", "a\nb"), ("a\n\n\nb", "a\nb"), ("con-\ntract", "contract"),
+    ("a\t\xa0b", "a b"), ("a - \n b", "a -\nb"), ("\n\n", ""), ("é😀  é", "é😀 é"),
+])
+def test_normalize_page_cases(spark, text, expected):
+    assert spark.createDataFrame([(text,)], "t string").select(T.normalize_page("t")).first()[0] == expected
 
 
 def plain_dice(a, b):
@@ -373,3 +369,42 @@ def test_limiter_window_edges(spark):
     df = spark.createDataFrame([(1, i, start + dt.timedelta(seconds=s)) for i, s in enumerate(at)], "k long, i long, ts timestamp")
     got = [r.limited for r in ST.rate_flags(df, "k", "ts", "i", 5, 600).orderBy("i").collect()]
     assert got == [sum(1 for x in at[:j + 1] if at[j] - x < 600) > 5 for j in range(len(at))]
+
+
+# ------------------------------------------------------------------ newest rows, several versions and runs
+
+FIELD = "contract_id long, dv_id long, field_id string, prompt_version string, field_key string, value_text string, value_normalized string, validation_status string"
+
+
+def test_promote_dates_takes_both_from_the_newest_version(spark):
+    fields = spark.createDataFrame([
+        (1, 1, "a", "p1", "dates.effective", "2020-01-01", None, "found"), (1, 1, "b", "p1", "dates.expiration", "2021-01-01", None, "found"),
+        (1, 2, "c", "p1", "dates.effective", "2022-01-01", None, "found")], FIELD)
+    contracts = spark.createDataFrame([(1, None, None), (2, "2019-05-05", None)], "contract_id long, effective_date string, expiration_date string").selectExpr(
+        "contract_id", "cast(effective_date AS date) AS effective_date", "cast(expiration_date AS date) AS expiration_date")
+    got = {r.contract_id: (str(r.effective_date), str(r.expiration_date)) for r in O.promote_dates(fields, contracts).collect()}
+    assert got == {1: ("2022-01-01", "None"), 2: ("2019-05-05", "None")}
+
+
+def test_the_newest_run_counts(spark):
+    fields = spark.createDataFrame([
+        (1, 1, "a", "p1", "liability.cap_months", "9 months", '{"value":9}', "found"), (1, 1, "b", "p2", "liability.cap_months", "24 months", '{"value":24}', "found"),
+        (1, 1, "c", "p1", "dates.expiration", "x", '{"date":"2030-01-01"}', "found"), (1, 1, "d", "p2", "dates.expiration", "y", '{"date":"2029-01-01"}', "found"),
+        (1, 1, "e", "p1", "renewal.notice_period_days", "90", '{"days":90}', "found"), (1, 1, "f", "p2", "renewal.notice_period_days", "30", '{"days":30}', "found")], FIELD)
+    rules = spark.createDataFrame([("r", 5, '{"type":"threshold","field":"liability.cap_months","op":">=","value":12}', "x", "high", "legal", True)],
+                                  "rule_id string, workspace_id long, evaluator string, outcome string, severity string, reviewer_role string, active boolean")
+    versions = spark.createDataFrame([(1, 5)], "dv_id long, workspace_id long")
+    assert [r.result for r in RK.evaluate_playbook(versions, fields, rules).collect()] == ["ok"]
+    (notice,) = O.renewal_notice_by(fields).collect()
+    assert (str(notice.expiration_date), notice.notice_days) == ("2029-01-01", 30)
+
+
+def test_sweep_ends_schedules_without_recipients(spark):
+    schedules = spark.createDataFrame([(k, k, 7, "email", "scheduled", "2024-01-01 00:00:00", None) for k in (1, 2)],
+        "schedule_id long, obligation_id long, workspace_id long, channel string, status string, at string, recipient_user_id long").selectExpr(
+        "* except (at)", "cast(at AS timestamp) AS scheduled_for", "0 AS offset_days")
+    none = spark.createDataFrame([], "idempotency_key string")
+    due = A.due_schedules(schedules, none, "2024-02-01 00:00:00")
+    no_result = spark.createDataFrame([], "schedule_id long, ok boolean")
+    assert {r.status for r in A.settle_deliveries(schedules, no_result, "2024-02-01 00:00:00", due).collect()} == {"sent"}
+    assert A.due_schedules(schedules, due.select("idempotency_key"), "2024-02-01 00:00:00").count() == 0
