@@ -9,8 +9,9 @@ sketches put them clearly below the threshold (more than five standard errors) a
 Not all pairs of a bucket are looked at, yet no link that could join two components is left out. In three rounds every bucket of the first bands
 compares its members with one hub, which merges most of a large group. The documents that still share a bucket with another component go
 through an exact prefix join: shingles are ordered from rare to frequent, and two sets that are similar enough must share one among the first
-few of both, so what is unlike its group by its own rare shingles meets nobody. Within a shingle, rows of its most frequent component meet only rows of
-others. Two documents at the threshold share no band with a probability below 1e-7.
+few of both, so what is unlike its group by its own rare shingles meets nobody. Three more rounds of hubs, a few of them for each document, come first and
+merge most of what belongs together; the join itself then takes every pair of documents that are still apart. Within a shingle, rows of its most frequent
+component meet only rows of others. Two documents at the threshold share no band with a probability below 1e-7.
 
 Cases: null and empty texts have an empty set and are linked with nothing; texts of fewer than `words` words have one element, their whole
 sequence; rows that repeat an id count as one document when their texts are equal; an empty table gives an empty result; other columns are
@@ -36,6 +37,8 @@ SLACK = 0.2
 BROADCAST_IDS = 2_000_000
 #: Bands that the rounds of hubs look at.
 FIRST_BANDS = (2, 8, BANDS)
+#: Partners of a document in each round of hubs over prefix shingles; the exact prefix join after them looks at all that are still apart.
+PARTNERS = (8, 16, 32)
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -193,7 +196,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     chosen = keep(active.select(F.col("id").alias("doc_id")).distinct(), "confirm")
     if not chosen.isEmpty():
         sets = _kept_sets(docs, chosen, words)
-        pairs = keep(_sketched(prefix_pairs(sets, root, percent), classes, percent), "pairs")
+        early = prefixes(sets, percent)
+        for seed, partners in enumerate(PARTNERS):
+            pairs = keep(_sketched(hub_pairs(early, root, percent, partners, seed), classes, percent), "pairs")
+            root = _joined(root, _confirmed(pairs, sets, percent))
+            release(pairs)
+        pairs = keep(_sketched(prefix_pairs(early, root, percent), classes, percent), "pairs")
         root = _joined(root, _confirmed(pairs, sets, percent))
     named = classes.select("set_id", "id").join(root, "id", "left").select("set_id", F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
@@ -239,22 +247,42 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(np.full(len(part), doc_id)), pa.array(np.full(len(part), len(t))), pa.array(part)], names=["id", "n", "token"])
 
 
-def prefix_pairs(sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle early enough to reach the threshold: every linked pair is among them."""
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """token, id, n, place: the shingles of each set that come early enough, from rare to frequent, to reach the threshold."""
     rows = sets.select("id", "set").mapInArrow(_tokens, "id long, n long, token long")
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rows = rows.join(shared, "token")
     own = Window.partitionBy("id")  # the shingles of one document
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1  # those of no other come first
     rows = rows.withColumn("place", place).where(F.col("place") * 100 <= F.col("n") * (100 - percent))
-    rows = keep(rows.join(root, "id").select("token", "id", "n", "place", "root"), "prefixes")
+    return keep(rows.select("token", "id", "n", "place"), "prefixes")
+
+
+def _reachable(percent: int):
+    """Whether two sets that meet at these places can reach the threshold, and belong to different components."""
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100 + percent))
+    return (F.col("root") != F.col("root2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("place") <= F.col("n") - need) & (
+        F.col("place2") <= F.col("n2") - need)
+
+
+def hub_pairs(rows: DataFrame, root: DataFrame, percent: int, partners: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of a document and at most `partners` hubs of its prefix shingles. A shingle has up to `partners` hubs, random rows of it."""
+    rows = rows.join(root, "id")
+    drawn = F.xxhash64("id", "token", F.lit(seed))
+    hubs = rows.groupBy("token", F.pmod(drawn, F.lit(partners)).alias("cell")).agg(F.min_by(F.struct("id", "n", "place", "root"), drawn).alias("hub"))
+    hubs = hubs.select("token", F.col("hub.id").alias("id2"), F.col("hub.n").alias("n2"), F.col("hub.place").alias("place2"), F.col("hub.root").alias("root2"))
+    met = rows.join(hubs, "token").where(_reachable(percent)).select("id", "id2").distinct()
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "id2", F.lit(seed)), "id2"))
+    return met.withColumn("turn", turn).where(F.col("turn") <= partners).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def prefix_pairs(rows: DataFrame, root: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle early enough to reach the threshold: every linked pair is among them."""
+    rows = rows.join(root, "id")
     most = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
     others = rows.join(most, "token").where("root <> most").select(
         "token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2"))
-    need = F.ceil((F.col("n") + F.col("n2")) * percent / F.lit(100 + percent))
-    test = (F.col("root") != F.col("root2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("place") <= F.col("n") - need) & (
-        F.col("place2") <= F.col("n2") - need)
-    return rows.join(others, "token").where(test).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return rows.join(others, "token").where(_reachable(percent)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def _kept_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
