@@ -109,8 +109,9 @@ def resolve_citations(evidence: DataFrame, pages: DataFrame, threshold: float =
     end = F.col("char_end").cast("int") - F.col("__base")
     joined = joined.withColumns({"__s": start, "__e": end})
     own = S.dice(_slice(F.col("__text"), F.col("__s"), F.greatest(F.lit(0), F.col("__e") - F.col("__s"))), "quoted_text")
-    scored = joined.withColumn("__own", own)
-    found = scored.withColumn("__hit", F.when(F.col("__own") < threshold, find_slice("__text", "quoted_text", "__s")))
+    # one-element generators: a filter on the result is not pushed below them, so both are evaluated once
+    scored = joined.withColumn("__own", F.explode(F.array(own)))
+    found = scored.withColumn("__hit", F.explode(F.array(F.when(F.col("__own") < threshold, find_slice("__text", "quoted_text", "__s")))))
     score = F.coalesce(F.col("__hit.score"), F.col("__own"))
     ok = F.col("match_confidence") >= threshold
     moved = ok & F.col("__hit").isNotNull()
@@ -158,7 +159,7 @@ def validate_fields(candidates: DataFrame, pages: DataFrame, agreement: float =
     row = row.withColumn("confidence", F.when(kept, confidence).otherwise(F.lit(0.0)))
     status = (F.when(~kept, "not_found").when(F.col("verdict") == "lone conflict", "found").when(conflicting, "conflicting")
               .when(S.confidence_band("confidence") == "low", "needs_confirmation").otherwise("found"))
-    others = F.transform(F.slice("all", 2, 1000000), lambda x: x["citation_id"])
+    others = F.transform(F.slice("all", F.lit(2), F.size("all")), lambda x: x["citation_id"])
     return row.select(
         *[c for c in candidates.columns if c not in ("status", "value_text", "value_normalized", "evidence", "self_confidence")],
         "verdict", status.alias("status"), F.when(kept, value).alias("value_text"),
