@@ -150,13 +150,13 @@ def fts_topk(questions: DataFrame, chunks: DataFrame, k: int = K.CANDIDATES, ind
     key = ["question_id", "workspace_id", "alt"]
     terms = asked.filter(~F.col("negated")).select(*key, F.explode("words").alias("term")).distinct()
     wanted = terms.select("term").distinct()
-    df = index.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    corpus = index.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    rated = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    df = index.join(wanted, "term", "left_semi").groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
+    corpus = index.groupBy("workspace_id", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("workspace_id").agg(
+        F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    rated = terms.join(df, ["workspace_id", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rated.groupBy(*key).agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n_terms"))
     picked = rare.join(index.select("workspace_id", "term", "chunk_id"), ["workspace_id", "term"]).drop("term")
-    n_chunks, avgdl = corpus.select("n").scalar(), corpus.select("avgdl").scalar()
-    hits = picked.join(rated, key).join(index.drop("workspace_id"), ["term", "chunk_id"]).withColumns({"n": n_chunks, "avgdl": avgdl})
+    hits = picked.join(rated, key).join(index.drop("workspace_id"), ["term", "chunk_id"]).join(corpus, "workspace_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(*key, "chunk_id").agg(

@@ -70,8 +70,8 @@ SELECT question_id, chunk_id, score, rank FROM (
     SELECT q.question_id, i.chunk_id, round(sum(ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * i.tf * 2.2 / (i.tf + 1.2 * (0.25 + 0.75 * i.dl / c.avgdl))), 9) AS score
     FROM (SELECT DISTINCT question_id, workspace_id, unnest(t) AS term, n FROM (SELECT *, len(list_distinct(t)) AS n FROM (
             SELECT question_id, workspace_id, list_filter({_TOK.format(x='question')}, lambda w: NOT list_contains([{_STOP}], w)) AS t FROM questions))) q
-    JOIN text_index i ON i.term = q.term AND i.workspace_id = q.workspace_id JOIN (SELECT term, count(*) AS df FROM text_index GROUP BY term) d ON d.term = q.term
-    CROSS JOIN (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT chunk_id, max(dl) AS dl FROM text_index GROUP BY chunk_id)) c
+    JOIN text_index i ON i.term = q.term AND i.workspace_id = q.workspace_id JOIN (SELECT workspace_id, term, count(*) AS df FROM text_index GROUP BY 1, 2) d ON d.term = q.term AND d.workspace_id = q.workspace_id
+    JOIN (SELECT workspace_id, count(*) AS n, avg(dl) AS avgdl FROM (SELECT workspace_id, chunk_id, max(dl) AS dl FROM text_index GROUP BY 1, 2) GROUP BY 1) c ON c.workspace_id = q.workspace_id
     GROUP BY q.question_id, i.chunk_id HAVING count(*) = max(q.n))) WHERE rank <= 40""")
 CTE["fused"] = (["vector_hits", "text_hits"], """
 SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
