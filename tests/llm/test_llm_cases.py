@@ -237,6 +237,29 @@ def test_tree_matching_is_the_largest_mapping():
     assert texts["p"] > 0 and texts["h2"] == -1 and merged.kids[0].kids[1].pages == 1
 
 
+def test_constants_by_share_of_pages_small_hosts_and_neighbours(frame):
+    def body(k):
+        foot = "Imprint 2019" if k % 10 == 0 else "Imprint 2020"  # varies on a tenth of the pages
+        return f'<div class="x"><p>story {k} starts</p><p>Please write to us</p><p>story {k} ends</p></div><div class="z">{foot}</div>'
+
+    pages = [_page(body(k), k=k) for k in range(100)]
+    pages += [_page(f'<h2>About</h2><p>one {k}</p><h2>Shop</h2><p>two {k}</p>', "two.example", k) for k in (200, 201)]
+    pages += [_page("<p>same</p><p>text</p>", "copies.example", 300)] * 4  # one page, however often it is read
+    got = {r.page_id: r.text for r in op6.extract_pages(frame(pages, "page_id long, url string, html string")).collect()}
+    for k in range(100):
+        assert got[k] == f"story {k} starts story {k} ends" + (" Imprint 2019" if k % 10 == 0 else "")
+    assert (got[200], got[201], got[300]) == ("one 200 two 200", "one 201 two 201", "same text")
+
+
+def test_children_of_one_kind_stay_apart():
+    a = op6.shape([op6.parse("<h2>a</h2><p>b</p><h2>c</h2><p>d</p><p>e</p>")])
+    assert [k.kind for k in a.kids] == ["h2", "p", "h2", "p"] and len(a.kids[3].texts) == 2
+    total = a
+    for k in range(2000):
+        total = op6.merge(total, op6.shape([op6.parse(f"<h2>a</h2><p>b{k}</p><h2>c</h2><p>{k}</p><p>e</p>")]))
+    assert [len(k.constant()) for k in total.kids] == [1, 0, 1, 1] and max(len(k.texts) for k in total.kids) <= op6.KEPT
+
+
 # op7
 
 
