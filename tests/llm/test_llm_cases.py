@@ -260,6 +260,14 @@ def test_children_of_one_kind_stay_apart():
     assert [len(k.constant()) for k in total.kids] == [1, 0, 1, 1] and max(len(k.texts) for k in total.kids) <= op6.KEPT
 
 
+def test_every_varying_slot_stays():
+    assert op6.extract(f"<body><h1>Title</h1><p>Lead</p><div class=text>{'long ' * 200}</div></body>") == "Title Lead " + ("long " * 200).strip()
+    assert op6.extract("<main><article>one</article><article>two, longer</article></main><p>last</p>") == "one two, longer last"
+    html = ("<article><h2 id='related-work'>Related work</h2><section id='navigation'>At sea</section><div class='entry-header'><h1>T</h1></div>"
+            "<h2 class='banner'>B</h2><div class='post cookie-notice'>no</div><div class='sidebar'>no</div></article><article class='comment'>no</article>")
+    assert op6.extract(html) == "Related work At sea T B"
+
+
 # op7
 
 
