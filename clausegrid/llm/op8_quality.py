@@ -8,7 +8,7 @@ in one group. A document is rejected when its perplexity is above its language's
 trusted documents' high quantile to the untrusted documents' low quantile, and never below the former.
 
 Cases: a null or empty text has no perplexity and is rejected; a null language is a language of its own; a language with fewer
-than `LEAST` trusted documents takes the limit of all; without trusted documents nothing is rejected but empty texts; repeated rows are scored
+than `LEAST` trusted documents (the model hardly knows its characters, so another language's limit says nothing about it) has no limit and loses only empty texts; repeated rows are scored
 again; other columns are ignored; long texts are coded in one block of their own.
 
 Block numbers come from the partition, so `docs` must give the same partitions when read twice, as a table in files does. A
@@ -210,15 +210,14 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def limits(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """lang, limit; and one row with `every` for the languages not listed."""
+    """lang, limit of every language with enough trusted documents."""
     one = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = scored.where("logp IS NOT NULL").select("doc_id", "lang", (-F.col("logp") / F.col("n_chars")).alias("rate")).join(one, "doc_id")
     high = F.percentile_approx(F.when(F.col("quality") == 1, F.col("rate")), TRUSTED_QUANTILE, 100_000)
     low = F.percentile_approx(F.when(F.col("quality") == 0, F.col("rate")), UNTRUSTED_QUANTILE, 100_000)
     limit = F.greatest(F.col("high"), F.coalesce(F.col("high") + MARGIN * (F.col("low") - F.col("high")), F.col("high")))
     by = known.groupBy("lang").agg(high.alias("high"), low.alias("low"), F.sum((F.col("quality") == 1).cast("long")).alias("trusted")).where(F.col("trusted") >= LEAST)
-    every = known.agg(high.alias("high"), low.alias("low"))
-    return by.select("lang", limit.alias("limit"), F.lit(False).alias("every")).unionByName(every.select(F.lit(None).cast("string").alias("lang"), limit.alias("limit"), F.lit(True).alias("every")))
+    return by.select("lang", limit.alias("limit"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,11 +227,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs.join(F.broadcast(good) if small else good, "doc_id", "left_semi"))
     scored = keep(score(docs, model), "scores")
     found = keep(limits(scored, labels), "limits")
-    by = found.where("NOT every").select(F.col("lang").alias("l"), F.col("limit").alias("own"))
-    top = found.where("every").select(F.col("limit").alias("all"))
-    overall = top.first()
-    overall = overall["all"] if overall else None
-    rows = scored.join(by, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("bound", F.coalesce("own", F.lit(overall).cast("double")))
+    by = found.select(F.col("lang").alias("l"), F.col("limit").alias("bound"))
+    rows = scored.join(by, F.col("lang").eqNullSafe(F.col("l")), "left")
     rate = -F.col("logp") / F.col("n_chars")
     return rows.select("doc_id", "lang", "n_chars", F.exp(rate).alias("perplexity"), F.exp("bound").alias("limit"),
                        F.coalesce(F.when(rate.isNotNull(), F.coalesce(rate <= F.col("bound"), F.lit(True))), F.lit(False)).alias("kept"))

@@ -352,6 +352,20 @@ def test_quality_held_out(spark):
     assert kept[1] > 0.97 and kept[0] < 0.5
 
 
+def test_a_language_without_enough_trusted_documents_stays(frame):
+    rng = random.Random(11)
+    def word(alphabet):
+        return "".join(rng.choice(alphabet) for _ in range(5))
+    rows = [(i, " ".join(word("abcde") for _ in range(40)), "en") for i in range(60)]
+    rows += [(100 + i, " ".join(word("漢字文書契約条項") for _ in range(40)), "ja" if i % 2 else None) for i in range(20)]
+    rows += [(200, "zq#%&!xj" * 20, "en"), (201, "", "ja")]
+    docs = op8.keep(frame(rows, "doc_id long, text string, lang string"), "docs")
+    labels = frame([(i, 1) for i in range(60)] + [(100 + i, 1) for i in range(8)] + [(200, 0)], "doc_id long, quality int")
+    got = {r.doc_id: (r.kept, r.limit) for r in op8.classify(docs, labels).collect()}
+    assert all(got[100 + i] == (True, None) for i in range(20))
+    assert all(got[i][0] for i in range(60)) and not got[200][0] and not got[201][0]
+
+
 def test_quality_cases(odd, none, frame):
     labels = frame([], "doc_id long, quality int")
     docs = op8.keep(odd, "odd")
