@@ -5,7 +5,7 @@ j) says whether to stay on the character or go on. Texts that differ by few edit
 distance becomes Hamming distance between the embeddings (the character under the walk at each step). A fingerprint
 samples the embedding at 512 places and keeps one random bit of each character found. The places for a text of n
 characters lie below 2 n steps and are chosen by minimum over shared random numbers, so texts of similar length share
-nearly all of them. `near_links` bands sampled bits and verifies what meets by exact bounded edit distance.
+nearly all of them. `near_links` bands sampled bits of the distinct texts and verifies all pairs that meet by exact bounded edit distance; no registered query runs it.
 
 Likeness is 2 * (share of equal bits) - 1, at least 0: unequal characters agree in half of the bits.
 
@@ -28,6 +28,7 @@ from clausegrid.llm.common import keep, parallelism
 
 SLOTS, PERIOD, SEED, SLICE = 512, 4096, 20_011, 1 << 16
 PAD = 256
+BLOCK = 2000
 
 
 def _tables():
@@ -235,16 +236,28 @@ def _verify(most: int):
 
 
 def near_links(docs: DataFrame, most: int = 64, bands: int = 24, width: int = 20) -> DataFrame:
-    """Links (doc_id, hub_id) of texts within `most` edits: each band takes `width` sampled bits of the fingerprint, every
-    document that shares them is compared with the smallest id among those that do."""
+    """Links (doc_id, hub_id) of texts within `most` edits, hub_id the smaller. Equal texts are linked to the smallest id that has the text, which stands for
+    them all; each band takes `width` sampled bits of the fingerprint, and all pairs that share them are compared. The width is at least the number of binary digits of the number of
+    texts, so that unrelated texts do not fill the buckets, with four bands more for each bit more. Buckets are paired in cells of two blocks of about `BLOCK`; pairs within a
+    family of near copies stay as many as they are."""
+    rows = keep(fingerprints(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digest", F.sha2("text", 256)), "near-fingerprints")
+    classes = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min("fingerprint").alias("fingerprint")), "near-classes")
+    ids = classes.select("digest", "class_id")
+    equal = rows.select("digest", "doc_id").join(ids, "digest").where("doc_id > class_id").select("doc_id", F.col("class_id").alias("hub_id")).distinct()
+    wide = min(max(width, classes.count().bit_length()), SLOTS)
+    bands += 4 * (wide - width)
     rng = np.random.default_rng(SEED + 1)
-    bits = F.conv  # hex digits to bits, 16 at a time
-    rows = keep(fingerprints(docs), "near-fingerprints")
-    binary = F.concat(*[F.lpad(bits(F.substring("fingerprint", 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(SLOTS // 32)])
-    picks = [F.concat(F.lit(f"{k}:"), *[F.substring("binary", int(p) + 1, 1) for p in rng.choice(SLOTS, width, False)]) for k in range(bands)]
-    banded = rows.select("doc_id", binary.alias("binary")).select("doc_id", F.explode(F.array(*picks)).alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("doc_id").alias("hub_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(hubs, "band").where("doc_id > hub_id").select("doc_id", "hub_id").distinct()
-    texts = rows.select("doc_id", "text")
-    both = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("hub_id"), F.col("text").alias("hub_text")), "hub_id")
-    return both.select("doc_id", "hub_id", "text", "hub_text").mapInArrow(_verify(most), "doc_id long, hub_id long")
+    binary = F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(SLOTS // 32)])
+    picks = [F.concat(F.lit(f"{k}:"), *[F.substring("binary", int(p) + 1, 1) for p in rng.choice(SLOTS, wide, False)]) for k in range(bands)]
+    banded = keep(classes.select("digest", binary.alias("binary")).select("digest", F.explode(F.array(*picks)).alias("band")), "near-bands")
+    full = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    cells = banded.join(full, "band").withColumn("own", F.pmod(F.xxhash64("digest"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", "digest", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    # texts of one block meet in the block's own cell, of two blocks in the cell of both
+    a, b = cells.toDF("band", "digest", "own", "low", "high"), cells.toDF("band", "digest_b", "own_b", "low", "high")
+    pairs = a.join(b, ["band", "low", "high"]).where("digest < digest_b AND (own <> own_b OR low = high)").select("digest", "digest_b").distinct()
+    texts = rows.join(ids, "digest").where("doc_id <=> class_id").select("digest", "class_id", "text").dropDuplicates(["digest"])
+    both = pairs.join(texts, "digest").join(texts.toDF("digest_b", "id_b", "text_b"), "digest_b").where("class_id <> id_b")
+    near = both.select(F.greatest("class_id", "id_b").alias("doc_id"), F.least("class_id", "id_b").alias("hub_id"), "text", "text_b").mapInArrow(
+        _verify(most), "doc_id long, hub_id long")
+    return equal.unionByName(near).distinct()

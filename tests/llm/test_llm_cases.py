@@ -106,6 +106,21 @@ def test_near_links(frame):
     assert {(2, 1), (3, 1)} <= got and not any(4 in p for p in got)
 
 
+@pytest.mark.parametrize("block", [2000, 2])
+def test_near_links_do_not_hang_on_the_smallest_id(frame, monkeypatch, block):
+    monkeypatch.setattr(op1, "BLOCK", block)
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("abcdefghij ") for _ in range(600))
+    rows = [(i, text()) for i in range(30)]  # unrelated, with the smallest ids
+    for i in range(30, 60, 3):
+        base = text()
+        far = base[:200] + "#" * 20 + base[200:]
+        rows += [(i, far), (i + 1, base), (i + 2, base[:300] + "X" + base[301:])]
+    rows += [(100, rows[31][1]), (101, None), (102, "")]
+    got = {(r.doc_id, r.hub_id) for r in op1.near_links(frame(rows, "doc_id long, text string"), most=8, bands=2, width=1).collect()}
+    assert got == {(i + 2, i + 1) for i in range(30, 60, 3)} | {(100, 31), (102, 101)}
+
+
 # op2
 
 
