@@ -1,9 +1,10 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source owns a queue of its documents in a fixed random order, passed through up to three times. A copy's virtual
-finish time is the number of its source's words up to its end, divided by the source's target; all queues together are
-sorted by that time and cut at the total budget. The cut falls inside a document where the budget ends there, so every
-source gets its target to within one word.
+Each source owns a queue of its documents in a fixed random order, passed through up to three times. `mix` cuts every
+queue at its source's target, which is where its virtual time is 1: one prefix sum over all queues, no sort by finish
+time. The cut falls inside a document where the target ends there, so every source gets its target to within one word.
+`schedule` orders the copies taken by virtual finish time: the number of their source's words up to their end, divided
+by the source's target. Neither the query nor the pipeline needs that order.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; repeated rows are separate entries of
 the queue; an empty table gives an empty result; other columns are ignored."""
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
 
 
 def schedule(taken: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """The mix itself: copies in the order of virtual finish time, cut at the total budget: doc_id, copy, words, finish, position
+    """The mix itself: copies, cut at their sources' targets, in the order of virtual finish time: doc_id, copy, words, finish, position
     (words of the mix before it)."""
     copies = taken.withColumn("copy", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
     before = F.col("copy") * F.col("source_size") + F.col("start")
