@@ -18,6 +18,9 @@ from clausegrid.llm import (
     op8_quality,
     op9_sharding,
     op10_near_dedup,
+    op11_whitening,
+    op12_runs,
+    op13_secrets,
 )
 from clausegrid.llm.common import table
 
@@ -73,6 +76,18 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_near_dedup.link(table(spark, sf_dir, "documents"), words=2)
 
 
+def whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_runs.report(table(spark, sf_dir, "documents"))
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_secrets.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -90,5 +105,8 @@ QUERIES = {
     "op8_quality_classifier": (quality, None),
     "op9_sharding": (sharding, None),
     "op10_near_dedup": (near_dedup, op10_near_dedup.SQL),
+    "op11_whitening": (whitening, None),
+    "op12_periodic_runs": (runs, None),
+    "op13_secret_scan": (secrets, op13_secrets.sql()),
     "pipeline": (pipeline, None),
 }
