@@ -45,6 +45,23 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a string column without nulls, and the offsets of its texts in them, from 0."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(offsets) else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+
+
+def row_slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes, one row at least."""
+    first, n = 0, len(offsets) - 1
+    while first < n:
+        last = min(max(int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1, first + 1), n)
+        yield first, last
+        first = last
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import keep
+from clausegrid.llm.common import keep, row_slices, text_buffer
 
 BROADCAST_KEYS = 2_000_000
 SEGMENT_BYTES, SEGMENT_DOCS = 16_000_000, 16_384
@@ -202,42 +202,26 @@ def _segments(trigrams: Sequence[int]):
             codes = np.array(wanted, np.int32)[both[cuts, 0]] if len(cuts) else np.zeros(0, np.int32)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), segment)), pa.array(codes), lists], names=["segment", "trigram", "keys"])
 
-        for whole in batches:
-            at = 0
-            while at < whole.num_rows:
-                b = whole.slice(at, 1024)
-                at += b.num_rows
-                keys = b.column(0).to_numpy()
-                texts = b.column(1)
-                offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-                data = texts.buffers()[2]
-                for first, last in _slices(offsets, SEGMENT_BYTES):
-                    raw = _LOWER[np.frombuffer(data, np.uint8)[offsets[first] : offsets[last]]] if data is not None else np.zeros(0, np.uint32)
-                    if len(raw) > 2:
-                        found = place[raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]]
-                        hits = np.flatnonzero(found >= 0)
-                        row = np.searchsorted(offsets[first : last + 1] - offsets[first], hits, "right") - 1
-                        inside = hits + 2 < (offsets[first : last + 1] - offsets[first])[row + 1]
-                        pair = np.unique((found[hits[inside]].astype(np.int64) << 32) | row[inside])
-                        postings.append(np.stack([pair >> 32, keys[first + (pair & 0xFFFFFFFF)]], axis=1))
-                    size, docs = size + len(raw), docs + last - first
-                    if size >= SEGMENT_BYTES or docs >= SEGMENT_DOCS:
-                        yield out()
-                        segment, postings, size, docs = segment + 1, [], 0, 0
+        for b in batches:
+            keys, (data, offsets) = b.column(0).to_numpy(), text_buffer(b.column(1))
+            for first, last in row_slices(offsets, SEGMENT_BYTES):
+                raw, ends = _LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
+                if len(raw) > 2:
+                    found = place[raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]]
+                    hits = np.flatnonzero(found >= 0)
+                    row = np.searchsorted(ends, hits, "right") - 1
+                    inside = hits + 2 < ends[row + 1]
+                    pair = np.unique((found[hits[inside]].astype(np.int64) << 32) | row[inside])
+                    postings.append(np.stack([pair >> 32, keys[first + (pair & 0xFFFFFFFF)]], axis=1))
+                size, docs = size + len(raw), docs + last - first
+                if size >= SEGMENT_BYTES or docs >= SEGMENT_DOCS:
+                    yield out()
+                    segment, postings, size, docs = segment + 1, [], 0, 0
         yield out()
 
     return run
 
 
-def _slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about `most` bytes, one row at least."""
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = max(int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1, first + 1)
-        yield first, min(last, n)
-        first = min(last, n)
-
-
 def index(docs: DataFrame, trigrams: Sequence[bytes]) -> DataFrame:
     """The posting lists: (segment, trigram, keys) for the given trigrams, `keys` the distinct hashes of the segment's texts that hold one."""
     rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).cast("string").alias("text"))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -21,6 +22,9 @@ from clausegrid.llm import (
     op8_quality as op8,
     op9_sharding as op9,
     op10_near_dedup as op10,
+    op11_whitening as op11,
+    op12_runs as op12,
+    op13_secrets as op13,
 )
 from clausegrid.llm.queries import tokenizer_path
 
@@ -197,26 +201,66 @@ def test_topk_few_candidates_and_large_values(frame):
 # op5
 
 
+def _mixed(rows):
+    """The mix copy by copy: the queue whose next copy ends at the smallest virtual time goes on, until the budget is reached."""
+    order = sorted({r[2] for r in rows}, key=lambda x: (x is None, (x or "").encode()))
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    total = {x: sum(size[r[0]] for r in rows if r[2] == x) for x in order}
+    weight, held = {x: k % 3 + 1 for k, x in enumerate(order)}, set()
+    while True:
+        free = [x for x in order if x not in held]
+        level = (sum(total.values()) - sum(3 * total[x] for x in held)) / sum(weight[x] for x in free)
+        more = {x for x in free if 3 * total[x] < level * weight[x]}
+        if not more:
+            break
+        held |= more
+    target = {x: float(3 * total[x]) if x in held else level * weight[x] for x in order}
+    copies = []
+    for k, x in enumerate(order):
+        queue, done = sorted((r[0] for r in rows if r[2] == x), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)), 0
+        for _ in range(3):
+            for i in queue:
+                done += size[i]
+                if size[i]:
+                    copies.append((done / target[x], k, done, i))
+    left, took = sum(size.values()), Counter()
+    for _, _, _, i in sorted(copies):
+        took[i] += min(left, size[i])
+        left -= min(left, size[i])
+    return size, took, target
+
+
 def test_mix(frame, odd, none):
     rng = random.Random(4)
     rows = [(i, " w" * rng.choice([0, 1, 5, 40]), rng.choice(["a", "b", "b", "b", "c", "é", None])) for i in range(400)]
-    got = op5.mix(frame(rows, DOCS)).collect()
-    size, taken, target = Counter(), Counter(), {}
+    size, took, target = _mixed(rows)
+    got = op5.report(frame(rows, DOCS, 5)).collect()
+    assert {(r.doc_id, r.size, r.taken) for r in got} == {(i, size[i], took[i]) for i in size} and len(got) == len(rows)
+    source = {r[0]: r[2] for r in rows}
+    by = Counter()
     for r in got:
-        size[r.source] += r.size
-        taken[r.source] += r.taken
-        target[r.source] = r.target
-        assert 0 <= r.taken <= 3 * r.size
-    assert sum(target.values()) == pytest.approx(sum(size.values()))
-    for s in size:
-        assert target[s] <= 3 * size[s] and abs(taken[s] - target[s]) <= 1
-    assert {(r.doc_id, r.taken) for r in op5.report(frame(rows, DOCS, 5)).collect()} == {(r.doc_id, r.taken) for r in got}
+        by[source[r.doc_id]] += r.taken
+        assert r.target == pytest.approx(target[source[r.doc_id]]) and r.taken <= 3 * r.size
+    assert sum(by.values()) == sum(size.values()) and all(abs(by[x] - target[x]) <= 40 for x in by)
     order = op5.schedule(op5.mix(frame(rows, DOCS))).collect()
-    assert sum(r.words for r in order) == sum(taken.values())
-    ends = sorted((r.position, r.words) for r in order)
-    assert all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+    ends = sorted((r.position, r.words, r.finish) for r in order)
+    assert all(a + n == b and f <= g for (a, n, f), (b, _, g) in zip(ends, ends[1:]))
     assert op5.report(odd).count() == len(ODD) and op5.report(none).count() == 0
-    assert op5.choose(odd).columns == odd.columns
+
+
+def test_choose(frame, odd, none):
+    rng = random.Random(5)
+    rows = [(i, " w" * rng.choice([0, 1, 5, 40]), rng.choice("ab")) for i in range(200)]
+    size, took, _ = _mixed(rows)
+    got = Counter(r.doc_id for r in op5.choose(frame(rows, DOCS)).collect())
+    assert got == Counter({i: (2 * took[i] + size[i]) // (2 * size[i]) - (2 * took[i] % (2 * size[i]) == size[i]) for i in size if size[i] and 2 * took[i] > size[i]})
+    out = op5.choose(odd)
+    assert out.columns == odd.columns and {r.doc_id for r in out.collect()} <= {3, 4, 5, 6}
+    assert op5.choose(none).count() == 0
+    blank = frame([(1, " " * 60, "a", 9, 9), (2, None, "a", 9, 9), (3, "one word", "a", 9, 9), (3, "three more words", "b", 9, 9)], DOCS + ", _row int, _copies int")
+    out = op5.choose(blank)
+    assert out.columns == blank.columns and {(r.doc_id, r.text) for r in out.collect()} <= {(3, "one word"), (3, "three more words")}
+    assert op5.choose(frame([(1, " ", "a"), (2, None, None)], DOCS)).count() == 0
 
 
 # op6
@@ -290,7 +334,6 @@ def test_packing(frame, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     rows = [(1, None), (2, ""), (3, "  two  spaces \n and 'll <|endoftext|>"), (4, "word " * 9000), (5, "ünï " * 3)]
     got = op7.pack(frame(rows, "doc_id long, text string"), tokenizer_path()).collect()
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
@@ -488,3 +531,191 @@ def test_components_of_a_chain(frame):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (102, 100)]
     got = {r.id: r.root for r in op10.components(frame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 102: 100}
+
+
+# op11
+
+
+def _whitened(rows):
+    import numpy as np
+
+    x = np.array([[math.floor(256 * c) for c in v] for _, v in rows], np.int64)
+    fit = np.unique(x, axis=0)
+    mean = fit.mean(axis=0)
+    e, v = np.linalg.eigh((fit - mean).T @ (fit - mean) / len(fit))
+    deviation = ((len(fit) * x - fit.sum(axis=0)) ** 2).sum(axis=1)
+    return len(fit), deviation, (x - mean) @ v[:, ::-1][:, :4] / np.sqrt(np.maximum(e[::-1][:4], 1e-300)), e[::-1] / e.sum()
+
+
+def test_whitening_brute_force(frame):
+    rng = random.Random(12)
+    scale = [3.0, 2.0, 1.5, 1.2, 1.0, 0.4, 0.0, 0.1, 0.1]
+    rows = [(i, [rng.gauss(1, s) for s in scale]) for i in range(300)]
+    rows += [(i, rows[7][1]) for i in range(300, 420)]  # a third are copies
+    bad = [(500, None), (501, []), (502, [math.nan] * 9), (503, [None] + [1.0] * 8), (504, [math.inf] * 9), (505, [1.0, 2.0]), (506, [1e300] * 9)]
+    table = frame([r + (0, 1) for r in rows + bad], "vec_id long, embedding array<double>, component int, x int")
+    n, deviation, want, explained = _whitened(rows)
+    got = {(r.vec_id, r.component): r for r in op11.report(table).collect()}
+    assert set(got) == {(i, k) for i, _ in rows for k in (1, 2, 3, 4)}
+    for k in range(4):
+        sign = 1 if got[0, k + 1].whitened * want[0][k] > 0 else -1
+        for at, (i, _) in enumerate(rows):
+            r = got[i, k + 1]
+            assert (r.n, r.deviation) == (n, deviation[at]) and r.whitened == pytest.approx(sign * want[at][k], abs=1e-8)
+            assert r.explained == pytest.approx(explained[k], rel=1e-9) and r.identity_error < 1e-9
+
+
+def test_whitening_finds_equal_eigenvalues(frame):
+    rows = [(k, [s * 2.0 if j == k % 5 else 0.0 for j in range(6)]) for k, s in enumerate([1, 1, 1, 0.75, 0.5, -1, -1, -1, -0.75, -0.5])]
+    got = op11.report(frame(rows, "vec_id long, embedding array<double>")).collect()
+    share = {r.component: r.explained for r in got}
+    assert [share[k] for k in (1, 2, 3, 4)] == pytest.approx([1 / 3.8125] * 3 + [0.5625 / 3.8125]) and got[0].identity_error < 1e-9
+
+
+def test_whitening_cases(frame):
+    schema = "vec_id long, embedding array<double>"
+    assert op11.report(frame([], schema)).count() == 0
+    assert op11.report(frame([(1, None)], schema)).count() == 0
+    assert op11.report(frame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], schema)).count() == 0  # nothing varies
+    rows = op11.report(frame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (None, [3.0, -2.0]), (2, [0.0, -0.0])], schema)).collect()
+    assert Counter((r.vec_id, r.component) for r in rows) == {(1, 1): 2, (1, 2): 2, (None, 1): 1, (None, 2): 1, (2, 1): 1, (2, 2): 1}
+    big = op11.report(frame([(1, [1e15]), (2, [-1e15]), (3, [0.0])], schema)).collect()
+    assert {(r.vec_id, r.deviation) for r in big} == {(1, None), (2, None), (3, 0)}  # beyond 64 bits
+
+
+# op12
+
+
+def _runs(words):
+    found, n = [], len(words)
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            s, e = i, j + q
+            if e - s >= max(24, 3 * q) and not any(all(words[k] == words[k + r] for k in range(s, e - r)) for r in range(1, q)):
+                found.append((s, e - s, q))
+            i = max(j, i + 1)
+    return sorted(found)
+
+
+def _planted(rng, letters, length):
+    words = []
+    while len(words) < length:
+        if rng.random() < 0.5:
+            words += [rng.randrange(letters) for _ in range(rng.randrange(1, 15))]
+        else:
+            period = [rng.randrange(letters) for _ in range(rng.randrange(1, 14))]
+            words += (period * rng.randrange(2, 12))[: rng.randrange(5, 120)]
+    return words
+
+
+def test_runs_brute_force():
+    rng = random.Random(13)
+    total = 0
+    for _ in range(1500):
+        words = _planted(rng, rng.choice([1, 2, 3, 5, 20]), rng.choice([10, 30, 60, 200]))
+        if rng.random() < 0.3:
+            words += words[: rng.randrange(len(words))]
+        want = _runs(words)
+        assert op12.periodic_runs(words) == want
+        total += len(want)
+    assert total > 500
+    fibonacci = [0], [0, 1]
+    while len(fibonacci[1]) < 600:
+        fibonacci = fibonacci[1], fibonacci[1] + fibonacci[0]
+    assert op12.periodic_runs(fibonacci[1]) == _runs(fibonacci[1])
+
+
+def test_grammar_derives_the_text():
+    rng = random.Random(14)
+    for _ in range(200):
+        words = _planted(rng, 4, 100)
+        symbols, left = op12.grammar(words)
+        covered = set(range(len(words)))
+        for part, size, at in symbols:
+            assert 0 < part < size and len(at) > 1 and len({tuple(words[p : p + size]) for p in at}) == 1
+        assert left[0] == 0 and set(left) <= covered
+
+
+def test_long_runs_take_linear_time():
+    n = 200_000
+    assert op12.periodic_runs([7] * n) == [(0, n, 1)]
+    assert op12.periodic_runs([k % 1000 for k in range(n)]) == [(0, n, 1000)]
+
+
+def test_runs_report(frame, odd, none):
+    rng = random.Random(15)
+    rows = [(i, " \t\n".join(f"w{c}" for c in _planted(rng, 3, rng.randrange(0, 90)))) for i in range(300)] + [(300, None), (301, ""), (None, "a b")]
+    got = {r.doc_id: r for r in op12.report(frame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        words = (text or "").split()
+        h, n = zlib.crc32(str(i).encode() if i is not None else b""), len((text or "").split())
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (k - a) % p] for k in range(a, n)]
+        runs = _runs(words)
+        dropped = {k for s, length, q in runs for k in range(s + q, s + length)}
+        best = min(runs, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=(None, None, None))
+        r = got[i]
+        assert (r.n_runs, (r.start, r.length, r.period)) == (len(runs), best)
+        assert r.exponent_milli == (1000 * best[1] // best[2] if runs else None)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in dropped).encode()).hexdigest()
+    rows = op12.report(odd).collect()
+    assert len(rows) == len(ODD) and {(r.start, r.length, r.period) for r in rows if r.doc_id == 5} == {(0, 30_000, 1)}
+    assert op12.report(none).count() == 0
+
+
+# op13
+
+
+def _spans(text, rules):
+    out = []
+    for k, r in enumerate(rules):
+        for m in re.finditer(r.pattern, text, re.ASCII | (re.IGNORECASE if r.fold else 0)):
+            if len(m.group(r.group)) >= r.least:
+                out.append((m.start(), k, f"{r.kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+def test_secrets_brute_force(frame, odd, none):
+    rng = random.Random(16)
+    parts = ["password", "PassWd", "secret", "TOKEN", "apikey", "api_key", "=", ":", " ", '"', "'", "abcd1234", "x", "AKIA", "ABCDEFGH1234", "0123456789abcdef",
+             "é", "\u212aey", "ghp_", "A" * 36, "eyJ", ".", "-----BEGIN ", "PRIVATE KEY-----", "https://", "user:pass@host", "words of text", "\n"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 40)))) for i in range(1500)] + [(2000, None), (2001, "")]
+    rows += [(3000 + i, "token = abcdefgh1") for i in range(200)]
+    rules = op13.BASE + op13.MORE
+    got = {r.doc_id: r for r in op13.report(frame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        base, spans = _spans(text or "", op13.BASE), _spans(text or "", rules)
+        r = got[i]
+        assert r.spans == ",".join(spans)
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(s.startswith(k + ":") for s in base) for k in ("assign", "access", "hex")]
+    assert op13.report(odd).count() == len(ODD) and op13.report(none).count() == 0
+
+
+def test_trigram_queries():
+    assert op13.trigram_query("abcd") == ("and", (b"abc", b"bcd"))
+    assert op13.trigram_query("AB[cC]x*d") == b"abc"
+    assert op13.trigram_query("(one|two)+z?") == ("or", (b"one", b"two"))
+    assert op13.trigram_query("[0-9a-f]+") is True and op13.trigram_query("(abc|)") is True and op13.trigram_query("a.c") is True
+    assert op13.trigram_query("x(abc)*yz1") == b"yz1"
+    held = lambda q, t: q is True or (q in t if isinstance(q, bytes) else (all if q[0] == "and" else any)(held(p, t) for p in q[1]))
+    for rule, text in zip(op13.BASE + op13.MORE, [
+            "API_KEY : 'abcdefgh", "AKIAABCDEFGH1234", "0123456789abcdef" * 2, "ghs_" + "a" * 36, "xoxp-" + "1" * 20, "AIza" + "x" * 40,
+            "rk_live_" + "1" * 20, "eyJa.eyJb.c" + "x" * 20, "-----BEGIN RSA PRIVATE KEY-----", "ftp://me:pw@host"]):
+        assert rule.compiled().search(text) and held(op13.trigram_query(rule.pattern), text.lower().encode())
+
+
+def test_rules_without_an_index(frame):
+    docs = frame([(1, "deadbeef" * 5), (2, "ÄÖ"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in op13.find(docs, op13.BASE[2:]).collect()}
+    assert got == {1: [("hex", 0, 40)], 2: [], 3: []}
+    assert {r.doc_id for r in op13.find(docs, [op13.Rule("umlaut", "ÄÖ")]).collect() if r.spans} == {2}

@@ -17,8 +17,8 @@ def test_sql(spark, name):
     assert diff is None and rows > 0
 
 
-def test_eleven_queries():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)] + ["pipeline"]
+def test_fourteen_queries():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)] + ["pipeline"]
 
 
 def test_pipeline_stages(spark):
