@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +89,60 @@ def dice_table(pairs: DataFrame, key: str, a: str, b: str, out: str = "score") -
     return facts.join(shared, key, "left").select(key, score.alias(out))
 
 
+def _gram_counts(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of several texts as (row << 42 | bigram), ascending and distinct, and how often each occurs."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+    if len(codes) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = (row[:-1] << 42 | codes[:-1] << 21 | codes[1:])[row[:-1] == row[1:]]
+    return np.unique(keys, return_counts=True)
+
+
+def dice_scores(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Dice of normalised texts, row by row, in time linear in their length: all rows' bigrams are counted by one sort."""
+    same = np.array([x == y for x, y in zip(a, b)], bool)
+    la, lb = (np.array([len(t) for t in side], np.int64) for side in (a, b))
+    (ka, na), (kb, nb) = _gram_counts(a), _gram_counts(b)
+    shared = np.zeros(len(a))
+    if len(ka) and len(kb):
+        at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+        hit = kb[at] == ka
+        np.add.at(shared, (ka[hit] >> 42), np.minimum(na[hit], nb[at[hit]]))
+    score = np.where((la < 2) | (lb < 2), 0.0, 2.0 * shared / np.maximum(la + lb - 2, 1))
+    return np.where(same, 1.0, score)
+
+
+#: Characters that are counted at once.
+_SCORED = 2_000_000
+
+
+def _scored_in_slices(a: pd.Series, b: pd.Series) -> pd.Series:
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    rows = np.flatnonzero(known)
+    left, right = a.to_numpy(object)[rows], b.to_numpy(object)[rows]
+    ends = np.cumsum([len(x) + len(y) for x, y in zip(left, right)])
+    first = 0
+    while first < len(rows):
+        upto = (ends[first - 1] if first else 0) + _SCORED
+        last = max(int(np.searchsorted(ends, upto, "right")), first + 1)
+        out[rows[first:last]] = dice_scores(left[first:last], right[first:last])
+        first = last
+    return pd.Series([None if np.isnan(x) else x for x in out], dtype=object).astype("Float64") if not known.all() else pd.Series(out)
+
+
+@cache
+def _dice_udf():
+    # marked non-deterministic so that a filter on the score is not pushed below it and scored again
+    return F.pandas_udf(_scored_in_slices, "double").asNondeterministic()
+
+
+def dice_batched(na: Column, nb: Column) -> Column:
+    """Dice of two normalised columns, batch by batch; the native form numbers equal bigrams in quadratic time."""
+    return _dice_udf()(na, nb)
+
+
 def content_words(text: Column | str) -> Column:
     parts = F.split(normalize_for_compare(text), "[^a-z0-9]+")
     kept = F.filter(parts, lambda w: F.length(w) > 2)

@@ -55,11 +55,11 @@ def words(text: Column | str) -> Column:
 
 
 def clause_type(title: Column | str, body: Column | str) -> Column:
-    """First clause type whose pattern hits the title or the first 400 characters of the body."""
-    title, head = F.coalesce(col(title), F.lit("")), F.substring(col(body), 1, 400)
+    """First clause type whose pattern hits the title or the body."""
+    title, body = F.coalesce(col(title), F.lit("")), col(body)
     chain = None
     for pattern, name in K.CLAUSE_TYPES:
-        hit = title.rlike(pattern) | head.rlike(pattern)
+        hit = title.rlike(pattern) | body.rlike(pattern)
         chain = F.when(hit, name) if chain is None else chain.when(hit, name)
     return chain
 

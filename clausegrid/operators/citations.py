@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,72 +28,112 @@ def _slice(text: Column, start: Column, size: Column) -> Column:
     return F.substr(text, start + 1, size)
 
 
-def _loose_pattern(nq: Column) -> Column:
-    """A normalised quote as a pattern that accepts any spelling of quotes, dashes and spaces."""
-    p = F.regexp_replace(nq, r"([\\.^$|?*+()\[\]{}])", r"\\$1")
-    p = F.replace(p, F.lit("-"), F.lit("[-–—]"))
-    p = F.replace(p, F.lit("'"), F.lit("['‘’]"))
-    p = F.replace(p, F.lit('"'), F.lit('["“”]'))
-    return F.replace(p, F.lit(" "), F.lit(f"[{K.WS}]+"))
-
-
-def _loose_hit(page: Column, quote: Column, pattern: Column, hint: Column) -> Column:
-    """Nearest place where the page equals the quote up to case, quotes, dashes and spaces."""
-    at_start = F.concat(F.lit("(?iu)^(?:"), pattern, F.lit(")"))
-    pieces = F.split(page, F.concat(F.lit("(?iu)(?="), pattern, F.lit(")")), -1)
-
-    def locate(cut: Column) -> Column:
-        later = F.when(F.size(cut) > 1, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(cut) - 1, F.lit(1))),
-            lambda i: F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)))
-        ).otherwise(F.array().cast("array<int>"))
-        first = F.when(F.rlike(page, at_start), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(F.concat(first, later), lambda s: s < F.length(page))
-        return F.array_min(F.transform(starts, lambda s: F.struct(F.abs(s - F.coalesce(hint, s)).alias("d"), s.alias("s"))))["s"]
-
-    def span(start: Column) -> Column:
-        found = F.call_function("regexp_extract", _slice(page, start, F.length(page)), at_start, F.lit(0))
-        return F.when(start.isNotNull(), _span(start, start + F.length(found), S.dice(found, quote)))
-
-    return S.let(S.let(pieces, locate), span)
-
-
-def _fuzzy_hit(page: Column, quote: Column, q: Column, hint: Column) -> Column:
-    """Best of a grid of windows around the hint (over the whole page without one)."""
-    n = F.length(page)
-    span = F.greatest(F.length(quote), F.lit(40))
-    step = F.greatest(F.lit(20), F.floor(span / 4)).cast("int")
-    lo = F.when(hint.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), hint - span * 4)).cast("int")
-    hi = F.when(hint.isNull(), n).otherwise(F.least(n, hint + span * 4)).cast("int")
-    grid = F.when(lo + span <= hi, F.sequence(lo, F.greatest(lo, hi - span), step)).otherwise(F.array().cast("array<int>"))
-    sizes = F.array(span, F.floor(span * F.lit(0.8)).cast("int"), F.ceil(span * F.lit(1.25)).cast("int"))
-
-    def windows(s: Column) -> Column:
-        return F.transform(sizes, lambda z, k: F.struct(
-            F.when(s + z <= n, S.let(S.profile(_slice(page, s, z)), lambda w: S.dice_of_profiles(w, q))).alias("score"),
-            (-s).alias("early"), (-k).alias("order"), s.alias("start"), (s + z).alias("end")))
-
-    best = F.array_max(F.filter(F.flatten(F.transform(grid, windows)), lambda w: w["score"].isNotNull()))
-    return S.let(best, lambda b: F.when(b["score"] >= K.REANCHOR_FLOOR, _span(b["start"], b["end"], b["score"])))
-
-
-def find_slice(page: Column | str, quote: Column | str, hint: Column | str | None = None) -> Column:
+_WS = frozenset(re.sub(r"\\x\{([0-9a-f]+)\}|\\([tnfr])", lambda m: chr(int(m[1], 16)) if m[1] else {"t": "\t", "n": "\n", "f": "\f", "r": "\r"}[m[2]],
+                       K.WS.replace(r"\x{2000}-\x{200a}", "".join(map(chr, range(0x2000, 0x200B))))))
+_UNIFY = str.maketrans(K.COMPARE_FROM, K.COMPARE_TO)
+_LOOSE = str.maketrans(K.LOOSE_FROM, K.LOOSE_TO)
+
+
+def _lower(text: str) -> str:
+    """Lower case without changing the number of characters."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _collapsed(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with white space runs as one space, the place of each of its characters in `text`, and which characters of `text` are white."""
+    white = np.fromiter((c in _WS for c in text), bool, len(text))
+    kept = ~white
+    kept[1:] |= ~white[:-1]
+    kept[:1] = True
+    at = np.flatnonzero(kept)
+    return "".join([" " if white[i] else text[i] for i in at]), at, white
+
+
+def loose_hit(page: str, quote: str, hint: int | None) -> tuple[int, int] | None:
+    """The place nearest the hint where the page equals the normalised quote up to case, quotes, dashes and spaces."""
+    flat, at, _ = _collapsed(_lower(page.translate(_LOOSE)))
+    best, i = None, flat.find(quote)
+    while i >= 0:
+        start = int(at[i])
+        distance = abs(start - hint) if hint is not None else 0
+        if best is None or distance < best[0]:
+            best = (distance, start, int(at[i + len(quote) - 1]) + 1)
+        i = flat.find(quote, i + 1)
+    return best and best[1:]
+
+
+def fuzzy_hit(page: str, quote: str, length: int) -> tuple[int, int, float] | None:
+    """The best window of the whole page: starts on a grid, three sizes around the quote's `length`.
+
+    Only bigrams of the quote count: their places in the page are posting lists, and a window's share of each list is found by its two ends."""
+    n, span = len(page), max(length, 40)
+    step = max(20, span // 4)
+    starts = np.arange(0, n - span + 1, step)
+    if not len(starts) or len(quote) < 2:
+        return None
+    sizes = [span, int(span * 0.8), int(np.ceil(span * 1.25))]
+    begin = np.repeat(starts, 3)
+    end = begin + np.tile(sizes, len(starts))
+    begin, end = begin[end <= n], end[end <= n]
+    flat, at, white = _collapsed(_lower(page.translate(_UNIFY)))
+    solid = np.flatnonzero(~white)
+    if not len(solid):
+        return None
+    # a window without its white edges, as a range of the collapsed text
+    place = np.zeros(n, np.int64)
+    place[at] = np.arange(len(at))
+    first = np.minimum(np.searchsorted(solid, begin), len(solid) - 1)
+    last = np.searchsorted(solid, end) - 1
+    low, high = place[solid[first]], np.where(last >= first, place[solid[np.maximum(last, 0)]] + 1, place[solid[first]])
+    code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    grams = code[:-1] << 21 | code[1:]
+    order = np.argsort(grams, kind="stable")
+    ranked = grams[order]
+    q = np.frombuffer(quote.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    shared = np.zeros(len(low), np.int64)
+    for gram, count in zip(*np.unique(q[:-1] << 21 | q[1:], return_counts=True)):
+        lo, hi = np.searchsorted(ranked, [gram, gram + 1])
+        if hi > lo:
+            posting = order[lo:hi]
+            held = np.searchsorted(posting, high - 1) - np.searchsorted(posting, low)
+            shared += np.minimum(np.maximum(held, 0), count)
+    size = high - low
+    score = np.where(size < 2, 0.0, 2.0 * shared / np.maximum(size + len(quote) - 2, 1))
+    best = int(np.argmax(score))  # the first of equals: earliest start, then the first size
+    return (int(begin[best]), int(end[best]), float(score[best])) if score[best] >= K.REANCHOR_FLOOR else None
+
+
+@cache
+def _inexact_udf():
+    def search(page: pd.Series, quote: pd.Series, form: pd.Series, hint: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, raw, flat, at in zip(page, quote, form, hint):
+            row = (None, None, None)
+            if isinstance(text, str) and flat:
+                if near := loose_hit(text, flat, None if at is None or at != at else int(at)):
+                    row = (*near, 1.0)
+                elif window := fuzzy_hit(text, flat, len(raw)):
+                    row = window
+            rows.append(row)
+        return pd.DataFrame({"start": pd.array([r[0] for r in rows], "Int32"), "end": pd.array([r[1] for r in rows], "Int32"),
+                             "score": pd.array([r[2] for r in rows], "Float64")})
+
+    return F.pandas_udf(search, "start int, end int, score double").asNondeterministic()
+
+
+def find_slice(page: Column | str, quote: Column | str, hint: Column | str | None = None, only: Column | None = None) -> Column:
     """Where a quote stands in a page: struct<start, end, score>, null when nowhere.
 
-    Exact text first, then the same text up to case, quotes, dashes and spaces (nearest to
-    the hint), then the best window on a grid. All steps work inside one row, and each is
-    evaluated only where the one before found nothing.
-    """
+    Exact text first; then, for the rest, the same text up to case, quotes, dashes and spaces (nearest to the hint), then the best window
+    of a grid over the whole page. `only`: rows to look at."""
     page, quote = T.col(page), T.col(quote)
     hint = F.lit(None).cast("int") if hint is None else T.col(hint).cast("int")
-    exact = F.instr(page, quote)
-
-    def inexact(q: Column) -> Column:
-        return F.when(q["n"] != "", F.coalesce(
-            S.let(_loose_pattern(q["n"]), lambda p: _loose_hit(page, quote, p, hint)), _fuzzy_hit(page, quote, q, hint)))
-
-    return (F.when((exact > 0) & (T.normalize_for_compare(quote) != ""), _span(exact - 1, exact - 1 + F.length(quote), F.lit(1.0)))
-            .otherwise(S.let(S.profile(quote), inexact)))
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    form, exact = T.normalize_for_compare(quote), F.instr(page, quote)
+    rest = _inexact_udf()(F.when(wanted & (exact == 0), page), quote, form, hint)
+    hit = F.when(wanted & (exact > 0) & (form != ""), _span(exact - 1, exact - 1 + F.length(quote), F.lit(1.0)))
+    return F.coalesce(hit, F.when(rest["start"].isNotNull(), _span(rest["start"], rest["end"], rest["score"])))
 
 
 def resolve_citations(evidence: DataFrame, pages: DataFrame, threshold: float = K.CITATION_THRESHOLD,
@@ -108,10 +152,9 @@ def resolve_citations(evidence: DataFrame, pages: DataFrame, threshold: float =
     start = F.col("char_start").cast("int") - F.col("__base")
     end = F.col("char_end").cast("int") - F.col("__base")
     joined = joined.withColumns({"__s": start, "__e": end})
-    own = S.dice(_slice(F.col("__text"), F.col("__s"), F.greatest(F.lit(0), F.col("__e") - F.col("__s"))), "quoted_text")
-    # one-element generators: a filter on the result is not pushed below them, so both are evaluated once
-    scored = joined.withColumn("__own", F.explode(F.array(own)))
-    found = scored.withColumn("__hit", F.explode(F.array(F.when(F.col("__own") < threshold, find_slice("__text", "quoted_text", "__s")))))
+    slice_ = _slice(F.col("__text"), F.col("__s"), F.greatest(F.lit(0), F.col("__e") - F.col("__s")))
+    scored = joined.withColumn("__own", S.dice_batched(T.normalize_for_compare(slice_), T.normalize_for_compare("quoted_text")))
+    found = scored.withColumn("__hit", find_slice("__text", "quoted_text", "__s", only=F.col("__own") < threshold))
     score = F.coalesce(F.col("__hit.score"), F.col("__own"))
     ok = F.col("match_confidence") >= threshold
     moved = ok & F.col("__hit").isNotNull()

@@ -1,4 +1,4 @@
-"""Comparison of document versions: clause alignment, changed pairs and change rows.
+"""Comparison of document versions: which versions, clause alignment, changed pairs and change rows.
 
 Clauses carry pair_id (one base and one target version), clause_id, char_start,
 section_ref and text; `ord` is the text order.
@@ -6,7 +6,12 @@ section_ref and text; `ord` is the text order.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausegrid import constants as K
@@ -15,92 +20,158 @@ from clausegrid.functions import similarity as S
 from clausegrid.functions import text as T
 from clausegrid.operators.citations import resolve_citations
 from clausegrid.operators.text import page_of
-from clausegrid.session import cut_lineage
 
+#: Distinct base texts of one comparison that meet its target texts in one place.
+BLOCK = 256
 
-def similar_clauses(left: DataFrame, right: DataFrame, threshold: float = K.ALIGN_THRESHOLD, chars: int = K.ALIGN_CHARS) -> DataFrame:
-    """Clause pairs of one comparison with dice above the threshold (exact prefix filtering).
 
-    Two sets whose dice exceeds t share more than t/(2-t) of either; so with tokens in one
-    global order (rarest first) they must meet within the first n - floor(n*t/(2-t)) tokens.
-    Only clauses meeting there are scored, and the join key includes the token, which
-    spreads a comparison with very many clauses.
-    """
-    def tokens(df: DataFrame, side: str) -> DataFrame:
-        prof = df.select("pair_id", "clause_id", S.profile(F.substring("text", 1, chars)).alias("p"))
-        return prof.select(F.lit(side).alias("side"), "pair_id", "clause_id", F.col("p.n").alias("norm"), F.col("p.g").alias("grams"))
-
-    both = cut_lineage(ordered.stack(tokens(left, "l"), tokens(right, "r")))  # read six times below
-    exploded = both.select("side", "pair_id", "clause_id", F.explode("grams").alias("g"))
-    freq = exploded.groupBy("g").agg(F.count("*").alias("freq"))
-    share = threshold / (2 - threshold)
-    sorted_grams = exploded.join(freq, "g").groupBy("side", "pair_id", "clause_id").agg(F.array_sort(F.collect_list(F.struct("freq", "g"))).alias("s"))
-    n = F.size("s")
-    prefix = sorted_grams.select("side", "pair_id", "clause_id", n.alias("n"), F.explode(
-        F.slice("s", F.lit(1), (n - F.floor(n * F.lit(share))).cast("int"))).alias("x")).select("side", "pair_id", "clause_id", "n", "x.g")
-    a = prefix.filter("side = 'l'").select("pair_id", "g", F.col("clause_id").alias("base_id"), F.col("n").alias("na"))
-    b = prefix.filter("side = 'r'").select("pair_id", "g", F.col("clause_id").alias("target_id"), F.col("n").alias("nb"))
-    near = a.join(b, ["pair_id", "g"]).filter(2 * F.least("na", "nb") > threshold * (F.col("na") + F.col("nb")))
-    pairs = near.select("pair_id", "base_id", "target_id").distinct()
-    # texts too short for bigrams are similar only when equal
-    short = both.filter(F.length("norm") < 2)
-    equal = (short.filter("side = 'l'").select("pair_id", "norm", F.col("clause_id").alias("base_id"))
-             .join(short.filter("side = 'r'").select("pair_id", "norm", F.col("clause_id").alias("target_id")), ["pair_id", "norm"]))
-    pairs = ordered.stack(pairs, equal.select("pair_id", "base_id", "target_id"))
-    lp = both.filter("side = 'l'").select(F.col("clause_id").alias("base_id"), F.struct(F.col("norm").alias("n"), F.col("grams").alias("g")).alias("lp"))
-    rp = both.filter("side = 'r'").select(F.col("clause_id").alias("target_id"), F.struct(F.col("norm").alias("n"), F.col("grams").alias("g")).alias("rp"))
-    scored = pairs.join(lp, "base_id").join(rp, "target_id").withColumn("score", S.dice_of_profiles(F.col("lp"), F.col("rp")))
-    return scored.filter(F.col("score") > threshold).select("pair_id", "base_id", "target_id", "score")
-
-
-def greedy_matches(edges: DataFrame) -> DataFrame:
-    """One-to-one matching in base order: each base takes its best target still free.
-
-    Edges: pair_id, base_id, base_ord, target_id, target_ord, score. An edge that is the best
-    of its base and the first of its target is final, so rounds of mutual bests reach the
-    same result as the sequential walk. Every round is a grouped aggregate and a join, its
-    rest is checkpointed; matched rows are kept by round.
-    """
-    edges = cut_lineage(edges)
-    done = None
-    while not edges.isEmpty():
-        best = edges.groupBy("pair_id", "base_id").agg(
-            F.max_by("target_id", F.struct("score", -F.col("target_ord"), "target_id")).alias("target_id"))
-        first = edges.groupBy("pair_id", "target_id").agg(F.min_by("base_id", F.struct("base_ord", "base_id")).alias("base_id"))
-        hits = cut_lineage(best.join(first, ["pair_id", "base_id", "target_id"]).join(
-            edges.select("pair_id", "base_id", "target_id", "score"), ["pair_id", "base_id", "target_id"]))
-        done = hits if done is None else ordered.stack(done, hits)
-        edges = cut_lineage(edges.join(hits.select("pair_id", "base_id"), ["pair_id", "base_id"], "left_anti")
-                            .join(hits.select("pair_id", "target_id"), ["pair_id", "target_id"], "left_anti"))
-    return done if done is not None else edges.select("pair_id", "base_id", "target_id", "score")
-
-
-def align_clauses(base: DataFrame, target: DataFrame) -> DataFrame:
+def consecutive_versions(versions: DataFrame) -> DataFrame:
+    """Every version of a contract with the one before it: pair_id, contract_id, base_id, target_id, base_version, target_version.
+
+    `versions`: contract_id, dv_id, version_number."""
+    order = W.partitionBy("contract_id").orderBy("version_number", "dv_id")
+    rows = versions.select("contract_id", "dv_id", "version_number", F.lag(F.struct("dv_id", "version_number")).over(order).alias("base"))
+    return rows.filter(F.col("base").isNotNull()).select(
+        F.concat_ws(">", F.col("base.dv_id"), F.col("dv_id")).alias("pair_id"), "contract_id", F.col("base.dv_id").alias("base_id"),
+        F.col("dv_id").alias("target_id"), F.col("base.version_number").alias("base_version"), F.col("version_number").alias("target_version"))
+
+
+def start_comparisons(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """What becomes of requested comparisons: `action` is refused (versions of different contracts or a missing one), reuse (a comparison
+    that did not fail exists), restart (one failed) or create.
+
+    `wanted`: base_id, target_id, base_contract_id, target_contract_id; `existing`: comparison_id, base_id, target_id, status."""
+    known = ordered.latest(existing, ["base_id", "target_id"], ["comparison_id"])
+    same = F.coalesce(F.col("base_contract_id") == F.col("target_contract_id"), F.lit(False))
+    found = F.col("comparison_id").isNotNull()
+    return wanted.join(known, ["base_id", "target_id"], "left").select(
+        "base_id", "target_id", F.when(same, F.col("comparison_id")).alias("comparison_id"),
+        F.when(~same, "refused").when(found & (F.col("status") != "failed"), "reuse").when(found, "restart").otherwise("create").alias("action"),
+        F.when(same, F.when(found & (F.col("status") != "failed"), F.col("status")).otherwise("computing")).alias("status"))
+
+
+def _classes(clauses: DataFrame, chars: int | None) -> DataFrame:
+    """Clauses with `class`, one id for all clauses of a comparison with the same normalised text, and that text on the class's own row."""
+    text = F.substring("text", 1, chars) if chars else F.col("text")
+    rows = clauses.withColumn("norm", T.normalize_for_compare(text))
+    rows = rows.withColumn("class", F.min("clause_id").over(W.partitionBy("pair_id", "norm")))
+    return rows.withColumn("norm", F.when(F.col("class") == F.col("clause_id"), F.col("norm")))
+
+
+def _similar_classes(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """pair_id, base_class, target_class, score of the distinct texts with dice above the threshold.
+
+    Two texts whose dice exceeds t have bigram counts whose ratio is below (2 - t) / t, so texts meet only within neighbouring bands of length;
+    the base texts of a large comparison lie in blocks, which the target texts visit. One batched count of bigrams scores them."""
+    width = math.log((2 - threshold) / threshold)
+
+    def texts(rows: DataFrame, name: str) -> DataFrame:
+        grams = F.length("norm") - 1
+        band = F.when(grams < 1, -9).otherwise(F.floor(F.log(grams.cast("double")) / width)).cast("int")
+        return rows.filter("norm IS NOT NULL").select("pair_id", F.col("class").alias(name), F.col("norm").alias(f"{name}_norm"), grams.alias(f"{name}_grams"), band.alias("band"))
+
+    a, b = texts(left, "base_class"), texts(right, "target_class")
+    blocks = a.groupBy("pair_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    a = a.join(blocks, "pair_id").withColumn("block", F.pmod(F.xxhash64("base_class"), F.col("blocks")).cast("int")).drop("blocks")
+    a = a.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    b = b.join(blocks, "pair_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    na, nb = F.col("base_class_grams"), F.col("target_class_grams")
+    near = a.join(b, ["pair_id", "band", "block"]).filter(
+        (F.col("base_class_norm") == F.col("target_class_norm")) | (2 * F.least(na, nb) > threshold * (na + nb)))
+    scored = near.withColumn("score", S.dice_batched(F.col("base_class_norm"), F.col("target_class_norm")))
+    return scored.filter(F.col("score") > threshold).select("pair_id", "base_class", "target_class", "score")
+
+
+def similar_clauses(left: DataFrame, right: DataFrame, threshold: float = K.ALIGN_THRESHOLD, chars: int | None = None) -> DataFrame:
+    """Clause pairs of one comparison with dice above the threshold: pair_id, base_id, target_id, score. Equal texts are scored once."""
+    a, b = _classes(left, chars), _classes(right, chars)
+    edges = _similar_classes(a, b, threshold)
+    return (edges.join(a.select("pair_id", F.col("class").alias("base_class"), F.col("clause_id").alias("base_id")), ["pair_id", "base_class"])
+            .join(b.select("pair_id", F.col("class").alias("target_class"), F.col("clause_id").alias("target_id")), ["pair_id", "target_class"])
+            .select("pair_id", "base_id", "target_id", "score"))
+
+
+_MATCH = pa.schema([("base_id", pa.string()), ("target_id", pa.string())])
+
+
+def _walk(rows: pa.Table) -> pa.Table:
+    """One comparison: every base in text order takes the best target that is still free for it.
+
+    Targets of one text are a queue in text order; a target that is used, or kept for an earlier base from some place on, never becomes free
+    again, so every queue is only ever read forward."""
+    edges, queues, bases = defaultdict(list), defaultdict(list), []
+    for kind, own, other, place, until, score in zip(*(rows.column(c).to_pylist() for c in ("kind", "id", "class", "ord", "until", "score"))):
+        if kind == "edge":
+            edges[own].append((-score, other))
+        elif kind == "target":
+            queues[other].append((place, own, until))
+        else:
+            bases.append((place, own, other))
+    for e in edges.values():
+        e.sort()
+    for q in queues.values():
+        q.sort(key=lambda t: (-t[0], t[1]))  # the first in text order at the end; of one place the greatest id
+    found = []
+    for place, base, text in sorted(bases):
+        best, choices = None, edges[text]
+        for negative, target_text in choices:
+            if best is not None and negative > best[0]:
+                break
+            queue = queues[target_text]
+            while queue and queue[-1][2] is not None and queue[-1][2] <= place:
+                queue.pop()
+            if queue and (best is None or queue[-1][0] < best[1]):
+                best = (negative, queue[-1][0], target_text)
+        if best:
+            found.append((base, queues[best[2]].pop()[1]))
+        edges[text] = [c for c in choices if queues[c[1]]]
+    return pa.Table.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*found)) or [(), ()])], schema=_MATCH)
+
+
+def greedy_matches(bases: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFrame:
+    """One-to-one matching in base order: each base takes its best target still free; base_id, target_id.
+
+    `bases`: pair_id, base_id, class, ord; `targets`: pair_id, target_id, class, ord, until (a place from which on the target is not free);
+    `edges`: pair_id, base_class, target_class, score. The walk depends on all earlier choices, so a comparison is one group: ids and
+    places of the clauses of two versions, without texts, and one edge for each two similar texts."""
+    def rows(df: DataFrame, kind: str, own: str, other: str, place: Column, until: Column, score: Column) -> DataFrame:
+        return df.select("pair_id", F.lit(kind).alias("kind"), F.col(own).cast("string").alias("id"), F.col(other).cast("string").alias("class"),
+                         place.cast("long").alias("ord"), until.cast("long").alias("until"), score.cast("double").alias("score"))
+
+    null = F.lit(None)
+    with_edge = edges.select("pair_id").distinct()
+    every = ordered.stack(
+        rows(edges, "edge", "base_class", "target_class", null, null, F.col("score")),
+        rows(bases.join(edges.select("pair_id", F.col("base_class").alias("class")).distinct(), ["pair_id", "class"], "left_semi"), "base", "base_id", "class", F.col("ord"), null, null),
+        rows(targets.join(with_edge, "pair_id", "left_semi"), "target", "target_id", "class", F.col("ord"), F.col("until"), null))
+    return every.groupBy("pair_id").applyInArrow(_walk, "base_id string, target_id string")
+
+
+def align_clauses(base: DataFrame, target: DataFrame, chars: int | None = None) -> DataFrame:
     """Pairs of clauses: same section first, then greedy by similarity; leftovers are one-sided.
 
-    Output: pair_id, base_id, target_id, base_ord, how (section, similar, removed, added).
+    Output: pair_id, base_id, target_id, base_ord, how (section, similar, removed, added). `chars`: compare only so many characters.
     """
     b = base.select("pair_id", F.col("clause_id").alias("base_id"), F.col("char_start").alias("base_ord"), "section_ref", "text")
     by_ref = target.filter(F.col("section_ref").isNotNull()).groupBy("pair_id", "section_ref").agg(
         F.max_by("clause_id", F.struct("char_start", "clause_id")).alias("target_id"))
     joined = b.join(by_ref, ["pair_id", "section_ref"], "left")
     same = joined.filter(F.col("target_id").isNotNull()).select("pair_id", "base_id", "base_ord", "target_id")
-    rest = joined.filter(F.col("target_id").isNull())
-    left = rest.select("pair_id", F.col("base_id").alias("clause_id"), "text")
+    left = _classes(joined.filter(F.col("target_id").isNull()).select("pair_id", F.col("base_id").alias("clause_id"), "base_ord", "text"), chars)
     offered = target.join(left.select("pair_id").distinct(), "pair_id", "left_semi")
-    edges = similar_clauses(left, offered.select("pair_id", "clause_id", "text"))
-    taken = same.groupBy("pair_id", "target_id").agg(F.min("base_ord").alias("taken_at"))
-    edges = (edges.join(rest.select("base_id", "base_ord"), "base_id")
-             .join(target.select(F.col("clause_id").alias("target_id"), F.col("char_start").alias("target_ord")), "target_id")
-             .join(taken, ["pair_id", "target_id"], "left")
-             .filter(F.col("taken_at").isNull() | (F.col("taken_at") > F.col("base_ord"))).drop("taken_at"))
-    similar = greedy_matches(edges).join(rest.select("base_id", "base_ord"), "base_id").select("pair_id", "base_id", "base_ord", "target_id")
+    right = _classes(offered.select("pair_id", "clause_id", "char_start", "text"), chars)
+    taken = same.groupBy("pair_id", "target_id").agg(F.min("base_ord").alias("until"))
+    similar = greedy_matches(
+        left.select("pair_id", F.col("clause_id").alias("base_id"), "class", F.col("base_ord").alias("ord")),
+        right.select("pair_id", F.col("clause_id").alias("target_id"), "class", F.col("char_start").alias("ord")).join(taken, ["pair_id", "target_id"], "left"),
+        _similar_classes(left, right, K.ALIGN_THRESHOLD))
+    similar = similar.join(b.select("pair_id", "base_id", "base_ord"), "base_id").select("pair_id", "base_id", "base_ord", "target_id")
     matched = ordered.stack(same.withColumn("how", F.lit("section")), similar.withColumn("how", F.lit("similar")))
-    removed = b.select("pair_id", "base_id", "base_ord").join(matched.select("base_id"), "base_id", "left_anti").withColumns(
-        {"target_id": F.lit(None).cast("string"), "how": F.lit("removed")})
+    used = matched.select("target_id").distinct()
+    b_side = b.select("pair_id", "base_id", "base_ord").join(matched.select("base_id", "target_id", "how"), "base_id", "left")
     added = target.select("pair_id", F.col("clause_id").alias("target_id"), F.col("char_start").alias("base_ord")).join(
-        matched.select("target_id"), "target_id", "left_anti").withColumns({"base_id": F.lit(None).cast("string"), "how": F.lit("added")})
-    return ordered.stack(matched, removed, added)
+        used, "target_id", "left_anti").withColumns({"base_id": F.lit(None).cast("string"), "how": F.lit("added")})
+    return ordered.stack(b_side.withColumn("how", F.coalesce("how", F.lit("removed"))), added)
 
 
 def with_texts(aligned: DataFrame, base: DataFrame, target: DataFrame) -> DataFrame:
@@ -111,50 +182,70 @@ def with_texts(aligned: DataFrame, base: DataFrame, target: DataFrame) -> DataFr
     return aligned.join(b, "base_id", "left").join(t, "target_id", "left")
 
 
-def changed_pairs(pairs: DataFrame, limit: int = K.MAX_LISTED_CHANGES) -> tuple[DataFrame, DataFrame]:
-    """Matched pairs whose texts really differ: the first `limit` per comparison in text order,
-    and per comparison the total with its completeness."""
+def changed_pairs(pairs: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matched pairs whose texts really differ, in text order with their rank per comparison, and per comparison the total
+    with its completeness: `partial` where a `limit` leaves some out."""
     both = pairs.filter(F.col("base_id").isNotNull() & F.col("target_id").isNotNull())
-    differ = both.filter(T.collapse_lower("b_text") != T.collapse_lower("t_text")).filter(
-        S.dice(F.substring("b_text", 1, K.CHANGED_CHARS), F.substring("t_text", 1, K.CHANGED_CHARS)) < K.CHANGED_BELOW)
-    totals = differ.groupBy("pair_id").agg(F.count("*").alias("changed")).withColumn(
-        "status", F.when(F.col("changed") > limit, "partial").otherwise("ready"))
+    differ = both.filter(T.collapse_lower("b_text") != T.collapse_lower("t_text"))
+    differ = differ.withColumn("__dice", S.dice_batched(T.normalize_for_compare("b_text"), T.normalize_for_compare("t_text")))
+    differ = differ.filter(F.col("__dice") < K.CHANGED_BELOW).drop("__dice")
+    over = F.lit(False) if limit is None else F.col("changed") > limit
+    totals = differ.groupBy("pair_id").agg(F.count("*").alias("changed")).withColumn("status", F.when(over, "partial").otherwise("ready"))
     return ordered.top_n(differ, ["pair_id"], [F.col("base_ord"), F.col("base_id")], limit), totals
 
 
 def _resolve(rows: DataFrame, side: str, quote: Column, pages: DataFrame) -> DataFrame:
+    """Citations of a clause that resolve. Without an own quote a clause is cited by what its first page holds of it."""
     spans = rows.select("change_id", F.col(f"{side}_dv_id").alias("dv_id"), F.col(f"{side}_char_start").cast("int").alias("char_start"),
-                        F.col(f"{side}_char_end").cast("int").alias("char_end"), quote.alias("quoted_text"))
+                        F.col(f"{side}_char_end").cast("int").alias("char_end"), quote.alias("quoted_text"), F.col(f"{side}_text").alias("clause_text"))
     placed = page_of(spans, pages, "char_start", "page", fallback="first")
+    ends = pages.select("dv_id", F.col("page_number").alias("page"), F.col("char_end").cast("int").alias("page_end"))
+    placed = placed.join(ends, ["dv_id", "page"])
+    on_page = F.substr("clause_text", F.lit(1), F.greatest(F.lit(0), F.col("page_end") - F.col("char_start")))
+    placed = placed.withColumns({"quoted_text": F.coalesce("quoted_text", on_page), "char_end": F.least("char_end", "page_end")}).drop("clause_text", "page_end")
     return resolve_citations(placed, pages, global_spans=True).filter("resolvable").select(
         "change_id", F.concat_ws("#", "change_id", F.lit(side)).alias(f"{side}_citation_id"))
 
 
-def build_changes(listed: DataFrame, labels: DataFrame, one_sided: DataFrame, pages: DataFrame, limit: int = K.MAX_LISTED_CHANGES) -> DataFrame:
-    """Change rows: labelled pairs whose impact text is clean and whose two spans resolve, and
-    added or removed clauses (at most `limit` per comparison) with one span.
+CHANGE_COLUMNS = ["change_id", "pair_id", "change_type", "impact_category", "is_material", "clause_ref", "before_text", "after_text", "business_impact",
+                  "risk_delta", "suggested_reviewer_role", "base_citation_id", "target_citation_id", "confidence"]
+
+
+def build_changes(listed: DataFrame, labels: DataFrame, one_sided: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Change rows (CHANGE_COLUMNS): labelled pairs whose impact text is clean and whose two spans resolve, and
+    added or removed clauses with one span.
 
     `labels`: pair_id, rank, change_type, impact_category, is_material, business_impact,
-    before_text, after_text.
+    before_text, after_text (quotes, or null), risk_delta, suggested_reviewer_role, self_confidence.
     """
     named = listed.join(labels.filter(T.lint_clean("business_impact")), ["pair_id", "rank"]).withColumn(
         "change_id", F.concat_ws("/", "pair_id", "rank"))
-    before = F.substring(F.coalesce("before_text", F.substring("b_text", 1, 1200)), 1, 400)
-    after = F.substring(F.coalesce("after_text", F.substring("t_text", 1, 1200)), 1, 400)
-    modified = (named.join(_resolve(named, "b", before, pages), "change_id").join(_resolve(named, "t", after, pages), "change_id")
-                .select("change_id", "pair_id", "change_type", "impact_category", "is_material", F.col("b_section_ref").alias("clause_ref"), "business_impact"))
+    before, after = _resolve(named, "b", F.col("before_text"), pages), _resolve(named, "t", F.col("after_text"), pages)
+    modified = named.join(before, "change_id").join(after, "change_id").select(
+        "change_id", "pair_id", "change_type", "impact_category", "is_material", F.col("b_section_ref").alias("clause_ref"), "before_text", "after_text",
+        "business_impact", "risk_delta", "suggested_reviewer_role", F.col("b_citation_id").alias("base_citation_id"),
+        F.col("t_citation_id").alias("target_citation_id"), F.col("self_confidence").cast("double").alias("confidence"))
     top = ordered.top_n(one_sided.filter(F.col("how").isin("added", "removed")), ["pair_id"], [
         F.when(F.col("how") == "removed", 0).otherwise(1), F.col("base_ord"), F.coalesce("base_id", "target_id")], limit)
     is_new = F.col("how") == "added"
     top = top.withColumns({
         "change_id": F.concat_ws("/", "pair_id", "how", "rank"),
         **{f"x_{c}": F.when(is_new, F.col(f"t_{c}")).otherwise(F.col(f"b_{c}")) for c in ["dv_id", "section_ref", "section_title", "char_start", "char_end", "text"]}})
-    found = _resolve(top, "x", F.substring("x_text", 1, 400), pages)
+    found = _resolve(top, "x", F.lit(None).cast("string"), pages)
     alone = top.join(found, "change_id").select(
         "change_id", "pair_id", F.col("how").alias("change_type"), F.coalesce(T.clause_type("x_section_title", "x_text"), F.lit("cosmetic")).alias("impact_category"),
         F.lit(True).alias("is_material"), F.col("x_section_ref").alias("clause_ref"),
-        F.when(is_new, "A clause was added in this version.").otherwise("A clause was removed in this version.").alias("business_impact"))
-    return ordered.stack(modified, alone)
+        F.when(~is_new, F.col("x_text")).alias("before_text"), F.when(is_new, F.col("x_text")).alias("after_text"),
+        F.when(is_new, "A clause was added in this version.").otherwise("A clause was removed in this version.").alias("business_impact"),
+        F.lit("unchanged").alias("risk_delta"), F.lit("legal").alias("suggested_reviewer_role"),
+        F.when(~is_new, F.col("x_citation_id")).alias("base_citation_id"), F.when(is_new, F.col("x_citation_id")).alias("target_citation_id"),
+        F.lit(0.8).alias("confidence"))
+    return ordered.stack(modified, alone).select(*CHANGE_COLUMNS)
+
+
+def list_changes(changes: DataFrame) -> DataFrame:
+    """Changes of every comparison with their place in its list: material ones first, then by category."""
+    return ordered.top_n(changes, ["pair_id"], [F.col("is_material").desc(), F.col("impact_category"), F.col("change_id")], None, "place")
 
 
 def summarize_comparisons(changes: DataFrame, totals: DataFrame) -> DataFrame:
@@ -163,4 +254,4 @@ def summarize_comparisons(changes: DataFrame, totals: DataFrame) -> DataFrame:
         F.count_if("is_material").alias("material"), F.count_if(~F.col("is_material")).alias("cosmetic"))
     return (totals.join(counts, "pair_id", "full_outer").select(
         "pair_id", F.coalesce("material", F.lit(0)).alias("material"), F.coalesce("cosmetic", F.lit(0)).alias("cosmetic"),
-        F.coalesce("status", F.lit("ready")).alias("status")))
+        F.coalesce("changed", F.lit(0)).alias("changed"), F.coalesce("status", F.lit("ready")).alias("status")))

@@ -99,7 +99,7 @@ SELECT citation_id, arg_min(s, (abs(s - char_start), s)) AS s, any_value(length(
     CTE[f"{prefix}_grid"] = ([f"{prefix}_weak"], f"""
 SELECT citation_id || '/' || s || '/' || k AS wid, citation_id, s, k, z, {Q.norm_compare('substr(ptext, CAST(s AS INTEGER) + 1, CAST(z AS INTEGER))')} AS na, nb
 FROM (SELECT *, unnest(range(1, 4)) AS k, CAST(CASE unnest(range(1, 4)) WHEN 1 THEN span WHEN 2 THEN floor(span * 0.8::DOUBLE) ELSE ceil(span * 1.25::DOUBLE) END AS BIGINT) AS z
-      FROM (SELECT *, unnest(range(greatest(0, char_start - span * 4), least(length(ptext), char_start + span * 4) - span + 1, greatest(20, span // 4))) AS s
+      FROM (SELECT *, unnest(range(0, length(ptext) - span + 1, greatest(20, span // 4))) AS s
             FROM (SELECT *, greatest(length(quoted_text), 40) AS span FROM {prefix}_weak WHERE exact_at < 0 AND len(loose) = 0 AND nb <> '')))
 WHERE s + z <= length(ptext)""")
     CTE[f"{prefix}_fuzzy"] = ([f"{prefix}_grid"], f"""
@@ -125,8 +125,9 @@ FROM ev_weak w LEFT JOIN ev_loose l USING (citation_id) LEFT JOIN ev_fuzzy f USI
 def c03(spark, d):
     ev, p = evidence(spark, d)
     rows = ev.join(p.select("dv_id", F.col("page_number").alias("page"), F.col("text").alias("ptext")), ["dv_id", "page"])
-    own = S.dice(F.substr("ptext", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")), "quoted_text")
-    weak = rows.filter(own < K.CITATION_THRESHOLD)
+    own = F.substr("ptext", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    rows = rows.withColumn("own", S.dice_batched(T.normalize_for_compare(own), T.normalize_for_compare("quoted_text")))
+    weak = rows.filter(F.col("own") < K.CITATION_THRESHOLD)
     return (weak.withColumn("hit", C.find_slice("ptext", "quoted_text", "char_start"))
             .select("citation_id", F.col("hit.start").alias("hit_start"), F.col("hit.end").alias("hit_end"), F.round("hit.score", 6).alias("score")))
 

@@ -169,11 +169,19 @@ def k07(spark, d):
 
 # ------------------------------------------------------------------ version comparison
 
+def version_pairs(spark, d):
+    """Every two consecutive versions of a contract."""
+    return C.consecutive_versions(E.contract_texts(spark, d).select("contract_id", "dv_id", "version_number"))
+
+
 def sides(spark, d):
-    """Clauses of version 1 and version 2 of every contract, keyed by contract."""
+    """Clauses of the base and of the target version of every comparison."""
     cl, p = TQ.clauses(spark, d)
-    keyed = cut_lineage(cl.withColumn("pair_id", F.floor(F.col("dv_id") / 2)))  # read many times below
-    return keyed.filter("dv_id % 2 = 0"), keyed.filter("dv_id % 2 = 1"), p
+    cl = cut_lineage(cl)  # read many times below
+    pairs = version_pairs(spark, d)
+    base = cl.join(pairs.select("pair_id", F.col("base_id").alias("dv_id")), "dv_id")
+    target = cl.join(pairs.select("pair_id", F.col("target_id").alias("dv_id")), "dv_id")
+    return base, target, p
 
 
 def aligned(spark, d):
@@ -181,13 +189,16 @@ def aligned(spark, d):
     return C.with_texts(C.align_clauses(base, target), base, target), p
 
 
-CTE["sides"] = (["clauses"], "SELECT *, dv_id // 2 AS pair_id, dv_id % 2 AS side FROM clauses")
+CTE["compared"] = (["contract_texts"], """
+SELECT base_id || '>' || dv_id AS pair_id, contract_id, base_id, dv_id AS target_id, base_version, version_number AS target_version
+FROM (SELECT *, lag(dv_id) OVER w AS base_id, lag(version_number) OVER w AS base_version FROM contract_texts WINDOW w AS (PARTITION BY contract_id ORDER BY version_number, dv_id)) WHERE base_id IS NOT NULL""")
+CTE["sides"] = (["clauses", "compared"], "SELECT c.*, p.pair_id, 0 AS side FROM clauses c JOIN compared p ON p.base_id = c.dv_id UNION ALL SELECT c.*, p.pair_id, 1 FROM clauses c JOIN compared p ON p.target_id = c.dv_id")
 CTE["by_section"] = (["sides"], """
 SELECT b.pair_id, b.clause_id AS base_id, b.char_start AS base_ord, t.target_id FROM sides b
 JOIN (SELECT pair_id, section_ref, arg_max(clause_id, (char_start, clause_id)) AS target_id FROM sides WHERE side = 1 AND section_ref IS NOT NULL GROUP BY 1, 2) t ON t.pair_id = b.pair_id AND t.section_ref = b.section_ref WHERE b.side = 0""")
 CTE["sim_pairs"] = (["sides", "by_section"], f"""
 SELECT b.pair_id, b.clause_id || '>' || t.clause_id AS eid, b.clause_id AS base_id, b.char_start AS base_ord, t.clause_id AS target_id, t.char_start AS target_ord,
-       {Q.norm_compare('substr(b.text, 1, 400)')} AS na, {Q.norm_compare('substr(t.text, 1, 400)')} AS nb
+       {Q.norm_compare('b.text')} AS na, {Q.norm_compare('t.text')} AS nb
 FROM sides b JOIN sides t ON t.pair_id = b.pair_id AND t.side = 1 LEFT JOIN (SELECT target_id, min(base_ord) AS taken_at FROM by_section GROUP BY 1) k ON k.target_id = t.clause_id
 WHERE b.side = 0 AND b.clause_id NOT IN (SELECT base_id FROM by_section) AND (k.taken_at IS NULL OR k.taken_at > b.char_start)""")
 CTE["sim_edges"] = (["sim_pairs"], f"""
@@ -229,62 +240,93 @@ def k08(spark, d):
 
 
 CTE["differing"] = (["alignment", "sides"], f"""
-SELECT a.*, b.text AS b_text, t.text AS t_text, b.section_ref, a.base_id || '>' || a.target_id AS eid, {Q.norm_compare('substr(b.text, 1, 600)')} AS na, {Q.norm_compare('substr(t.text, 1, 600)')} AS nb
+SELECT a.*, b.text AS b_text, t.text AS t_text, b.section_ref, a.base_id || '>' || a.target_id AS eid, {Q.norm_compare('b.text')} AS na, {Q.norm_compare('t.text')} AS nb
 FROM alignment a JOIN sides b ON b.clause_id = a.base_id JOIN sides t ON t.clause_id = a.target_id
 WHERE lower(trim(regexp_replace(b.text, '[{K.WS}]+', ' ', 'g'))) <> lower(trim(regexp_replace(t.text, '[{K.WS}]+', ' ', 'g')))""")
 CTE["changed"] = (["differing"], f"""
 SELECT d.*, row_number() OVER (PARTITION BY pair_id ORDER BY base_ord, base_id) AS rank, count(*) OVER (PARTITION BY pair_id) AS total FROM differing d JOIN ({Q.dice_table('differing', 'eid', 'na', 'nb')}) s USING (eid) WHERE s.score < 0.98""")
 
 
-@_register("k09_changed_pairs", with_ctes(["changed"], "SELECT pair_id, rank, base_id, target_id FROM changed WHERE rank <= 20"))
+@_register("k09_changed_pairs", with_ctes(["changed"], "SELECT pair_id, rank, base_id, target_id FROM changed"))
 def k09(spark, d):
     return C.changed_pairs(aligned(spark, d)[0])[0].select("pair_id", "rank", "base_id", "target_id")
 
 
-@_register("k09_changed_totals", with_ctes(["changed"], "SELECT pair_id, count(*) AS changed, CASE WHEN count(*) > 20 THEN 'partial' ELSE 'ready' END AS status FROM changed GROUP BY 1"))
+@_register("k09_changed_totals", with_ctes(["changed"], "SELECT pair_id, count(*) AS changed, 'ready' AS status FROM changed GROUP BY 1"))
 def k09b(spark, d):
     return C.changed_pairs(aligned(spark, d)[0])[1]
 
 
+_PAIR_NO = F.split("pair_id", ">").getItem(0).cast("long")
+
+
 def changes(spark, d):
+    """Change rows and totals: labels that a model would give are made from the contract and the rank; every fifth one quotes the new text itself."""
     pairs, p = aligned(spark, d)
     pairs, p = cut_lineage(pairs), cut_lineage(p)
     listed, totals = C.changed_pairs(pairs)
     r = F.col("rank")
     labels = listed.select("pair_id", "rank", F.lit("modified").alias("change_type"), F.when(r % 2 == 0, "money").otherwise("cosmetic").alias("impact_category"),
-                           (r % 2 == 0).alias("is_material"), F.when((F.col("pair_id") + r) % 7 == 0, "This violates the plan.").otherwise("The amount changed.").alias("business_impact"),
-                           F.lit(None).cast("string").alias("before_text"), F.lit(None).cast("string").alias("after_text"))
+                           (r % 2 == 0).alias("is_material"), F.when((_PAIR_NO + r) % 7 == 0, "This violates the plan.").otherwise("The amount changed.").alias("business_impact"),
+                           F.lit(None).cast("string").alias("before_text"), F.when(r % 5 == 0, F.substring("t_text", 1, 200)).alias("after_text"),
+                           F.when(r % 3 == 0, "increased").otherwise("unchanged").alias("risk_delta"),
+                           F.when(r % 4 == 0, "finance").otherwise("legal").alias("suggested_reviewer_role"), (F.lit(0.5) + (r % 5) / 10).alias("self_confidence"))
     return C.build_changes(listed, labels, pairs, p), totals
 
 
-CTE["change_spans"] = (["changed", "alignment", "sides", "pages_o"], """
-SELECT change_id || '#' || side AS citation_id, s.change_id, s.side, s.char_start - p.char_start AS char_start, s.char_end - p.char_start AS char_end, p.text AS ptext, s.quoted_text, p.ocr_derived
-FROM (SELECT c.pair_id || '/' || c.rank AS change_id, s.side_name AS side, x.dv_id, x.char_start, x.char_end, substr(substr(x.text, 1, 1200), 1, 400) AS quoted_text
-      FROM changed c CROSS JOIN (VALUES ('b'), ('t')) s(side_name) JOIN sides x ON x.clause_id = CASE s.side_name WHEN 'b' THEN c.base_id ELSE c.target_id END
-      WHERE c.rank <= 20 AND (c.pair_id + c.rank) % 7 <> 0
-      UNION ALL SELECT o.change_id, 'x', x.dv_id, x.char_start, x.char_end, substr(x.text, 1, 400) FROM (
-        SELECT *, pair_id || '/' || how || '/' || rank AS change_id FROM (
-          SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE how WHEN 'removed' THEN 0 ELSE 1 END, base_ord, coalesce(base_id, target_id)) AS rank FROM alignment WHERE how IN ('added', 'removed')) WHERE rank <= 20) o
-        JOIN sides x ON x.clause_id = coalesce(o.base_id, o.target_id)) s
+CTE["one_sided"] = (["alignment"], """
+SELECT *, pair_id || '/' || how || '/' || rank AS change_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE how WHEN 'removed' THEN 0 ELSE 1 END, base_ord, coalesce(base_id, target_id)) AS rank FROM alignment WHERE how IN ('added', 'removed'))""")
+CTE["change_spans"] = (["changed", "one_sided", "sides", "pages_o"], """
+SELECT change_id || '#' || side AS citation_id, s.change_id, s.side, s.char_start - p.char_start AS char_start, least(s.char_end, p.char_end) - p.char_start AS char_end, p.text AS ptext,
+       coalesce(s.quote, substr(s.text, 1, greatest(0, p.char_end - s.char_start))) AS quoted_text, p.ocr_derived
+FROM (SELECT c.pair_id || '/' || c.rank AS change_id, s.side_name AS side, x.dv_id, x.char_start, x.char_end, x.text, CASE WHEN s.side_name = 't' AND c.rank % 5 = 0 THEN substr(x.text, 1, 200) END AS quote
+      FROM changed c CROSS JOIN (VALUES ('b'), ('t')) s(side_name) JOIN sides x ON x.clause_id = CASE s.side_name WHEN 'b' THEN c.base_id ELSE c.target_id END AND x.pair_id = c.pair_id
+      WHERE (CAST(split_part(c.pair_id, '>', 1) AS BIGINT) + c.rank) % 7 <> 0
+      UNION ALL SELECT o.change_id, 'x', x.dv_id, x.char_start, x.char_end, x.text, NULL FROM one_sided o JOIN sides x ON x.clause_id = coalesce(o.base_id, o.target_id) AND x.pair_id = o.pair_id) s
 JOIN pages_o p ON p.dv_id = s.dv_id AND s.char_start >= p.char_start AND s.char_start < p.char_end""")
 CQ._resolution("ch", "change_spans")
-CTE["change_rows"] = (["ch_resolved", "changed", "alignment", "sides"], f"""
-SELECT c.pair_id || '/' || c.rank AS change_id, c.pair_id, 'modified' AS change_type, CASE WHEN c.rank % 2 = 0 THEN 'money' ELSE 'cosmetic' END AS impact_category, c.rank % 2 = 0 AS is_material, c.section_ref AS clause_ref, 'The amount changed.' AS business_impact
+CTE["change_rows"] = (["ch_resolved", "changed", "one_sided", "sides"], f"""
+SELECT c.pair_id || '/' || c.rank AS change_id, c.pair_id, 'modified' AS change_type, CASE WHEN c.rank % 2 = 0 THEN 'money' ELSE 'cosmetic' END AS impact_category, c.rank % 2 = 0 AS is_material, c.section_ref AS clause_ref,
+  CAST(NULL AS VARCHAR) AS before_text, CASE WHEN c.rank % 5 = 0 THEN substr(c.t_text, 1, 200) END AS after_text, 'The amount changed.' AS business_impact,
+  CASE WHEN c.rank % 3 = 0 THEN 'increased' ELSE 'unchanged' END AS risk_delta, CASE WHEN c.rank % 4 = 0 THEN 'finance' ELSE 'legal' END AS suggested_reviewer_role,
+  c.pair_id || '/' || c.rank || '#b' AS base_citation_id, c.pair_id || '/' || c.rank || '#t' AS target_citation_id, 0.5::DOUBLE + (c.rank % 5) / 10::DOUBLE AS confidence
 FROM changed c WHERE c.pair_id || '/' || c.rank IN (SELECT change_id FROM ch_resolved WHERE resolvable AND side IN ('b', 't') GROUP BY change_id HAVING count(*) = 2)
 UNION ALL
-SELECT o.change_id, o.pair_id, o.how, coalesce({Q.clause_type('x.section_title', 'x.text')}, 'cosmetic'), true, x.section_ref, CASE o.how WHEN 'added' THEN 'A clause was added in this version.' ELSE 'A clause was removed in this version.' END
-FROM (SELECT *, pair_id || '/' || how || '/' || rank AS change_id FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY CASE how WHEN 'removed' THEN 0 ELSE 1 END, base_ord, coalesce(base_id, target_id)) AS rank FROM alignment WHERE how IN ('added', 'removed'))) o
-JOIN sides x ON x.clause_id = coalesce(o.base_id, o.target_id) WHERE o.change_id IN (SELECT change_id FROM ch_resolved WHERE resolvable AND side = 'x')""")
+SELECT o.change_id, o.pair_id, o.how, coalesce({Q.clause_type('x.section_title', 'x.text')}, 'cosmetic'), true, x.section_ref, CASE o.how WHEN 'removed' THEN x.text END, CASE o.how WHEN 'added' THEN x.text END,
+  CASE o.how WHEN 'added' THEN 'A clause was added in this version.' ELSE 'A clause was removed in this version.' END, 'unchanged', 'legal',
+  CASE o.how WHEN 'removed' THEN o.change_id || '#x' END, CASE o.how WHEN 'added' THEN o.change_id || '#x' END, 0.8::DOUBLE
+FROM one_sided o JOIN sides x ON x.clause_id = coalesce(o.base_id, o.target_id) AND x.pair_id = o.pair_id WHERE o.change_id IN (SELECT change_id FROM ch_resolved WHERE resolvable AND side = 'x')""")
 
 
-@_register("k10_changes", with_ctes(["change_rows"], "SELECT * FROM change_rows"))
+@_register("k10_changes", with_ctes(["change_rows"], "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM change_rows"))
 def k10(spark, d):
-    return changes(spark, d)[0]
+    return changes(spark, d)[0].withColumn("confidence", F.round("confidence", 6))
 
 
 @_register("k11_summary", with_ctes(["change_rows", "changed"], """
-SELECT pair_id, coalesce(material, 0) AS material, coalesce(cosmetic, 0) AS cosmetic, coalesce(status, 'ready') AS status
-FROM (SELECT pair_id, CASE WHEN count(*) > 20 THEN 'partial' ELSE 'ready' END AS status FROM changed GROUP BY 1)
+SELECT pair_id, coalesce(material, 0) AS material, coalesce(cosmetic, 0) AS cosmetic, coalesce(changed, 0) AS changed, 'ready' AS status
+FROM (SELECT pair_id, count(*) AS changed FROM changed GROUP BY 1)
 FULL OUTER JOIN (SELECT pair_id, count(*) FILTER (WHERE is_material) AS material, count(*) FILTER (WHERE NOT is_material) AS cosmetic FROM change_rows GROUP BY 1) USING (pair_id)"""))
 def k11(spark, d):
     return C.summarize_comparisons(*changes(spark, d))
+
+
+@_register("k11_change_list", with_ctes(["change_rows"], """
+SELECT pair_id, change_id, row_number() OVER (PARTITION BY pair_id ORDER BY is_material DESC, encode(impact_category), encode(change_id)) AS place FROM change_rows"""))
+def k11b(spark, d):
+    return C.list_changes(changes(spark, d)[0]).select("pair_id", "change_id", "place")
+
+
+@_register("k11_start_comparisons", with_ctes(["compared"], """
+SELECT base_id, target_id, CASE WHEN target_id % 11 = 0 THEN NULL WHEN contract_id % 3 = 0 THEN NULL ELSE 'cmp' || contract_id END AS comparison_id,
+       CASE WHEN target_id % 11 = 0 THEN 'refused' WHEN contract_id % 3 = 0 THEN 'create' WHEN contract_id % 3 = 1 AND contract_id % 4 = 0 THEN 'restart' ELSE 'reuse' END AS action,
+       CASE WHEN target_id % 11 = 0 THEN NULL WHEN contract_id % 3 = 0 OR (contract_id % 3 = 1 AND contract_id % 4 = 0) THEN 'computing' ELSE CASE WHEN contract_id % 4 = 0 THEN 'partial' ELSE 'ready' END END AS status
+FROM compared"""))
+def k11c(spark, d):
+    pairs, c = version_pairs(spark, d), F.col("contract_id")
+    wanted = pairs.select("base_id", "target_id", c.alias("base_contract_id"), F.when(F.col("target_id") % 11 == 0, -1).otherwise(c).alias("target_contract_id"))
+    existing = pairs.filter(c % 3 != 0).select(
+        E.concat("cmp", c).alias("comparison_id"), "base_id", "target_id",
+        F.when((c % 3 == 1) & (c % 4 == 0), "failed").when(c % 4 == 0, "partial").otherwise("ready").alias("status"))
+    return C.start_comparisons(wanted, existing)

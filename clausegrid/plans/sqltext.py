@@ -24,7 +24,7 @@ def trim_ws(x: str) -> str:
 
 def clause_type(title: str, body: str) -> str:
     arms = " ".join(
-        f"WHEN regexp_matches(coalesce({title}, ''), '{p}') OR regexp_matches(substr({body}, 1, 400), '{p}') THEN '{name}'"
+        f"WHEN regexp_matches(coalesce({title}, ''), '{p}') OR regexp_matches({body}, '{p}') THEN '{name}'"
         for p, name in K.CLAUSE_TYPES)
     return f"CASE {arms} END"
 

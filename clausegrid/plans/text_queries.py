@@ -21,7 +21,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def clauses(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = pages(spark, d)
-    return ops.segment(ops.assemble(p), p), p
+    return ops.segment(ops.assemble(p)), p
 
 
 def doc_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ SELECT dv_id, char_start, section_ref, title, len(string_split(section_ref, '.')
   FROM (SELECT dv_id, i, gaps[i] AS gap, hits[i] AS hit FROM (
           SELECT dv_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (
             SELECT dv_id, string_split_regex(text, '{_RX}') AS gaps, regexp_extract_all(text, '{_RX}') AS hits FROM full_text))))
-WHERE len(string_split(section_ref, '.')) <= 4 AND length(title) <= 120""")
+WHERE len(string_split(section_ref, '.')) <= {K.HEADING_DEPTH} AND length(title) <= {K.HEADING_CHARS}""")
 
 
 def page_of_sql(source: str, offset: str, out: str, pages_name: str = "pages_o", extra: str = "") -> str:
@@ -76,7 +76,7 @@ LEFT JOIN (SELECT dv_id, max(page_number) AS last_page FROM {pages_name} GROUP B
 
 CTE["clause_spans"] = (["heading_hits", "full_text"], f"""
 SELECT *, char_start + length(text) AS char_end, greatest(char_start, char_start + length(text) - 1) AS last_char FROM (
-  SELECT h.dv_id, section_ref, substr(string_split_regex(title, '[{K.WS}]{{2,}}')[1], 1, 120) AS section_title, depth, char_start,
+  SELECT h.dv_id, section_ref, string_split_regex(title, '[{K.WS}]{{2,}}')[1] AS section_title, depth, char_start,
          {Q.clause_type("title", "substr(text, char_start + 1, nxt - char_start)")} AS clause_type, substr(text, char_start + 1, nxt - char_start) AS text
   FROM (SELECT h.*, t.text, coalesce(lead(char_start) OVER (PARTITION BY h.dv_id ORDER BY char_start), length(t.text)) AS nxt FROM heading_hits h JOIN full_text t ON t.dv_id = h.dv_id) h
   UNION ALL
@@ -194,16 +194,16 @@ def t10(spark, d):
 
 
 def _context_sql(stage: str) -> str:
-    pattern, k, chars = K.CONTEXT_STAGES[stage]
-    title = "coalesce(section_title, '') || ' ' || substr(text, 1, 200)"
+    pattern = K.CONTEXT_STAGES[stage]
+    title = "coalesce(section_title, '') || ' ' || text"
     source = "SELECT * FROM clauses" + (" WHERE section_ref IS NOT NULL" if stage == "extract" else "")
-    hits = f"""SELECT dv_id, count(*) AS hits, string_agg('<page page="' || page_start || '" section="' || coalesce(section_ref, '') || '">' || chr(10) || substr(text, 1, {chars}) || chr(10) || '</page>', chr(10) ORDER BY char_start) AS context,
+    hits = f"""SELECT dv_id, count(*) AS hits, string_agg('<page page="' || page_start || '" section="' || coalesce(section_ref, '') || '">' || chr(10) || text || chr(10) || '</page>', chr(10) ORDER BY char_start) AS context,
        string_agg(coalesce(section_ref, ''), ',' ORDER BY char_start) AS sections
-FROM (SELECT *, row_number() OVER (PARTITION BY dv_id ORDER BY char_start) AS rk FROM ({source}) WHERE regexp_matches({'text' if stage == 'obligations' else title}, '{pattern}')) WHERE rk <= {k} GROUP BY dv_id"""
+FROM ({source}) WHERE regexp_matches({'text' if stage == 'obligations' else title}, '{pattern}') GROUP BY dv_id"""
     if stage != "extract":
         return with_ctes(["clauses"], hits)
     return with_ctes(["clauses", "full_text"], f"""
-SELECT f.dv_id, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) < 3 THEN substr(f.text, 1, 40000) ELSE context END AS context, coalesce(sections, '') AS sections
+SELECT f.dv_id, coalesce(hits, 0) AS hits, CASE WHEN coalesce(hits, 0) < 3 THEN f.text ELSE context END AS context, coalesce(sections, '') AS sections
 FROM full_text f LEFT JOIN ({hits}) h ON h.dv_id = f.dv_id""")
 
 
@@ -211,7 +211,7 @@ FROM full_text f LEFT JOIN ({hits}) h ON h.dv_id = f.dv_id""")
 def t11a(spark, d):
     p = pages(spark, d)
     docs = ops.assemble(p)
-    return ops.assemble_context(ops.segment(docs, p), "extract", docs)
+    return ops.assemble_context(ops.segment(docs), "extract", docs)
 
 
 @_register("t11_context_obligations", _context_sql("obligations"))

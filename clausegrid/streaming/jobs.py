@@ -191,7 +191,7 @@ def process_documents(batch: DataFrame, to_pages: Callable[[DataFrame], DataFram
     """
     ok, refused = T.language_gate(batch)
     pages = T.page_offsets(to_pages(ok))
-    clauses = T.segment(T.assemble(pages), pages)
+    clauses = T.segment(T.assemble(pages))
     outcome = T.document_outcome(pages).select("dv_id", F.col("outcome").alias("status"), "failure_reason")
     return {"pages": pages, "clauses": clauses, "chunks": T.chunk(clauses, pages),
             "outcomes": ordered.stack(outcome, refused.select("dv_id", "status", "failure_reason"))}
