@@ -113,7 +113,8 @@ def alert_section(
         "upcoming": (F.col("status") == "scheduled") & (at > now),
     }[section]
     first = at.desc() if section == "sent" else at.asc()
-    top = ordered.top_n(schedules.filter(wanted), ["workspace_id"], [first, F.col("schedule_id")], limit)
+    top = ordered.top_n(schedules.filter(wanted), ["workspace_id"], [first, F.col("schedule_id")], limit,
+                        split=[ordered.down(at) if section == "sent" else at, F.col("schedule_id")])
     o = obligations.select("obligation_id", F.col("title").alias("obligation_title"), "due_date", "contract_id", "citation_id")
     return (top.join(o, "obligation_id")
             .join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
@@ -125,7 +126,7 @@ def alert_section(
 def unread(notifications: DataFrame, limit: int | None = None) -> DataFrame:
     """Newest unread notifications of every user."""
     open_rows = notifications.filter(F.col("read_at").isNull())
-    return ordered.top_n(open_rows, ["user_id"], [F.col("created_at").desc(), F.col("notification_id")], limit)
+    return ordered.top_n(open_rows, ["user_id"], [F.col("created_at").desc(), F.col("notification_id")], limit, split=[ordered.down("created_at"), F.col("notification_id")])
 
 
 def mark_read(notifications: DataFrame, reads: DataFrame) -> DataFrame:

@@ -227,13 +227,22 @@ def dedupe_candidates(candidates: DataFrame, position: str, known: Sequence[str]
     return ordered.earliest(candidates.filter(F.col("field_key").isin(*known)), ["dv_id", "field_key"], [position])
 
 
-def complete_coverage(fields: DataFrame, versions: DataFrame, prompt_version: str) -> DataFrame:
-    """Explicit not_found rows for the target fields a version has no row for."""
+def complete_coverage(fields: DataFrame, versions: DataFrame, prompt_version: str, searched: DataFrame | None = None) -> DataFrame:
+    """Explicit not_found rows for the target fields a version has no row for, with the sections that were searched for them.
+
+    `searched`: dv_id, sections (the comma-joined references that `assemble_context` gives); a version without a row was not searched."""
     specs = F.array(*[
         F.struct(F.lit(k).alias("field_key"), F.lit(label).alias("label"), F.lit(g).alias("field_group"))
         for k, label, g in K.TARGET_FIELDS])
     wanted = versions.withColumn("s", F.explode(specs)).select(*versions.columns, "s.*")
     missing = wanted.join(fields.select("dv_id", "field_key").distinct(), ["dv_id", "field_key"], "left_anti")
+    none = F.array().cast("array<string>")
+    if searched is None:
+        missing = missing.withColumn("searched_sections", none)
+    else:
+        sections = F.filter(F.split("sections", ","), lambda s: s != "")
+        missing = missing.join(searched.select("dv_id", sections.alias("searched_sections")), "dv_id", "left").withColumn(
+            "searched_sections", F.coalesce("searched_sections", none))
     return missing.withColumns({
         "validation_status": F.lit("not_found"), "value_text": F.lit(None).cast("string"),
         "extraction_kind": F.lit("factual"), "confidence": F.lit(0.0), "prompt_version": F.lit(prompt_version)})
@@ -283,8 +292,8 @@ def apply_corrections(fields: DataFrame, corrections: DataFrame, history: int |
         "value_normalized": F.coalesce("__n", "value_normalized"),
         "validation_status": F.when(fixed, "corrected").otherwise(F.col("validation_status")),
     }).drop("__v", "__n", "__fixed")
-    chained = ordered.previous(corrections, ["field_id"], F.date_trunc("quarter", F.col("corrected_at")), order, ["new_value"])
+    chained = ordered.previous(corrections, ["field_id"], order, ["new_value"])
     first = fields.select("field_id", F.col("value_text").alias("__original"))
     rows = chained.join(first, "field_id").withColumn("previous_value", F.coalesce("prev_new_value", "__original")).drop("prev_new_value", "__original")
-    newest = ordered.top_n(rows, ["field_id"], [F.col("corrected_at").desc(), F.col("correction_id").desc()], history)
+    newest = ordered.top_n(rows, ["field_id"], [F.col("corrected_at").desc(), F.col("correction_id").desc()], history, split=[ordered.down("corrected_at")])
     return current, newest

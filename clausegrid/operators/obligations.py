@@ -218,8 +218,7 @@ def fold_obligations(obligations: DataFrame, actions: DataFrame) -> DataFrame:
 def action_events(obligations: DataFrame, actions: DataFrame) -> DataFrame:
     """One event per action with the status before it."""
     log = _valid_actions(obligations, actions)
-    block = F.date_trunc("quarter", F.col("acted_at"))
-    ranked = ordered.last_known_before(log, ["obligation_id"], block, ["acted_at", "action_id"], "sets_status", "before")
+    ranked = ordered.last_known_before(log, ["obligation_id"], ["acted_at", "action_id"], "sets_status", "before")
     kind = F.when(F.col("action") == "supply_anchor", "anchor_supplied").when(F.col("action") == "complete", "completed").otherwise(F.col("action"))
     return ranked.select("obligation_id", "action_id", "acted_at", kind.alias("event_type"), "actor",
                          F.coalesce("before", "initial_status").alias("prior_status"))
@@ -246,7 +245,7 @@ def obligations_due(obligations: DataFrame, contracts: DataFrame, as_of: str, wi
     today = D.as_date(as_of)
     until = F.date_add(today, window_days(F.lit(window)))
     due = obligations.filter((F.col("due_date") >= today) & (until.isNull() | (F.col("due_date") <= until)))
-    top = ordered.top_n(due, ["workspace_id"], [F.col("due_date"), F.col("obligation_id")], limit)
+    top = ordered.top_n(due, ["workspace_id"], [F.col("due_date"), F.col("obligation_id")], limit, split=[F.col("due_date"), F.col("obligation_id")])
     return top.join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
 
 

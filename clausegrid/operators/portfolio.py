@@ -70,7 +70,8 @@ def export_sections(contracts: DataFrame, fields: DataFrame, obligations: DataFr
                     newest: int | None = None) -> dict[str, DataFrame]:
     """Factual fields of current versions, the newest obligations, and the newest flags minus superseded ones.
 
-    The newest rows are chosen per workspace before the contract filter and the status filter.
+    The newest rows are chosen per workspace before the contract filter and the status filter; all of them without `newest`.
+    `fields` carry label and primary_citation_id, `obligations` description and rule (as extracted).
     """
     named = contracts.select("contract_id", F.col("title").alias("contract"))
     facts = fields.filter("extraction_kind = 'factual'").join(
@@ -79,16 +80,17 @@ def export_sections(contracts: DataFrame, fields: DataFrame, obligations: DataFr
         facts = facts.filter(F.col("contract_id") == contract_id)
 
     def recent(df: DataFrame, key: str) -> DataFrame:
-        top = ordered.top_n(df, ["workspace_id"], [F.col("created_at").desc(), F.col(key)], newest)
+        top = ordered.top_n(df, ["workspace_id"], [F.col("created_at").desc(), F.col(key)], newest, split=[ordered.down("created_at"), F.col(key)])
         top = top if contract_id is None else top.filter(F.col("contract_id") == contract_id)
         return top.join(named, "contract_id", "left").withColumn("contract", F.coalesce("contract", F.col("contract_id").cast("string")))
 
     obs = recent(obligations, "obligation_id").select(
-        "workspace_id", "rank", "obligation_id", "contract", "title", _text("due_date").alias("due_date"), _text("due_date_math").alias("due_date_math"), "priority", "status",
+        "workspace_id", "rank", "obligation_id", "contract", "title", _text("description").alias("description"), _text("rule").alias("rule"), _text("due_date").alias("due_date"), _text("due_date_math").alias("due_date_math"), "priority", "status",
         F.when(F.col("status") == "needs_assumption", "yes").otherwise("no").alias("needs_assumption"))
     risks = recent(flags, "flag_id").filter("status <> 'superseded'").select(
         "workspace_id", "rank", "flag_id", "contract", "title", "severity", _text("category").alias("category"), "confidence", "status", _text("recommended_step").alias("recommended_step"))
-    return {"fields": facts.select("workspace_id", "contract", "field_id", "field_key", "field_group", _text("value_text").alias("value"), "confidence", "validation_status"),
+    return {"fields": facts.select("workspace_id", "contract", "field_id", "field_key", "label", "field_group", _text("value_text").alias("value"), "confidence", "validation_status",
+                                   _text("primary_citation_id").alias("citation"), F.lit(K.DISCLAIMER).alias("disclaimer")),
             "obligations": obs, "risk_flags": risks}
 
 
@@ -116,7 +118,7 @@ def dashboard(contracts: DataFrame, obligations: DataFrame, flags: DataFrame, ve
 
 
 def recent_activity(audit: DataFrame, users: DataFrame, n: int | None = None) -> DataFrame:
-    top = ordered.top_n(audit, ["workspace_id"], [F.col("created_at").desc(), F.col("audit_id").desc()], n)
+    top = ordered.top_n(audit, ["workspace_id"], [F.col("created_at").desc(), F.col("audit_id").desc()], n, split=[ordered.down("created_at"), -F.col("audit_id")])
     return top.join(users.select(F.col("user_id").alias("actor_user_id"), "email"), "actor_user_id", "left").withColumn("actor", F.coalesce("email", F.lit("system"))).drop("email")
 
 
@@ -133,19 +135,19 @@ def search_contracts(contracts: DataFrame, status: str | None = None, contract_t
     if text:
         words = T.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("counterparty", F.lit(""))))
         rows = rows.filter(F.size(F.array_except(T.tokens(F.lit(text)), words)) == 0)
-    return ordered.top_n(rows, ["workspace_id"], [F.col("updated_at").desc(), F.col("contract_id")], limit)
+    return ordered.top_n(rows, ["workspace_id"], [F.col("updated_at").desc(), F.col("contract_id")], limit, split=[ordered.down("updated_at"), F.col("contract_id")])
 
 
 def document_activity(versions: DataFrame, stages: DataFrame, calls: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Newest versions per workspace with call, token and latency sums, and their stage runs in
     order. Stage runs stay rows, so a version with very many runs needs no single large value."""
-    top = ordered.top_n(versions, ["workspace_id"], [F.col("uploaded_at").desc(), F.col("dv_id")], n)
+    top = ordered.top_n(versions, ["workspace_id"], [F.col("uploaded_at").desc(), F.col("dv_id")], n, split=[ordered.down("uploaded_at"), F.col("dv_id")])
     sums = calls.groupBy("dv_id").agg(
         F.count("*").alias("calls"), F.sum(F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"),
         F.sum(F.coalesce("latency_ms", F.lit(0))).alias("latency_ms"))
     docs = top.join(sums, "dv_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ["calls", "tokens", "latency_ms"]})
     runs = stages.join(top.select("dv_id"), "dv_id", "left_semi")
-    return docs, ordered.numbered(runs, ["dv_id"], F.date_trunc("day", F.col("happened_at")), ["happened_at", "seq"], "position")
+    return docs, ordered.numbered(runs, ["dv_id"], ["happened_at", "seq"], "position")
 
 
 def usage_ledger(calls: DataFrame, by: list[str], rollup: bool = False) -> DataFrame:
@@ -172,15 +174,18 @@ def audit_query(audit: DataFrame, users: DataFrame, readers: DataFrame, action_p
     return recent_activity(rows, users, limit)
 
 
-def brief(contracts: DataFrame, fields: DataFrame, citations: DataFrame, flags: DataFrame, obligations: DataFrame, risks: int = 20, newest: int = 30) -> dict[str, DataFrame]:
-    """Contract brief: facts of the current version with citations, newest risks, counts.
+def brief(contracts: DataFrame, fields: DataFrame, citations: DataFrame, flags: DataFrame, obligations: DataFrame,
+          briefs: DataFrame | None = None, risks: int | None = None) -> dict[str, DataFrame]:
+    """Contract brief: facts of the current version with citations, risks from the newest on, counts, the fields whose candidates
+    conflict, and the stored interpretation and open questions.
 
     `fields`: dv_id, field_id, field_key, field_group, value_text, validation_status,
     extraction_kind, primary_citation_id, alt_citation_ids. `citations`: citation_id, page, quoted_text.
+    `briefs`: dv_id, interpretation, open_questions (see `sources.io.parse_briefs`).
     """
     current = contracts.select("contract_id", F.col("current_version_id").alias("dv_id"))
     facts = fields.drop("contract_id").filter("extraction_kind = 'factual'").join(current, "dv_id")
-    cite = citations.select("citation_id", "page", F.substring("quoted_text", 1, 200).alias("quote"))
+    cite = citations.select("citation_id", "page", F.col("quoted_text").alias("quote"))
     wanted = facts.select("field_id", F.col("primary_citation_id").alias("citation_id"), F.lit(0).alias("pos"))
     alts = facts.select("field_id", F.posexplode("alt_citation_ids").alias("p", "citation_id")).select("field_id", "citation_id", (F.col("p") + 1).alias("pos"))
     # a field carries its own short citation list, so gathering it back is bounded by that list
@@ -189,13 +194,21 @@ def brief(contracts: DataFrame, fields: DataFrame, citations: DataFrame, flags:
         F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "citation_id")))).alias("alts"))
     rows = facts.join(cited, "field_id", "left").select(
         "contract_id", "field_id", "field_key", "field_group", "value_text", "validation_status", "citation", F.transform("alts", lambda a: a["citation_id"]).alias("alt_citations"))
-    top = ordered.top_n(flags, ["contract_id"], [F.col("created_at").desc(), F.col("flag_id")], risks).filter("status <> 'superseded'")
-    counted = obligations.groupBy("contract_id").agg(F.least(F.count("*"), F.lit(newest)).alias("obligations_count"))
+    top = ordered.top_n(flags, ["contract_id"], [F.col("created_at").desc(), F.col("flag_id")], risks,
+                        split=[ordered.down("created_at"), F.col("flag_id")]).filter("status <> 'superseded'")
+    counted = obligations.groupBy("contract_id").agg(F.count("*").alias("obligations_count"))
+    conflicting = F.col("validation_status") == "conflicting"
     states = facts.groupBy("contract_id").agg(
-        F.count_if(F.col("validation_status") == "not_found").alias("not_found"), F.count_if(F.col("validation_status") == "conflicting").alias("conflicts"))
+        F.count_if(F.col("validation_status") == "not_found").alias("not_found"), F.count_if(conflicting).alias("conflicts"))
     head = contracts.select("contract_id", "title", "status").join(counted, "contract_id", "left").join(states, "contract_id", "left").withColumns(
         {c: F.coalesce(c, F.lit(0)) for c in ["obligations_count", "not_found", "conflicts"]})
-    return {"contracts": head, "facts": rows, "risks": top}
+    out = {"contracts": head, "facts": rows, "risks": top, "conflicting": facts.filter(conflicting).select("contract_id", "field_group", "field_key", "field_id")}
+    if briefs is not None:
+        stored = current.join(briefs.select("dv_id", "interpretation", "open_questions"), "dv_id")
+        out["interpretation"] = stored.select("contract_id", F.posexplode("interpretation").alias("pos", "i")).select(
+            "contract_id", "pos", "i.text", "i.field_ids", F.lit("interpretation").alias("extraction_kind"), F.col("i.self_confidence").alias("confidence"))
+        out["open_questions"] = stored.select("contract_id", F.posexplode("open_questions").alias("pos", "q")).select("contract_id", "pos", "q.question", "q.field_ids")
+    return out
 
 
 def fields_by_group(fields: DataFrame) -> DataFrame:
@@ -209,7 +222,7 @@ def fields_by_group(fields: DataFrame) -> DataFrame:
 def assign_versions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Version numbers for uploads: after the highest number of the contract, in upload order."""
     top = existing.groupBy("contract_id").agg(F.max("version_number").alias("top"))
-    seq = ordered.numbered(new, ["contract_id"], F.date_trunc("week", F.col("uploaded_at")), ["uploaded_at", "dv_id"], "n")
+    seq = ordered.numbered(new, ["contract_id"], ["uploaded_at", "dv_id"], "n")
     number = F.coalesce("top", F.lit(0)) + F.col("n")
     return seq.join(top, "contract_id", "left").withColumn("version_number", number).withColumn(
         "version_label", F.concat(F.lit("v"), F.col("version_number").cast("string"))).drop("n", "top")

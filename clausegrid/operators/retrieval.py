@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clausegrid import constants as K
@@ -36,9 +37,8 @@ def pack(sparse: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def reembed(chunks: DataFrame, dim: int, embed: Callable[..., DataFrame] = hash_embed) -> DataFrame:
-    """Vectors of the first 4000 characters of every chunk; chunks without tokens get none."""
-    cut = chunks.withColumn("text", F.substring("text", 1, K.REEMBED_CHARS))
-    return chunks.join(pack(embed(cut, dim=dim)), "chunk_id", "left")
+    """Vectors of every chunk's text; chunks without tokens get none."""
+    return chunks.join(pack(embed(chunks, dim=dim)), "chunk_id", "left")
 
 
 def invalidate_vectors(chunks: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
@@ -207,27 +207,65 @@ def out_of_scope(questions: DataFrame) -> DataFrame:
     return questions.withColumn("out_of_scope", hit)
 
 
-def portfolio_answer(questions: DataFrame, obligations: DataFrame, contracts: DataFrame, as_of: str, limit: int = 20) -> DataFrame:
-    """Obligations due in each question's window, twenty at most, as text.
+#: Days that a bin of due dates spans.
+DUE_BIN = 32
 
-    The first twenty due dates from today on are the same for every window of a workspace,
-    so they are found once and the windows only filter them.
-    """
+
+def due_totals(questions: DataFrame, due: DataFrame, as_of: str) -> DataFrame:
+    """question_id, n: how many of `due` (workspace_id, due_date) lie from today to the end of the question's window.
+
+    Due dates are counted per day and bin of days; a question reads the running total before its last bin and the days of that bin, so its cost
+    doesn't grow with the number of obligations."""
     today = D.as_date(as_of)
-    due = obligations.filter(F.col("status").isin("active", "overdue") & (F.col("due_date") >= today))
-    soon = ordered.top_n(due.select("workspace_id", "obligation_id", "contract_id", "title", "due_date"), ["workspace_id"],
-                         [F.col("due_date"), F.col("obligation_id")], limit)
-    named = soon.join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
-    line = F.concat(F.lit("- "), F.col("title"), F.lit(" — "), F.col("contract_title"), F.lit(" — due "), F.col("due_date").cast("string"),
+    days = due.groupBy("workspace_id", "due_date").agg(F.count("*").alias("c")).withColumn("day", F.datediff("due_date", today))
+    days = days.withColumn("bin", F.floor(F.col("day") / DUE_BIN).cast("int")).select("workspace_id", "bin", "day", "c")
+    asked = questions.select("question_id", "workspace_id", F.col("window_days").alias("upto"), F.floor(F.col("window_days") / DUE_BIN).cast("int").alias("bin"))
+    full = days.groupBy("workspace_id", "bin").agg(F.sum("c").alias("c"))
+    ends = ordered.stack(full.withColumn("ask", F.lit(False)), asked.select("workspace_id", "bin").distinct().withColumns({"c": F.lit(0).cast("long"), "ask": F.lit(True)}))
+    # bins of a workspace in order, those asked for among them: one row per bin of days, however many obligations it holds
+    before = F.coalesce(F.sum("c").over(W.partitionBy("workspace_id").orderBy("bin").rangeBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = ends.withColumn("before", before).filter("ask").select("workspace_id", "bin", "before")
+    inside = asked.join(days, ["workspace_id", "bin"], "left").groupBy("question_id").agg(
+        F.coalesce(F.sum(F.when(F.col("day") <= F.col("upto"), F.col("c"))), F.lit(0)).alias("inside"))
+    return asked.join(totals, ["workspace_id", "bin"]).join(inside, "question_id").select("question_id", (F.col("before") + F.col("inside")).cast("long").alias("n"))
+
+
+def _due(obligations: DataFrame, as_of: str) -> DataFrame:
+    rows = obligations.filter(F.col("status").isin("active", "overdue") & (F.col("due_date") >= D.as_date(as_of)))
+    return rows.select("workspace_id", "obligation_id", "contract_id", "title", "due_date")
+
+
+def portfolio_due(questions: DataFrame, obligations: DataFrame, contracts: DataFrame, as_of: str) -> DataFrame:
+    """Everything due in each question's window, as rows: question_id, obligation_id, due_date, line."""
+    named = _due(obligations, as_of).join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
+    ends = questions.select("question_id", "workspace_id", F.date_add(D.as_date(as_of), F.col("window_days")).alias("until"))
+    return ends.join(named, "workspace_id").filter(F.col("due_date") <= F.col("until")).select("question_id", "obligation_id", "due_date", _due_line().alias("line"))
+
+
+def _due_line() -> Column:
+    return F.concat(F.lit("- "), F.col("title"), F.lit(" — "), F.col("contract_title"), F.lit(" — due "), F.col("due_date").cast("string"),
                     F.lit(" (/contracts/"), F.col("contract_id").cast("string"), F.lit("/obligations)"))
-    lines = named.select(F.col("workspace_id").alias("w"), "rank", "due_date", line.alias("line"))
-    hit = questions.join(lines, (F.col("workspace_id") == F.col("w")) & (F.col("due_date") <= F.date_add(today, F.col("window_days"))), "left")
-    agg = hit.groupBy("question_id", "window_days").agg(
-        F.count("line").alias("n"), F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("rank", "line")))).alias("x"))
+
+
+def portfolio_answer(questions: DataFrame, obligations: DataFrame, contracts: DataFrame, as_of: str, shown: int = 20) -> DataFrame:
+    """The answer to each question about due dates: how many obligations its window holds, the first `shown` of them as lines, and how many
+    more there are (`portfolio_due` has them all).
+
+    The first due dates from today on are the same for every window of a workspace,
+    so they are found once and the windows only filter them.
+    """
+    due = _due(obligations, as_of).join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
+    soon = ordered.top_n(due, ["workspace_id"], [F.col("due_date"), F.col("obligation_id")], shown)
+    lines = soon.select(F.col("workspace_id").alias("w"), "rank", "due_date", _due_line().alias("line"))
+    until = F.date_add(D.as_date(as_of), F.col("window_days"))
+    hit = questions.join(lines, (F.col("workspace_id") == F.col("w")) & (F.col("due_date") <= until), "left")
+    agg = hit.groupBy("question_id", "window_days").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("rank", "line")))).alias("x"))
+    agg = agg.join(due_totals(questions, due, as_of), "question_id")
     head = F.concat(F.col("n").cast("string"), F.lit(" obligation(s) due in the next "), F.col("window_days").cast("string"), F.lit(" days:\n"))
     none = F.concat(F.lit("No obligations are due in the next "), F.col("window_days").cast("string"), F.lit(" days."))
+    more = F.when(F.col("n") > F.size("x"), F.concat(F.lit("\n… and "), (F.col("n") - F.size("x")).cast("string"), F.lit(" more"))).otherwise("")
     return agg.select("question_id", "n", F.when(F.col("n") == 0, none).otherwise(
-        F.concat(head, F.array_join(F.transform("x", lambda r: r["line"]), "\n"))).alias("content"))
+        F.concat(head, F.array_join(F.transform("x", lambda r: r["line"]), "\n"), more)).alias("content"))
 
 
 def validate_claims(claims: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -86,7 +86,8 @@ def risk_queue(flags: DataFrame, contracts: DataFrame, status: str = "open", sev
     rows = flags if status == "all" else flags.filter(F.col("status") == status)
     if severity:
         rows = rows.filter(F.col("severity") == severity)
-    top = ordered.top_n(rows, ["workspace_id"], [severity_rank("severity"), F.col("created_at").desc(), F.col("flag_id")], limit)
+    top = ordered.top_n(rows, ["workspace_id"], [severity_rank("severity"), F.col("created_at").desc(), F.col("flag_id")], limit,
+                        split=[severity_rank("severity"), ordered.down("created_at"), F.col("flag_id")])
     return top.join(contracts.select("contract_id", F.col("title").alias("contract_title")), "contract_id")
 
 
@@ -107,8 +108,7 @@ def latest_decision(decisions: DataFrame, users: DataFrame) -> DataFrame:
 
 def decision_history(decisions: DataFrame) -> DataFrame:
     """Every decision with its place counted from the newest (blocked, safe for long histories)."""
-    block = F.date_trunc("quarter", F.col("created_at"))
-    up = ordered.numbered(decisions, ["flag_id"], block, ["created_at", "decision_id"], "n")
+    up = ordered.numbered(decisions, ["flag_id"], ["created_at", "decision_id"], "n")
     total = decisions.groupBy("flag_id").agg(F.count("*").alias("total"))
     return up.join(total, "flag_id").withColumn("newest", F.col("total") - F.col("n") + 1).drop("n")
 

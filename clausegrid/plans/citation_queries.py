@@ -49,7 +49,7 @@ SELECT conv_id, turn, round(CASE WHEN len(wc) = 0 THEN 0.0 ELSE len(list_interse
 FROM (SELECT conv_id, turn, {Q.content_words('text')} AS wc, {Q.content_words('prev_text')} AS we
       FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_text FROM conversations) WHERE prev_text IS NOT NULL)""")
 def c02(spark, d):
-    turns = ordered.previous(E.table(spark, d, "conversations"), ["conv_id"], F.floor(F.col("turn") / 64), ["turn"], ["text"])
+    turns = ordered.previous(E.table(spark, d, "conversations"), ["conv_id"], ["turn"], ["text"])
     return turns.filter("prev_text IS NOT NULL").select(
         "conv_id", "turn", F.round(S.lexical_overlap("text", "prev_text"), 6).alias("overlap"), S.grounded("text", "prev_text").alias("grounded"))
 
@@ -313,12 +313,15 @@ def c11(spark, d):
 
 
 @_register("c12_coverage", with_ctes(["listed"], f"""
-SELECT o_orderkey AS dv_id, k.field_key, k.label, k.field_group, 'not_found' AS validation_status, CAST(NULL AS VARCHAR) AS value_text, 'factual' AS extraction_kind, 0.0 AS confidence, 'p1' AS prompt_version
+SELECT o_orderkey AS dv_id, k.field_key, k.label, k.field_group, 'not_found' AS validation_status, CAST(NULL AS VARCHAR) AS value_text, 'factual' AS extraction_kind, 0.0 AS confidence, 'p1' AS prompt_version,
+  CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '1,' || (o_orderkey % 4 + 2) || '.1' END AS searched_sections
 FROM orders CROSS JOIN (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in K.TARGET_FIELDS)}) k(field_key, label, field_group)
 WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.dv_id = o_orderkey AND l.field_key = k.field_key)"""))
 def c12(spark, d):
     versions = E.table(spark, d, "orders").select(F.col("o_orderkey").alias("dv_id"))
-    return C.complete_coverage(_listed(spark, d), versions, "p1")
+    k = F.col("dv_id")
+    searched = versions.filter(k % 5 != 0).select("dv_id", E.concat("1,,", k % 4 + 2, ".1").alias("sections"))
+    return C.complete_coverage(_listed(spark, d), versions, "p1", searched).withColumn("searched_sections", F.array_join("searched_sections", ","))
 
 
 def layout(spark: SparkSession, d: str) -> DataFrame:

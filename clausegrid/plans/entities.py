@@ -15,17 +15,11 @@ from clausegrid.functions import ordered
 AS_OF = "2000-06-15"
 AS_OF_TS = "2000-06-15 12:00:00"
 PAGE_CHARS = 2400
-SPREAD = {"documents": ["doc_id"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey"], "embeddings": ["vec_id"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table. A file too small to give every core a task is spread over them first;
-    a large table already has more partitions than cores and is read as it is."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, *[F.col(c) for c in SPREAD[name]])
-    return df
+    """One given table, as its files are."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ts(base: str, seconds: Column) -> Column:

@@ -109,11 +109,25 @@ def _brief(spark, d):
     k = F.col("dv_id")
     fields = E.extracted_fields(spark, d).withColumns({
         "primary_citation_id": F.when(F.col("value_text").isNotNull(), k - k % 6), "alt_citation_ids": F.array(k - k % 6 + 6, k - k % 6 + 12)})
-    return P.brief(_versioned(spark, d), fields, E.order_citations(spark, d), E.risk_flags(spark, d), DQ.obligations(spark, d))
+    return P.brief(_versioned(spark, d), fields, E.order_citations(spark, d), E.risk_flags(spark, d), DQ.obligations(spark, d), _stored_briefs(spark, d))
+
+
+def _stored_briefs(spark, d):
+    """Briefs of most versions as they are stored: JSON with one or two sentences and now and then a question, built from the version's fields."""
+    fields = E.extracted_fields(spark, d).filter("value_text IS NOT NULL")
+    versions = _versioned(spark, d).select(F.col("current_version_id").alias("dv_id")).filter("dv_id IS NOT NULL")
+    k = F.col("dv_id")
+    made = fields.groupBy("dv_id").agg(F.min("field_key").alias("a"), F.max("field_key").alias("b")).filter(k % 4 != 0)
+    sentence = lambda x, p: F.struct(F.concat(F.lit("Concerns "), F.col(x)).alias("text"), F.array(F.col(x)).alias("field_ids"), F.lit(p).alias("self_confidence"))
+    both = F.struct(
+        F.when(F.col("a") == F.col("b"), F.array(sentence("a", 0.5))).otherwise(F.array(sentence("a", 0.5), sentence("b", 0.25))).alias("interpretation"),
+        F.when(k % 3 == 0, F.array(F.struct(F.concat(F.lit("Is "), F.col("b"), F.lit(" final?")).alias("question"), F.array(F.col("b")).alias("field_ids")))).otherwise(
+            F.array().cast("array<struct<question:string,field_ids:array<string>>>")).alias("open_questions"))
+    return io.parse_briefs(made.select("dv_id", F.to_json(both).alias("brief")), versions.distinct())
 
 
 @_register("p07_brief_facts", with_ctes(["versioned", "extracted_fields", "order_citations"], """
-SELECT v.contract_id, f.field_id, f.field_key, f.field_group, f.value_text, f.validation_status, c.citation_id, c.page, substr(c.quoted_text, 1, 200) AS quote,
+SELECT v.contract_id, f.field_id, f.field_key, f.field_group, f.value_text, f.validation_status, c.citation_id, c.page, c.quoted_text AS quote,
        concat_ws(',', a.citation_id, b.citation_id) AS alt_citations
 FROM extracted_fields f JOIN versioned v ON v.current_version_id = f.dv_id
 LEFT JOIN order_citations c ON f.value_text IS NOT NULL AND c.citation_id = f.dv_id - f.dv_id % 6
@@ -125,19 +139,41 @@ def p07(spark, d):
 
 
 @_register("p07_brief_risks", with_ctes(["risk_flags"], """
-SELECT contract_id, rank, flag_id, severity, status FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY created_at DESC, flag_id) AS rank FROM risk_flags) WHERE rank <= 20 AND status <> 'superseded'"""))
+SELECT contract_id, rank, flag_id, severity, status FROM (SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY created_at DESC, flag_id) AS rank FROM risk_flags) WHERE status <> 'superseded'"""))
 def p07b(spark, d):
     return _brief(spark, d)["risks"].select("contract_id", "rank", "flag_id", "severity", "status")
 
 
 @_register("p07_brief_counts", with_ctes(["versioned", "extracted_fields", "obligations"], """
-SELECT v.contract_id, v.title, v.status, coalesce(least(o.n, 30), 0) AS obligations_count, coalesce(f.not_found, 0) AS not_found, coalesce(f.conflicts, 0) AS conflicts
+SELECT v.contract_id, v.title, v.status, coalesce(o.n, 0) AS obligations_count, coalesce(f.not_found, 0) AS not_found, coalesce(f.conflicts, 0) AS conflicts
 FROM versioned v LEFT JOIN (SELECT contract_id, count(*) AS n FROM obligations GROUP BY 1) o USING (contract_id)
 LEFT JOIN (SELECT dv_id, count(*) FILTER (WHERE validation_status = 'not_found') AS not_found, count(*) FILTER (WHERE validation_status = 'conflicting') AS conflicts FROM extracted_fields WHERE extraction_kind = 'factual' GROUP BY 1) f ON f.dv_id = v.current_version_id"""))
 def p07c(spark, d):
     return _brief(spark, d)["contracts"]
 
 
+CTE["stored_briefs"] = (["versioned", "extracted_fields"], """
+SELECT v.contract_id, f.* FROM versioned v JOIN (SELECT dv_id, min(field_key) AS a, max(field_key) AS b FROM extracted_fields WHERE value_text IS NOT NULL GROUP BY 1) f ON f.dv_id = v.current_version_id WHERE f.dv_id % 4 <> 0""")
+
+
+@_register("p07_brief_interpretation", with_ctes(["stored_briefs"], """
+SELECT contract_id, 0 AS pos, 'Concerns ' || a AS text, a AS field_ids, 'interpretation' AS extraction_kind, 0.5 AS confidence FROM stored_briefs
+UNION ALL SELECT contract_id, 1, 'Concerns ' || b, b, 'interpretation', 0.25 FROM stored_briefs WHERE a <> b"""))
+def p07d(spark, d):
+    return _brief(spark, d)["interpretation"].withColumn("field_ids", F.array_join("field_ids", ","))
+
+
+@_register("p07_brief_questions", with_ctes(["stored_briefs"], "SELECT contract_id, 0 AS pos, 'Is ' || b || ' final?' AS question, b AS field_ids FROM stored_briefs WHERE dv_id % 3 = 0"))
+def p07e(spark, d):
+    return _brief(spark, d)["open_questions"].withColumn("field_ids", F.array_join("field_ids", ","))
+
+
+@_register("p07_brief_conflicting", with_ctes(["versioned", "extracted_fields"], """
+SELECT v.contract_id, f.field_group, f.field_key, f.field_id FROM extracted_fields f JOIN versioned v ON v.current_version_id = f.dv_id WHERE f.extraction_kind = 'factual' AND f.validation_status = 'conflicting'"""))
+def p07f(spark, d):
+    return _brief(spark, d)["conflicting"]
+
+
 @_register("p08_fields_by_group", with_ctes(["extracted_fields"], """
 SELECT dv_id, field_group, count(*) AS fields, count(*) FILTER (WHERE validation_status = 'not_found') AS not_found, count(*) FILTER (WHERE validation_status IN ('needs_confirmation', 'conflicting')) AS to_review FROM extracted_fields GROUP BY 1, 2"""))
 def p08(spark, d):
@@ -296,6 +332,24 @@ def s02(spark, d):
         "dv_id", "page_number", "ocr_derived", "ocr_confidence", F.length("text").alias("chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
 
 
+def _read_back(fmt):
+    def query(spark, d):
+        import uuid
+
+        from clausegrid.session import checkpoint_root
+        path = f"{checkpoint_root(spark)}/pages-{uuid.uuid4().hex}"
+        rows = E.raw_pages(spark, d).drop("contract_id")
+        writer = rows.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if fmt == "csv" else rows.write
+        writer.format(fmt).save(path)
+        return io.read_pages(spark, path, fmt).select(
+            "dv_id", "page_number", "ocr_derived", "ocr_confidence", F.length("text").alias("chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
+    return query
+
+
+for _fmt in ("csv", "orc", "parquet"):
+    _register(f"s02_read_pages_{_fmt}", QUERIES["s02_read_pages"][1])(_read_back(_fmt))
+
+
 @_register("s03_read_table", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 250000")
 def s03(spark, d):
     return io.read_table(spark, d, "orders", ["o_orderkey", "o_totalprice"], (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 250000))
@@ -336,25 +390,32 @@ def s04c(spark, d):
 
 
 def _sections(spark, d):
-    return P.export_sections(_versioned(spark, d), E.extracted_fields(spark, d), DQ.obligations(spark, d), E.risk_flags(spark, d), newest=500)
+    k = F.col("dv_id")
+    fields = E.extracted_fields(spark, d).withColumns({
+        "label": F.concat(F.lit("Field "), "field_key"), "primary_citation_id": F.when(F.col("value_text").isNotNull(), k - k % 6)})
+    rule = F.to_json(F.struct("anchor", "offset_days", "calendar", "recurrence"))
+    obligations = DQ.obligations(spark, d).withColumns({"description": F.when(F.col("obligation_id") % 2 == 0, F.concat_ws(" to ", "obligor", "obligee")), "rule": rule})
+    return P.export_sections(_versioned(spark, d), fields, obligations, E.risk_flags(spark, d))
 
 
 @_register("s05_export_fields", with_ctes(["versioned", "extracted_fields"], """
-SELECT f.workspace_id, v.title AS contract, f.field_id, f.field_key, f.field_group, coalesce(f.value_text, '') AS value, f.confidence, f.validation_status FROM extracted_fields f JOIN versioned v ON v.current_version_id = f.dv_id WHERE extraction_kind = 'factual'"""))
+SELECT f.workspace_id, v.title AS contract, f.field_id, f.field_key, 'Field ' || f.field_key AS label, f.field_group, coalesce(f.value_text, '') AS value, f.confidence, f.validation_status,
+  CASE WHEN f.value_text IS NULL THEN '' ELSE CAST(f.dv_id - f.dv_id % 6 AS VARCHAR) END AS citation, 'AI assistance, not legal advice' AS disclaimer FROM extracted_fields f JOIN versioned v ON v.current_version_id = f.dv_id WHERE extraction_kind = 'factual'"""))
 def s05(spark, d):
     return _sections(spark, d)["fields"]
 
 
 @_register("s05_export_obligations", with_ctes(["obligations", "contracts"], """
-SELECT o.workspace_id, rank, obligation_id, c.title AS contract, o.title, coalesce(CAST(due_date AS VARCHAR), '') AS due_date, coalesce(due_date_math, '') AS due_date_math, priority, o.status, CASE WHEN o.status = 'needs_assumption' THEN 'yes' ELSE 'no' END AS needs_assumption
-FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, obligation_id) AS rank FROM obligations) o JOIN contracts c ON c.contract_id = o.contract_id WHERE rank <= 500"""))
+SELECT o.workspace_id, rank, obligation_id, c.title AS contract, o.title, CASE WHEN obligation_id % 2 = 0 THEN obligor || ' to ' || obligee ELSE '' END AS description,
+  '{"anchor":"' || anchor || '","offset_days":' || offset_days || ',"calendar":"' || calendar || '","recurrence":"' || recurrence || '"}' AS rule, coalesce(CAST(due_date AS VARCHAR), '') AS due_date, coalesce(due_date_math, '') AS due_date_math, priority, o.status, CASE WHEN o.status = 'needs_assumption' THEN 'yes' ELSE 'no' END AS needs_assumption
+FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, obligation_id) AS rank FROM obligations) o JOIN contracts c ON c.contract_id = o.contract_id"""))
 def s05b(spark, d):
     return _sections(spark, d)["obligations"]
 
 
 @_register("s05_export_risk_flags", with_ctes(["risk_flags", "contracts"], """
 SELECT f.workspace_id, rank, flag_id, c.title AS contract, f.title, severity, category, confidence, f.status, recommended_step
-FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, flag_id) AS rank FROM risk_flags) f JOIN contracts c ON c.contract_id = f.contract_id WHERE rank <= 500 AND f.status <> 'superseded'"""))
+FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, flag_id) AS rank FROM risk_flags) f JOIN contracts c ON c.contract_id = f.contract_id WHERE f.status <> 'superseded'"""))
 def s05c(spark, d):
     return _sections(spark, d)["risk_flags"]
 

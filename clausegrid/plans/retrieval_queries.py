@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid import constants as K
+from clausegrid.functions import text as T
 from clausegrid.operators import retrieval as R
 from clausegrid.plans import date_queries as DQ
 from clausegrid.plans import entities as E
@@ -28,20 +29,32 @@ def _register(name: str, sql: str | None = None):
 # ------------------------------------------------------------------ questions, grants, vectors
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """First sentence of every benchmark item, asked in one of five workspaces."""
-    return E.table(spark, d, "benchmark").select(
-        F.col("item_id").alias("question_id"), (F.col("item_id") % 5).alias("workspace_id"), F.regexp_extract("text", "^[^.,]+", 0).alias("question"))
+    """Every benchmark item, asked in one of five workspaces: its whole text as it is (a search finds what holds all of its words), and as
+    alternatives, one for each word longer than seven letters."""
+    items = E.table(spark, d, "benchmark").select(F.col("item_id").alias("k"), "text")
+    words = F.array_join(F.array_sort(F.array_distinct(F.filter(T.tokens("text"), lambda w: F.length(w) > 7))), " or ")
+    asked = items.select("k", F.explode(F.array(F.struct(F.lit(0).alias("form"), F.col("text").alias("question")), F.struct(F.lit(1).alias("form"), words.alias("question")))).alias("a"))
+    return asked.select((F.col("k") * 2 + F.col("a.form")).alias("question_id"), (F.col("k") % 5).alias("workspace_id"), F.col("a.question").alias("question"))
 
 
 def scope(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of versions that the workspace may read: all but German ones."""
-    grants = E.table(spark, d, "documents").filter("lang <> 'de'").select((F.col("doc_id") % 5).alias("workspace_id"), F.col("doc_id").alias("dv_id"))
+    """Chunks of the versions that a workspace may read: all of its own."""
+    grants = E.table(spark, d, "documents").select((F.col("doc_id") % 5).alias("workspace_id"), F.col("doc_id").alias("dv_id"))
     return cut_lineage(R.authorized_chunks(TQ.doc_chunks(spark, d), grants))
 
 
-CTE["questions"] = ([], "SELECT item_id AS question_id, item_id % 5 AS workspace_id, regexp_extract(text, '^[^.,]+') AS question FROM benchmark")
-CTE["scope"] = (["doc_chunks"], "SELECT c.* FROM doc_chunks c JOIN documents d ON d.doc_id = c.dv_id WHERE d.lang <> 'de'")
+def granted(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks under grants that leave out a workspace's German documents: what permissions do before any ranking."""
+    grants = E.table(spark, d, "documents").filter("lang <> 'de'").select((F.col("doc_id") % 5).alias("workspace_id"), F.col("doc_id").alias("dv_id"))
+    return R.authorized_chunks(TQ.doc_chunks(spark, d), grants)
+
+
 _TOK = "list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
+CTE["questions"] = ([], f"""
+SELECT item_id * 2 AS question_id, item_id % 5 AS workspace_id, text AS question FROM benchmark
+UNION ALL SELECT item_id * 2 + 1, item_id % 5, array_to_string(list_sort(list_distinct(list_filter({_TOK.format(x='text')}, lambda w: length(w) > 7))), ' or ') FROM benchmark""")
+CTE["scope"] = (["doc_chunks"], "SELECT * FROM doc_chunks")
+CTE["granted"] = (["doc_chunks"], "SELECT c.* FROM doc_chunks c JOIN documents d ON d.doc_id = c.dv_id WHERE d.lang <> 'de'")
 _STOP = ", ".join(f"'{w}'" for w in K.STOP_WORDS)
 
 
@@ -64,15 +77,20 @@ SELECT question_id, chunk_id, score, rank FROM (
 CTE["text_index"] = (["scope"], f"""
 SELECT workspace_id, chunk_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT workspace_id, chunk_id, len(t) AS dl, unnest(t) AS term FROM (
   SELECT workspace_id, chunk_id, list_filter({_TOK.format(x='text')}, lambda w: NOT list_contains([{_STOP}], w)) AS t FROM scope)) GROUP BY 1, 2, 3""")
-CTE["text_hits"] = (["text_index", "questions"], f"""
+CTE["question_parts"] = (["questions"], r"""
+SELECT *, sum(CAST(part = 'or' AS INTEGER)) OVER (PARTITION BY question_id ORDER BY pos) AS alt FROM (
+  SELECT question_id, workspace_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos FROM (SELECT *, regexp_extract_all(lower(question), '\S+') AS p FROM questions))""")
+CTE["question_terms"] = (["question_parts"], f"""
+SELECT *, count(*) OVER (PARTITION BY question_id, alt) AS n FROM (SELECT DISTINCT question_id, workspace_id, alt, term FROM (
+  SELECT question_id, workspace_id, alt, unnest(list_filter({_TOK.format(x='part')}, lambda w: NOT list_contains([{_STOP}], w))) AS term FROM question_parts WHERE part <> 'or'))""")
+CTE["text_hits"] = (["text_index", "question_terms"], """
 SELECT question_id, chunk_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
-    SELECT q.question_id, i.chunk_id, round(sum(ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * i.tf * 2.2 / (i.tf + 1.2 * (0.25 + 0.75 * i.dl / c.avgdl))), 9) AS score
-    FROM (SELECT DISTINCT question_id, workspace_id, unnest(t) AS term, n FROM (SELECT *, len(list_distinct(t)) AS n FROM (
-            SELECT question_id, workspace_id, list_filter({_TOK.format(x='question')}, lambda w: NOT list_contains([{_STOP}], w)) AS t FROM questions))) q
-    JOIN text_index i ON i.term = q.term AND i.workspace_id = q.workspace_id JOIN (SELECT workspace_id, term, count(*) AS df FROM text_index GROUP BY 1, 2) d ON d.term = q.term AND d.workspace_id = q.workspace_id
-    JOIN (SELECT workspace_id, count(*) AS n, avg(dl) AS avgdl FROM (SELECT workspace_id, chunk_id, max(dl) AS dl FROM text_index GROUP BY 1, 2) GROUP BY 1) c ON c.workspace_id = q.workspace_id
-    GROUP BY q.question_id, i.chunk_id HAVING count(*) = max(q.n))) WHERE rank <= 40""")
+    SELECT question_id, chunk_id, max(score) AS score FROM (
+      SELECT q.question_id, q.alt, i.chunk_id, round(sum(ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * i.tf * 2.2 / (i.tf + 1.2 * (0.25 + 0.75 * i.dl / c.avgdl))), 9) AS score
+      FROM question_terms q JOIN text_index i ON i.term = q.term AND i.workspace_id = q.workspace_id JOIN (SELECT workspace_id, term, count(*) AS df FROM text_index GROUP BY 1, 2) d ON d.term = q.term AND d.workspace_id = q.workspace_id
+      JOIN (SELECT workspace_id, count(*) AS n, avg(dl) AS avgdl FROM (SELECT workspace_id, chunk_id, max(dl) AS dl FROM text_index GROUP BY 1, 2) GROUP BY 1) c ON c.workspace_id = q.workspace_id
+      GROUP BY q.question_id, q.alt, i.chunk_id HAVING count(*) = max(q.n)) GROUP BY 1, 2)) WHERE rank <= 40""")
 CTE["fused"] = (["vector_hits", "text_hits"], """
 SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT question_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT question_id, chunk_id, rank FROM vector_hits UNION ALL SELECT question_id, chunk_id, rank FROM text_hits) GROUP BY 1, 2)) WHERE rank <= 8""")
@@ -127,9 +145,9 @@ def r04(spark, d):
     return fused(spark, d).withColumn("score", F.round("score", 6))
 
 
-@_register("r05_authorized_chunks", with_ctes(["scope"], "SELECT chunk_id, dv_id, workspace_id, seq FROM scope"))
+@_register("r05_authorized_chunks", with_ctes(["granted"], "SELECT chunk_id, dv_id, workspace_id, seq FROM granted"))
 def r05(spark, d):
-    return scope(spark, d).select("chunk_id", "dv_id", "workspace_id", "seq")
+    return granted(spark, d).select("chunk_id", "dv_id", "workspace_id", "seq")
 
 
 @_register("r06_evidence", with_ctes(["fused", "scope"], """
@@ -179,19 +197,29 @@ def r08(spark, d):
     return R.out_of_scope(chat_questions(spark, d)).select("question_id", "out_of_scope")
 
 
-@_register("r09_portfolio_answer", with_ctes(["routed", "obligations", "contracts"], f"""
-SELECT question_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'No obligations are due in the next ' || window_days || ' days.' ELSE n || ' obligation(s) due in the next ' || window_days || ' days:' || chr(10) || lines END AS content
-FROM routed r LEFT JOIN (
-  SELECT question_id, count(*) AS n, string_agg('- ' || title || ' — ' || contract_title || ' — due ' || due_date || ' (/contracts/' || contract_id || '/obligations)', chr(10) ORDER BY due_date, obligation_id) AS lines FROM (
-    SELECT r.question_id, o.*, c.title AS contract_title, row_number() OVER (PARTITION BY question_id ORDER BY due_date, obligation_id) AS rk
-    FROM routed r JOIN obligations o ON o.workspace_id = r.workspace_id AND o.due_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + r.window_days AND o.status IN ('active', 'overdue')
-    JOIN contracts c ON c.contract_id = o.contract_id WHERE r.intent = 'portfolio_dates') WHERE rk <= 20 GROUP BY question_id) a USING (question_id)
+CTE["due_lines"] = (["routed", "obligations", "contracts"], f"""
+SELECT r.question_id, o.obligation_id, o.due_date, row_number() OVER (PARTITION BY question_id ORDER BY due_date, obligation_id) AS rk, count(*) OVER (PARTITION BY question_id) AS n,
+       '- ' || o.title || ' — ' || c.title || ' — due ' || due_date || ' (/contracts/' || c.contract_id || '/obligations)' AS line
+FROM routed r JOIN obligations o ON o.workspace_id = r.workspace_id AND o.due_date BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + r.window_days AND o.status IN ('active', 'overdue')
+JOIN contracts c ON c.contract_id = o.contract_id WHERE r.intent = 'portfolio_dates'""")
+
+
+@_register("r09_portfolio_answer", with_ctes(["routed", "due_lines"], """
+SELECT question_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'No obligations are due in the next ' || window_days || ' days.'
+  ELSE n || ' obligation(s) due in the next ' || window_days || ' days:' || chr(10) || lines || CASE WHEN n > 20 THEN chr(10) || '… and ' || (n - 20) || ' more' ELSE '' END END AS content
+FROM routed r LEFT JOIN (SELECT question_id, max(n) AS n, string_agg(line, chr(10) ORDER BY rk) FILTER (WHERE rk <= 20) AS lines FROM due_lines GROUP BY question_id) a USING (question_id)
 WHERE intent = 'portfolio_dates'"""))
 def r09(spark, d):
     q = R.route_intent(chat_questions(spark, d)).filter("intent = 'portfolio_dates'")
     return R.portfolio_answer(q, DQ.obligations(spark, d), E.contracts(spark, d), AS_OF)
 
 
+@_register("r09_portfolio_due", with_ctes(["due_lines"], "SELECT question_id, obligation_id, due_date, line FROM due_lines"))
+def r09b(spark, d):
+    q = R.route_intent(chat_questions(spark, d)).filter("intent = 'portfolio_dates'")
+    return R.portfolio_due(q, DQ.obligations(spark, d), E.contracts(spark, d), AS_OF)
+
+
 # ------------------------------------------------------------------ claims over the retrieved evidence
 
 def claims(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -291,10 +319,16 @@ def r12c(spark, d):
     return R.record_feedback(messages, votes)
 
 
-@_register("r13_reembed", with_ctes(["doc_chunks"], f"""
-SELECT c.chunk_id, coalesce(v.dims, 0) AS dims, coalesce(v.tokens, 0) AS tokens FROM doc_chunks c LEFT JOIN (
-  SELECT chunk_id, count(DISTINCT dim) AS dims, count(*) AS tokens FROM (SELECT chunk_id, {Q.fnv_dimension('tok', 2048)} AS dim FROM (SELECT chunk_id, unnest({_TOK.format(x='substr(text, 1, 4000)')}) AS tok FROM doc_chunks)) GROUP BY 1) v USING (chunk_id)"""))
+CTE["vectors_2048"] = (["doc_chunks"], f"""
+SELECT chunk_id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS weight FROM (
+  SELECT chunk_id, dim, count(*) AS n FROM (SELECT chunk_id, {Q.fnv_dimension('tok', 2048)} AS dim FROM (SELECT chunk_id, unnest({_TOK.format(x='text')}) AS tok FROM doc_chunks)) GROUP BY 1, 2)""")
+
+
+@_register("r13_reembed", with_ctes(["doc_chunks", "vectors_2048"], """
+SELECT chunk_id, v.vector FROM doc_chunks LEFT JOIN (
+  SELECT chunk_id, md5(string_agg(dim || ':' || CAST(floor(weight * 1e6 + 0.5) AS BIGINT), ',' ORDER BY dim)) AS vector FROM vectors_2048 GROUP BY 1) v USING (chunk_id)"""))
 def r13(spark, d):
     out = R.reembed(TQ.doc_chunks(spark, d), 2048)
-    tokens = F.size(F.filter(F.split(F.lower(F.substring("text", 1, 4000)), "[^a-z0-9]+"), lambda w: w != ""))
-    return out.select("chunk_id", F.coalesce(F.greatest(F.size("vector"), F.lit(0)), F.lit(0)).cast("long").alias("dims"), tokens.cast("long").alias("tokens"))
+    vector = F.array_sort(F.transform("vector", lambda x: F.struct(x["dim"].alias("dim"), x["weight"].alias("weight"))))
+    form = F.array_join(F.transform(vector, lambda x: F.concat_ws(":", x["dim"], F.floor(x["weight"] * 1e6 + 0.5))), ",")
+    return out.select("chunk_id", F.when(F.size("vector") > 0, F.md5(form)).alias("vector"))

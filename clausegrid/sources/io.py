@@ -30,14 +30,14 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def file_extension(filename: Column | str, mime: Column | str) -> Column:
-    """Lower-cased extension of the name, at most eight characters, else by MIME type."""
+    """Lower-cased extension of the name, else by MIME type."""
     name = col(filename)
-    return (F.when(F.contains(name, F.lit(".")), F.substring(F.lower(F.element_at(F.split(name, r"\."), -1)), 1, 8))
+    return (F.when(F.contains(name, F.lit(".")), F.lower(F.element_at(F.split(name, r"\."), -1)))
             .when(col(mime) == "application/pdf", "pdf").when(col(mime) == "text/plain", "txt").otherwise("bin"))
 
 
-def ingest_documents(files: DataFrame, declared: DataFrame, key: str = "dv_id") -> tuple[DataFrame, DataFrame]:
-    """Check uploaded bytes against their declaration; refusals carry a reason.
+def ingest_documents(files: DataFrame, declared: DataFrame, key: str = "dv_id", max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Check uploaded bytes against their declaration; refusals carry a reason. `max_bytes`: refuse larger files.
 
     `files`: key, content, length. `declared`: key, filename, mime_type, sha256.
     """
@@ -46,7 +46,7 @@ def ingest_documents(files: DataFrame, declared: DataFrame, key: str = "dv_id")
     reason = (
         F.when(F.col("length").isNull(), "missing content")
         .when(F.col("length") <= 0, "empty file")
-        .when(F.col("length") > K.MAX_UPLOAD_BYTES, "file larger than 50 MB")
+        .when(F.lit(max_bytes is not None) & (F.col("length") > (max_bytes or 0)), f"file larger than {max_bytes} bytes")
         .when(F.col("actual_sha256") != F.lower("sha256"), "hash mismatch"))
     checked = joined.withColumns({"extension": file_extension("filename", "mime_type"), "reason": reason})
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())

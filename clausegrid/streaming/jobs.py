@@ -48,8 +48,7 @@ def run_to_sink(stream: DataFrame, process: Callable[[DataFrame, int], DataFrame
 def status_changes(events: DataFrame) -> DataFrame:
     """Batch form of the feed: events whose status differs from the one before. A terminal
     status closes the feed, so the next event opens it again."""
-    block = F.date_trunc("day", F.col("happened_at"))
-    seen = ordered.previous(events, ["dv_id"], block, ["happened_at", "seq"], ["status"])
+    seen = ordered.previous(events, ["dv_id"], ["happened_at", "seq"], ["status"])
     opened = F.col("prev_status").isNull() | F.col("prev_status").isin(*K.TERMINAL_STATUS) | (F.col("prev_status") != F.col("status"))
     return seen.filter(opened).withColumn("done", F.col("status").isin(*K.TERMINAL_STATUS)).drop("prev_status")
 
@@ -90,7 +89,7 @@ def rate_flags(events: DataFrame, key: str, ts: str, tie: str, n: int = 5, secon
     """Attempts that are more than the n-th within the trailing window (denied ones count; an
     attempt exactly as old as the window does not). Attempt i is flagged when attempt i-n is
     still inside the window, which is an equi-join on the attempt number."""
-    numbered = ordered.numbered(events, [key], F.date_trunc("day", F.col(ts)), [ts, tie], "attempt_no")
+    numbered = ordered.numbered(events, [key], [ts, tie], "attempt_no")
     earlier = numbered.select(F.col(key).alias("__k"), (F.col("attempt_no") + n).alias("__n"), F.col(ts).alias("__t"))
     joined = numbered.join(earlier, (F.col(key) == F.col("__k")) & (F.col("attempt_no") == F.col("__n")), "left")
     inside = F.unix_micros(F.col(ts)) - F.unix_micros(F.col("__t")) < seconds * 1_000_000
