@@ -69,7 +69,11 @@ def due_notifications(
     A named recipient gets the message; otherwise the admins and owners of the workspace do,
     the first `recipients` of them if given. `batch` bounds a sweep; None takes everything that is due.
     """
-    due = due_schedules(schedules, deliveries, as_of, batch)
+    return notifications_for(due_schedules(schedules, deliveries, as_of, batch), obligations, contracts, memberships, users, recipients)
+
+
+def notifications_for(due: DataFrame, obligations: DataFrame, contracts: DataFrame, memberships: DataFrame, users: DataFrame, recipients: int | None = None) -> DataFrame:
+    """The messages of due schedules, one per recipient."""
     named = due.filter(F.col("recipient_user_id").isNotNull()).withColumn("user_id", F.col("recipient_user_id"))
     staff = ordered.top_n(
         memberships.filter(F.col("role").isin(*K.ALERT_ROLES)).select("workspace_id", "user_id"),

@@ -192,11 +192,12 @@ def fold_obligations(obligations: DataFrame, actions: DataFrame) -> DataFrame:
     def last(value: Column, when: Column) -> Column:
         return F.max_by(value, F.when(when & value.isNotNull(), order))
 
+    # what an edit can change; a log or obligations without one of these leave it out
+    edited = [c for c in ("title", "description", "priority") if c in obligations.columns and c in actions.columns]
     given = action.isin("accept", "assign")
     folded = log.groupBy("obligation_id").agg(
         last(F.col("sets_status"), F.col("sets_status").isNotNull()).alias("n_status"),
-        last(F.col("title"), action == "edit").alias("n_title"),
-        last(F.col("priority"), action == "edit").alias("n_priority"),
+        *[last(F.col(c), action == "edit").alias(f"n_{c}") for c in edited],
         last(F.col("owner_user_id"), given).alias("n_owner"),
         F.min_by("actor", F.when(action == "accept", order)).alias("first_accepter"),
         last(F.col("anchor_date"), action == "supply_anchor").alias("supplied"),
@@ -206,8 +207,7 @@ def fold_obligations(obligations: DataFrame, actions: DataFrame) -> DataFrame:
         joined.withColumnsRenamed({c: f"o_{c}" for c in DUE_COLUMNS}), F.col("supplied"))
     supplied = F.col("supplied").isNotNull()
     return redated.withColumns({
-        "status": F.coalesce("n_status", "status"), "title": F.coalesce("n_title", "title"),
-        "priority": F.coalesce("n_priority", "priority"),
+        "status": F.coalesce("n_status", "status"), **{c: F.coalesce(f"n_{c}", c) for c in edited},
         "owner_user_id": F.coalesce("n_owner", "owner_user_id", "first_accepter"),
         "due_date": F.when(supplied, F.col("due_date")).otherwise(F.col("o_due_date")),
         "due_date_math": F.when(supplied, F.col("due_date_math")).otherwise(F.col("o_due_date_math")),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from clausegrid import constants as K
 from clausegrid.functions import dates as D
@@ -53,74 +54,166 @@ def authorized_chunks(chunks: DataFrame, grants: DataFrame) -> DataFrame:
     return chunks.join(grants.select("workspace_id", "dv_id").distinct(), ["workspace_id", "dv_id"], "left_semi")
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, dim: int, k: int = K.CANDIDATES, skip_same: bool = False) -> DataFrame:
-    """Exact top k chunks by cosine similarity inside each workspace.
+def _unit_rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors, dense or as (dim, weight) pairs, as rows of length one (or zero)."""
+    lists = column.combine_chunks()
+    values, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    out = np.zeros((len(lists), dim))
+    if pa.types.is_struct(values.type):
+        out[row, values.field("dim").to_numpy(zero_copy_only=False)] = values.field("weight").to_numpy(zero_copy_only=False)
+    else:
+        out[:] = values.to_numpy(zero_copy_only=False).reshape(len(lists), dim)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(length == 0, 1, length)
 
-    Chunks and questions of a workspace are cut into blocks of bounded size; every task
+
+def vector_topk(questions: DataFrame, chunks: DataFrame, dim: int, k: int = K.CANDIDATES, skip_same: bool = False,
+                within: Sequence[str] = ("workspace_id",)) -> DataFrame:
+    """Exact top k chunks by cosine similarity among the chunks that share the columns `within`.
+
+    Chunks and questions of a group are cut into blocks of bounded size; every task
     multiplies one block pair and returns at most k rows per question, so a workspace of
     any size is spread over many tasks and no pair list is materialised.
-    `questions`: question_id, workspace_id, vector; `chunks`: chunk_id, workspace_id, vector.
+    `questions`: question_id, vector and `within`; `chunks`: chunk_id, vector and `within`.
     """
-    live_q = questions.filter(F.col("vector").isNotNull()).select(
-        F.col("question_id").alias("question_id"), F.col("workspace_id").alias("workspace_id"), F.col("vector").alias("vector"))
-    live_c = chunks.filter(F.col("vector").isNotNull()).select(
-        F.col("chunk_id").alias("chunk_id"), F.col("workspace_id").alias("workspace_id"), F.col("vector").alias("vector"))
-    nq = live_q.groupBy("workspace_id").agg(F.ceil(F.count("*") / QUESTIONS_PER_BLOCK).cast("int").alias("nqb"))
-    nc = live_c.groupBy("workspace_id").agg(F.ceil(F.count("*") / CHUNKS_PER_BLOCK).cast("int").alias("ncb"))
-    sizes = nq.join(nc, "workspace_id")
+    group = list(within)
+    # fresh columns, so that a table can be searched with its own rows
+    live_q = questions.filter(F.col("vector").isNotNull()).select(*[F.col(c).alias(c) for c in ("question_id", *group, "vector")])
+    live_c = chunks.filter(F.col("vector").isNotNull()).select(*[F.col(c).alias(c) for c in ("chunk_id", *group, "vector")])
+    nq = live_q.groupBy(*group).agg(F.ceil(F.count("*") / QUESTIONS_PER_BLOCK).cast("int").alias("nqb"))
+    nc = live_c.groupBy(*group).agg(F.ceil(F.count("*") / CHUNKS_PER_BLOCK).cast("int").alias("ncb"))
+    sizes = nq.join(nc, group)
 
     def blocks(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (df.join(sizes, "workspace_id")
+        return (df.join(sizes, group)
                 .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("nqb", "ncb"))
 
     q = blocks(live_q, "question_id", "qb", "nqb", "cb", "ncb")
     c = blocks(live_c, "chunk_id", "cb", "ncb", "qb", "nqb")
 
-    # self-contained, so that executors need no copy of this package
-    def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        def matrix(vectors):
-            m = np.zeros((len(vectors), dim))
-            for i, v in enumerate(vectors):
-                if len(v) and isinstance(v[0], dict):
-                    m[i, [x["dim"] for x in v]] = [x["weight"] for x in v]
-                else:
-                    m[i, :] = v
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            return m / np.where(length == 0, 1, length)
-
-        out = {"question_id": [], "chunk_id": [], "score": []}
-        if len(qs) and len(cs):
-            cs = cs.sort_values("chunk_id", kind="stable").reset_index(drop=True)
-            scores = np.round(matrix(qs["vector"]) @ matrix(cs["vector"]).T, 9) + 0.0
-            ids = cs["chunk_id"].to_numpy()
-            for i, qid in enumerate(qs["question_id"]):
-                take = np.argsort(-scores[i], kind="stable")
-                if skip_same:
-                    take = take[ids[take] != qid]
-                take = take[:k]
-                out["question_id"].extend([qid] * len(take))
-                out["chunk_id"].extend(ids[take])
-                out["score"].extend(scores[i][take])
-        return pd.DataFrame(out)
+    def best(qs: pa.Table, cs: pa.Table) -> pa.Table:
+        types = qs.schema.field("question_id").type, cs.schema.field("chunk_id").type
+        rows: list = [[], [], []]
+        if qs.num_rows and cs.num_rows:
+            cs = cs.sort_by("chunk_id")
+            scores = np.round(_unit_rows(qs.column("vector"), dim) @ _unit_rows(cs.column("vector"), dim).T, 9) + 0.0
+            ids, asked = cs.column("chunk_id").to_numpy(), qs.column("question_id").to_numpy()
+            if skip_same:
+                scores[asked[:, None] == ids[None, :]] = -np.inf
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            found = np.take_along_axis(scores, order, axis=1)
+            keep = np.isfinite(found)
+            rows = [np.repeat(asked, keep.sum(axis=1)), ids[order[keep]], found[keep]]
+        return pa.Table.from_arrays([pa.array(r, t) for r, t in zip(rows, (*types, pa.float64()))], names=["question_id", "chunk_id", "score"])
 
     schema = f"question_id {q.schema['question_id'].dataType.simpleString()}, chunk_id {c.schema['chunk_id'].dataType.simpleString()}, score double"
-    keys = ["workspace_id", "qb", "cb"]
-    local = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(best, schema)
+    keys = [*group, "qb", "cb"]
+    local = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(best, schema)
     return ordered.top_n(local, ["question_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
+class VectorIndex:
+    """A written index of vectors in cells around pivots: `rows` (chunk_id, workspace_id, vector, cell) holds every vector once, in a folder per
+    cell. A question looks at the `probes` cells whose pivots are nearest to it; what it finds there is ranked exactly."""
+
+    def __init__(self, rows: DataFrame, pivots: np.ndarray, probes: int, recall: float):
+        self.rows, self.pivots, self.probes, self.recall = rows, pivots, probes, recall
+
+    def search(self, questions: DataFrame, k: int = K.CANDIDATES, skip_same: bool = False) -> DataFrame:
+        near = _with_cells(questions.select("question_id", "workspace_id", "vector"), self.pivots, self.probes)
+        return vector_topk(near.withColumn("cell", F.explode("cells")).drop("cells"), self.rows, self.pivots.shape[1], k, skip_same, ["workspace_id", "cell"])
+
+
+def _with_cells(rows: DataFrame, pivots: np.ndarray, n: int) -> DataFrame:
+    """`rows` with the n cells nearest to their vector, the nearest first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                scores = _unit_rows(pa.chunked_array([b.column(b.schema.get_field_index("vector"))]), pivots.shape[1]) @ pivots.T
+                cells = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32) * cells.shape[1]), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "cells"])
+
+    return rows.mapInArrow(run, t.StructType([*rows.schema.fields, t.StructField("cells", t.ArrayType(t.IntegerType()))]))
+
+
+#: Pivots and calibration questions of a vector index, at most.
+PIVOTS, CALIBRATION = 256, 64
+
+
+def build_vector_index(chunks: DataFrame, dim: int, path: str, target: float = 0.95, k: int = K.CANDIDATES) -> VectorIndex:
+    """Write an index of `chunks` (chunk_id, workspace_id, vector) under `path`.
+
+    Pivots are a sample of the vectors, the square root of their number up to PIVOTS, chosen by hash; every vector goes to its nearest pivot's cell. The
+    number of cells to probe is measured: CALIBRATION vectors of another sample ask for their k nearest by the exact search, and as many cells are
+    probed as hold the `target` share of those neighbours."""
+    spark = chunks.sparkSession
+    live = chunks.filter(F.col("vector").isNotNull()).select("chunk_id", "workspace_id", "vector")
+    order = F.xxhash64("chunk_id", F.lit(1))
+    n = live.count()
+    cells = max(1, min(PIVOTS, int(n**0.5)))
+    sample = live.orderBy(order).limit(cells).toArrow()  # at most PIVOTS vectors
+    pivots = _unit_rows(sample.column("vector"), dim) if sample.num_rows else np.zeros((1, dim))
+    dealt = _with_cells(live, pivots, 1).select("chunk_id", "workspace_id", "vector", F.col("cells")[0].alias("cell"))
+    dealt.repartition("cell", "workspace_id").write.partitionBy("cell").parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    asked = live.orderBy(F.xxhash64("chunk_id", F.lit(2))).limit(CALIBRATION).withColumnRenamed("chunk_id", "question_id")
+    ranked = _with_cells(asked, pivots, len(pivots)).select("question_id", "cells")
+    hits = vector_topk(asked, live, dim, k, skip_same=True).join(rows.select("chunk_id", "cell"), "chunk_id").join(ranked, "question_id")
+    places = [r[0] for r in hits.select(F.array_position("cells", F.col("cell"))).collect()]  # at most CALIBRATION * k numbers
+    if not places:
+        return VectorIndex(rows, pivots, 1, 1.0)
+    share = np.cumsum(np.bincount(places, minlength=len(pivots) + 1)) / len(places)
+    probes = int(np.argmax(share >= target))
+    return VectorIndex(rows, pivots, max(probes, 1), float(share[max(probes, 1)]))
+
+
 # ------------------------------------------------------------------ full text
 
 def text_index(chunks: DataFrame) -> DataFrame:
-    """Inverted index (workspace_id, term, chunk_id, tf, dl) over lower-cased content terms.
-    Write it partitioned or bucketed by term to reuse it across question batches."""
+    """Inverted index (workspace_id, term, chunk_id, tf, dl) over lower-cased content terms; `write_text_index` keeps it for many batches of questions."""
     stop = F.array(*[F.lit(w) for w in K.STOP_WORDS])
     toks = chunks.select("workspace_id", "chunk_id", F.filter(T.tokens("text"), lambda w: ~F.array_contains(stop, w)).alias("t"))
     rows = toks.select("workspace_id", "chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return rows.groupBy("workspace_id", "term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
+#: Files of a written index: terms are dealt by their hash.
+INDEX_BUCKETS = 64
+
+
+class TextIndex:
+    """A written inverted index: `postings` in buckets by the hash of the term, `terms` with their document counts, `corpus` with each workspace's
+    number of chunks and mean length. A batch of questions opens the buckets of its own terms only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.terms, self.corpus = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus")
+
+    def postings(self, wanted: DataFrame) -> DataFrame:
+        """workspace_id, term, chunk_id, tf, dl of the terms in `wanted`."""
+        buckets = [r[0] for r in wanted.select(_bucket("term").alias("bucket")).distinct().collect()]  # at most INDEX_BUCKETS numbers
+        rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets)).drop("bucket")
+        return rows.join(wanted.select("term").distinct(), "term", "left_semi")
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_text_index(chunks: DataFrame, path: str) -> TextIndex:
+    """Write the index of `chunks` under `path`."""
+    rows = text_index(chunks).withColumn("bucket", _bucket("term"))
+    rows.repartition("bucket", "workspace_id").sortWithinPartitions("bucket", "term", "workspace_id", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = chunks.sparkSession.read.parquet(f"{path}/postings")
+    index.groupBy("workspace_id", "term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    corpus = index.groupBy("workspace_id", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    corpus.write.parquet(f"{path}/corpus")
+    return TextIndex(chunks.sparkSession, path)
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """Search terms of each question: (question_id, workspace_id, alt, negated, words, phrase).
 
@@ -139,24 +232,28 @@ def question_terms(questions: DataFrame) -> DataFrame:
     ).filter((F.size("words") > 0) | (F.col("phrase") != ""))
 
 
-def fts_topk(questions: DataFrame, chunks: DataFrame, k: int = K.CANDIDATES, index: DataFrame | None = None) -> DataFrame:
+def fts_topk(questions: DataFrame, chunks: DataFrame, k: int = K.CANDIDATES, index: TextIndex | None = None) -> DataFrame:
     """Top k chunks that satisfy the question, ranked by BM25 within the question's workspace.
 
     The rarest term of every alternative selects the candidates; only those are looked up
     for the other terms, by an equi-join on (chunk, term), so frequent terms never fan out.
     """
-    index = text_index(chunks) if index is None else index
     asked = question_terms(questions)
     key = ["question_id", "workspace_id", "alt"]
     terms = asked.filter(~F.col("negated")).select(*key, F.explode("words").alias("term")).distinct()
     wanted = terms.select("term").distinct()
-    df = index.join(wanted, "term", "left_semi").groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
-    corpus = index.groupBy("workspace_id", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("workspace_id").agg(
-        F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    if index is None:
+        postings = text_index(chunks)
+        corpus = postings.groupBy("workspace_id", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("workspace_id").agg(
+            F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        postings = postings.join(wanted, "term", "left_semi")
+        df = postings.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
+    else:
+        postings, corpus, df = index.postings(wanted), index.corpus, index.terms
     rated = terms.join(df, ["workspace_id", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rated.groupBy(*key).agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n_terms"))
-    picked = rare.join(index.select("workspace_id", "term", "chunk_id"), ["workspace_id", "term"]).drop("term")
-    hits = picked.join(rated, key).join(index.drop("workspace_id"), ["term", "chunk_id"]).join(corpus, "workspace_id")
+    picked = rare.join(postings.select("workspace_id", "term", "chunk_id"), ["workspace_id", "term"]).drop("term")
+    hits = picked.join(rated, key).join(postings.drop("workspace_id"), ["term", "chunk_id"]).join(corpus, "workspace_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(*key, "chunk_id").agg(

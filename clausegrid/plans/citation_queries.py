@@ -57,7 +57,11 @@ def c02(spark, d):
 # ------------------------------------------------------------------ evidence: one quote per contract page, in six variants
 
 def evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = TQ.pages(spark, d)
+    p = cut_lineage(TQ.pages(spark, d))
+    return cut_lineage(evidence_of(p)), p
+
+
+def evidence_of(p: DataFrame) -> DataFrame:
     n = F.length("text")
     dv, pg = F.col("dv_id"), F.col("page_number")
     start = ((dv * 31 + pg * 17) % F.greatest(n - 200, F.lit(1))).cast("int")
@@ -68,11 +72,9 @@ def evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
               .when(v == 4, F.concat(F.substr(quote, F.lit(1), F.lit(20)), F.substr(quote, F.lit(29), F.lit(1000))))
               .when(v == 5, E.concat("zq ", dv, " xj wholly unrelated kvq ", pg, " pzzx")).otherwise(quote))
     shift = F.when(v == 0, 0).when(v == 2, F.when(dv % 4 == 0, 15).otherwise(0)).otherwise(25)
-    p = cut_lineage(p)
-    rows = p.filter(n > 0).select(
+    return p.filter(n > 0).select(
         F.concat_ws(":", "dv_id", "page_number").alias("citation_id"), "dv_id", F.col("page_number").alias("page"), v.alias("variant"),
         (start + shift).cast("int").alias("char_start"), (start + size + shift).cast("int").alias("char_end"), quoted.alias("quoted_text"))
-    return cut_lineage(rows), p
 
 
 CTE["evidence"] = (["pages_o"], """
@@ -202,6 +204,10 @@ def c08(spark, d):
 def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """One candidate per contract page; the value, status and number of quotes vary."""
     ev, p = evidence(spark, d)
+    return candidates_of(ev), p
+
+
+def candidates_of(ev: DataFrame) -> DataFrame:
     c = (F.col("dv_id") * 7 + F.col("page") * 3) % 8
     head = F.regexp_extract("quoted_text", "^ *([^ ]+ +){0,4}", 0)
     value = (F.when(c == 1, F.concat(head, F.lit(" 987654"))).when(c == 2, F.concat(head, F.lit(" is certified")))
@@ -212,12 +218,11 @@ def candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     again = F.struct("page", F.lit(None).cast("string").alias("section_ref"), F.lit(None).cast("string").alias("section_title"),
                      "char_start", F.col("char_start").alias("char_end"), "quoted_text")
     evidence_list = F.when(c == 5, F.array(span, again)).when(c == 0, F.array(again, span)).otherwise(F.array(span)).cast(f"array<{SPAN}>")
-    rows = ev.select(
+    return ev.select(
         "dv_id", F.concat(F.lit("field."), F.col("page").cast("string")).alias("field_key"), status.alias("status"), value.alias("value_text"),
         F.when(c == 4, F.lit(None)).otherwise(F.to_json(F.struct(F.length("quoted_text").alias("n")))).alias("value_normalized"),
         F.when(c == 3, F.when(F.col("dv_id") % 2 == 0, "interpretation").otherwise("factual")).otherwise("factual").alias("extraction_kind"),
         evidence_list.alias("evidence"), ((F.col("dv_id") % 101) / 100.0).alias("self_confidence"))
-    return rows, p
 
 
 CTE["candidates"] = (["evidence"], """

@@ -91,6 +91,18 @@ def d02(spark, d):
     return obligations(spark, d).select("obligation_id", _day("due_date"), "due_date_math", "needs_assumption", "assumption_reason")
 
 
+_NEXT_MONTH = "make_date(2000, 7, CAST(obligation_id % 31 + 1 AS BIGINT))"  # the month after AS_OF has 31 days
+
+
+@_register("d02_recurring_due_dates", with_ctes(["obligations"], f"""
+SELECT obligation_id, CAST(CASE WHEN anchor = 'absolute' AND anchor_value IS NULL THEN {_NEXT_MONTH} + CASE WHEN calendar = 'business' THEN CASE isodow({_NEXT_MONTH}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END ELSE 0 END ELSE due_date END AS VARCHAR) AS due_date,
+       needs_assumption AND anchor <> 'absolute' AS needs_assumption FROM obligations"""))
+def d02b(spark, d):
+    """Rules without a fixed date fall on the first occurrence of their recurrence."""
+    out = O.with_due_date(E.obligation_rules(spark, d), F.col("anchor_date"), recurring_from=F.lit(AS_OF).cast("date"))
+    return out.select("obligation_id", _day("due_date"), "needs_assumption")
+
+
 @_register("d03_business_days", """
 SELECT CAST(rolled AS VARCHAR) AS rolled, count(*) AS orders, count(*) FILTER (WHERE rolled <> day) AS moved
 FROM (SELECT day, day + CASE isodow(day) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS rolled FROM (SELECT CAST(o_orderdate AS DATE) AS day FROM orders)) GROUP BY rolled""")
@@ -208,6 +220,7 @@ def actions(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("action_id"),
         F.col("l_orderkey").alias("obligation_id"), F.col("l_shipdate").cast("timestamp").alias("acted_at"), act.alias("action"),
         F.col("l_suppkey").alias("actor"), F.when(n == 1, E.concat("Title ", F.col("l_partkey"))).alias("title"),
+        F.when((n == 1) & (F.col("l_partkey") % 3 == 0), E.concat("Changed Title ", F.col("l_partkey"))).alias("description"),
         F.when((n == 1) & (F.col("l_partkey") % 2 == 0), "low").alias("priority"),
         F.when((n == 3) | ((n == 0) & (F.col("l_partkey") % 2 == 0)), F.col("l_partkey")).alias("owner_user_id"),
         F.when((n == 5) & (F.col("l_partkey") % 5 != 0), F.date_add(F.col("l_shipdate").cast("date"), 10)).alias("anchor_date"))
@@ -227,21 +240,22 @@ WHERE action <> 'supply_anchor' OR CASE WHEN o.anchor = 'absolute' THEN o.anchor
 
 
 @_register("d09_fold_obligations", with_ctes(["obligations", "valid_actions"], """
-SELECT o.obligation_id, coalesce(s.sets_status, o.status) AS status, coalesce(t.title, o.title) AS title, coalesce(p.priority, o.priority) AS priority,
+SELECT o.obligation_id, coalesce(s.sets_status, o.status) AS status, coalesce(t.title, o.title) AS title, coalesce(d.description, 'By ' || o.obligor) AS description, coalesce(p.priority, o.priority) AS priority,
        coalesce(w.owner_user_id, o.owner_user_id, fa.actor) AS owner_user_id, coalesce(n.actions, 0) AS actions,
        CAST(CASE WHEN x.anchor_date IS NULL OR o.anchor = 'absolute' THEN o.due_date
             ELSE x.anchor_date + o.offset_days + CASE WHEN o.calendar = 'business' THEN CASE isodow(x.anchor_date + o.offset_days) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END ELSE 0 END END AS VARCHAR) AS due_date
 FROM obligations o
 LEFT JOIN (SELECT obligation_id, arg_max(sets_status, (acted_at, action_id)) AS sets_status FROM valid_actions WHERE sets_status IS NOT NULL GROUP BY ALL) s USING (obligation_id)
 LEFT JOIN (SELECT obligation_id, arg_max(title, (acted_at, action_id)) AS title FROM valid_actions WHERE action = 'edit' AND title IS NOT NULL GROUP BY ALL) t USING (obligation_id)
+LEFT JOIN (SELECT obligation_id, arg_max('Changed ' || title, (acted_at, action_id)) AS description FROM valid_actions WHERE action = 'edit' AND title IS NOT NULL AND CAST(substr(title, 7) AS BIGINT) % 3 = 0 GROUP BY ALL) d USING (obligation_id)
 LEFT JOIN (SELECT obligation_id, arg_max(priority, (acted_at, action_id)) AS priority FROM valid_actions WHERE action = 'edit' AND priority IS NOT NULL GROUP BY ALL) p USING (obligation_id)
 LEFT JOIN (SELECT obligation_id, arg_max(owner_user_id, (acted_at, action_id)) AS owner_user_id FROM valid_actions WHERE owner_user_id IS NOT NULL GROUP BY ALL) w USING (obligation_id)
 LEFT JOIN (SELECT obligation_id, arg_min(actor, (acted_at, action_id)) AS actor FROM valid_actions WHERE action = 'accept' GROUP BY ALL) fa USING (obligation_id)
 LEFT JOIN (SELECT obligation_id, arg_max(anchor_date, (acted_at, action_id)) AS anchor_date FROM valid_actions WHERE action = 'supply_anchor' AND anchor_date IS NOT NULL GROUP BY ALL) x USING (obligation_id)
 LEFT JOIN (SELECT obligation_id, count(*) AS actions FROM valid_actions GROUP BY ALL) n USING (obligation_id)"""))
 def d09(spark, d):
-    out = O.fold_obligations(obligations(spark, d), actions(spark, d))
-    return out.select("obligation_id", "status", "title", "priority", "owner_user_id", _day("due_date"), "actions")
+    out = O.fold_obligations(obligations(spark, d).withColumn("description", F.concat(F.lit("By "), "obligor")), actions(spark, d))
+    return out.select("obligation_id", "status", "title", "description", "priority", "owner_user_id", _day("due_date"), "actions")
 
 
 @_register("d09_action_events", with_ctes(["valid_actions"], """
@@ -290,10 +304,9 @@ def d12b(spark, d):
 
 
 @_register("d13_mark_overdue", with_ctes(["obligations"], f"""
-SELECT workspace_id, CASE WHEN status = 'active' AND due_date + grace_days < DATE '{AS_OF}' THEN 'overdue' ELSE status END AS status, count(*) AS obligations, min(obligation_id) AS first_id FROM obligations GROUP BY 1, 2"""))
+SELECT obligation_id, CASE WHEN status = 'active' AND due_date + grace_days < DATE '{AS_OF}' THEN 'overdue' ELSE status END AS status FROM obligations"""))
 def d13(spark, d):
-    return O.mark_overdue(obligations(spark, d), AS_OF).groupBy("workspace_id", "status").agg(
-        F.count("*").alias("obligations"), F.min("obligation_id").alias("first_id"))
+    return O.mark_overdue(obligations(spark, d), AS_OF).select("obligation_id", "status")
 
 
 _SCHED_COLS = ["schedule_id", "workspace_id", "obligation_id", "offset_days", "channel", "recipient_user_id", "status"]
@@ -427,8 +440,8 @@ def d19(spark, d):
 
 
 @_register("d19_mark_read", """
-SELECT user_id, count(*) AS notifications, count(*) FILTER (WHERE event_id % 3 = 0 OR event_type = 'click') AS read FROM events GROUP BY user_id""")
+SELECT user_id, event_id AS notification_id, event_id % 3 = 0 OR event_type = 'click' AS read FROM events""")
 def d19b(spark, d):
     n = notifications(spark, d)
     reads = n.filter("kind = 'click'").select("notification_id", "user_id", F.lit(AS_OF_TS).cast("timestamp").alias("read_at"))
-    return A.mark_read(n, reads).groupBy("user_id").agg(F.count("*").alias("notifications"), F.count("read_at").alias("read"))
+    return A.mark_read(n, reads).select("user_id", "notification_id", F.col("read_at").isNotNull().alias("read"))

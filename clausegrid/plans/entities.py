@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHARED: dict = {}
+
+
+def shared(spark: SparkSession, d: str, name: str, make):
+    """What several queries read (a written table, a folder), made once per application and input folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
 def ts(base: str, seconds: Column) -> Column:
     """A timestamp some seconds after a fixed UTC instant."""
     return F.timestamp_seconds(F.unix_timestamp(F.lit(base)) + seconds)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from clausegrid import constants as K
@@ -11,6 +14,7 @@ from clausegrid.operators import risk as R
 from clausegrid.plans import date_queries as DQ
 from clausegrid.plans import entities as E
 from clausegrid.plans.entities import AS_OF, CTE, with_ctes
+from clausegrid.session import checkpoint_root
 from clausegrid.sources import io
 
 QUERIES: dict = {}
@@ -23,6 +27,11 @@ def _register(name: str, sql: str | None = None):
     return deco
 
 
+def _scratch(spark, name):
+    """A new folder in the shared checkpoint area."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _overdue(spark, d):
     return O.mark_overdue(DQ.obligations(spark, d), AS_OF)
 
@@ -323,10 +332,7 @@ def s01b(spark, d):
 
 @_register("s02_read_pages", with_ctes(["raw_pages"], "SELECT dv_id, page_number, ocr_derived, ocr_confidence, length(text) AS chars, sha256(text) AS h FROM raw_pages"))
 def s02(spark, d):
-    import uuid
-
-    from clausegrid.session import checkpoint_root
-    path = f"{checkpoint_root(spark)}/pages-{uuid.uuid4().hex}"
+    path = _scratch(spark, "pages")
     E.raw_pages(spark, d).drop("contract_id").write.json(path)
     return io.read_pages(spark, path, "json").select(
         "dv_id", "page_number", "ocr_derived", "ocr_confidence", F.length("text").alias("chars"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h"))
@@ -334,10 +340,7 @@ def s02(spark, d):
 
 def _read_back(fmt):
     def query(spark, d):
-        import uuid
-
-        from clausegrid.session import checkpoint_root
-        path = f"{checkpoint_root(spark)}/pages-{uuid.uuid4().hex}"
+        path = _scratch(spark, "pages")
         rows = E.raw_pages(spark, d).drop("contract_id")
         writer = rows.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) if fmt == "csv" else rows.write
         writer.format(fmt).save(path)
@@ -463,13 +466,12 @@ def s07b(spark, d):
 
 
 @_register("s08_replace_slice", with_ctes(["obligations"], """
-SELECT contract_id, status, count(*) AS obligations FROM (
-  SELECT contract_id, status FROM obligations WHERE NOT (status = 'suggested' AND contract_id IN (SELECT contract_id FROM obligations WHERE priority = 'critical'))
-  UNION ALL SELECT contract_id, 'suggested' FROM obligations WHERE priority = 'critical') GROUP BY 1, 2"""))
+SELECT contract_id, obligation_id, status, 0 AS run FROM obligations WHERE NOT (status = 'suggested' AND contract_id IN (SELECT contract_id FROM obligations WHERE priority = 'critical'))
+UNION ALL SELECT contract_id, obligation_id, 'suggested', 1 FROM obligations WHERE priority = 'critical'"""))
 def s08(spark, d):
-    base = DQ.obligations(spark, d).select("contract_id", "obligation_id", "status", "priority")
-    new = base.filter("priority = 'critical'").withColumn("status", F.lit("suggested"))
-    return io.replace_slice(base, new, ["contract_id"], F.col("status") == "suggested").groupBy("contract_id", "status").agg(F.count("*").alias("obligations"))
+    base = DQ.obligations(spark, d).select("contract_id", "obligation_id", "status", "priority", F.lit(0).alias("run"))
+    new = base.filter("priority = 'critical'").withColumns({"status": F.lit("suggested"), "run": F.lit(1)})
+    return io.replace_slice(base, new, ["contract_id"], F.col("status") == "suggested").drop("priority")
 
 
 @_register("s09_briefs", """
@@ -479,8 +481,9 @@ def s09(spark, d):
     docs = E.table(spark, d, "documents")
     made = F.struct(F.array(F.struct(F.concat(F.lit("About "), "source").alias("text"), F.array(k.cast("string")).alias("field_ids"), F.lit(0.5).alias("self_confidence"))).alias("interpretation"),
                     F.array().cast("array<struct<question:string,field_ids:array<string>>>").alias("open_questions"))
-    raw = docs.filter(k % 4 != 0).select(k.alias("dv_id"), F.to_json(made).alias("brief"))
-    out = io.parse_briefs(raw, docs.select(k.alias("dv_id")))
+    path = _scratch(spark, "briefs")
+    io.write_briefs(docs.filter(k % 4 != 0).select((k % 5).alias("workspace_id"), k.alias("dv_id"), made.alias("brief")), path)
+    out = io.read_briefs(spark, path, docs.select(k.alias("dv_id")))
     return out.select("dv_id", F.size("interpretation").alias("sentences"), F.get("interpretation", F.lit(0))["text"].alias("first_text"), F.size("open_questions").alias("questions"))
 
 
@@ -520,3 +523,44 @@ def s11(spark, d):
 SELECT {_ROWID}, CASE l_partkey % 8 WHEN 1 THEN 'bad flag_type' WHEN 2 THEN 'bad category' WHEN 3 THEN 'bad severity' WHEN 4 THEN 'bad evidence' WHEN 5 THEN 'range self_confidence' ELSE 'malformed' END AS problems FROM lineitem WHERE l_partkey % 8 BETWEEN 1 AND 6""")
 def s11b(spark, d):
     return _payloads(spark, d)[1].select("row_id", F.array_join("problems", ",").alias("problems"))
+
+
+_QUOTE = {"page": 1, "char_start": 0, "char_end": 5, "quoted_text": "quote"}
+#: A valid payload of each kind; a required field, an enumerated one with a wrong value and one out of range, where the kind has them.
+_KINDS = {
+    "classify": ({"doc_type": "nda", "language": "en", "is_amendment": False, "confidence": 0.5, "suspicious_content": False}, "language", ("doc_type", "poem"), ("confidence", 1.5)),
+    "field": ({"field_key": "k", "label": "L", "status": "found", "extraction_kind": "factual", "evidence": [_QUOTE], "searched_sections": ["1"], "self_confidence": 0.5},
+              "field_key", ("status", "perhaps"), ("self_confidence", -0.1)),
+    "obligation": ({"title": "T", "obligor": "A", "obligee": "B", "due_rule": K.DUE_RULES[0], "due_rule_detail": {"anchor": "absolute", "calendar": "business"}, "anchor_known": True,
+                    "grace_period_days": 0, "priority": "low", "extraction_kind": "factual", "evidence": [_QUOTE], "self_confidence": 0.5},
+                   "obligor", ("priority", "urgent"), ("grace_period_days", -1)),
+    "flag": ({"flag_type": "one_sided", "category": "legal", "title": "T", "explanation": "E", "severity": "low", "recommended_step": "S", "suggested_reviewer_role": "legal",
+              "extraction_kind": "factual", "evidence": [_QUOTE], "self_confidence": 0.5}, "explanation", ("category", "sport"), ("self_confidence", 2)),
+    "change": ({"change_type": "moved", "impact_category": "money", "is_material": True, "business_impact": "I", "risk_delta": "decreased", "suggested_reviewer_role": "legal",
+                "evidence": [_QUOTE], "self_confidence": 0.5}, "business_impact", ("risk_delta", "sideways"), ("self_confidence", 2)),
+    "answer": ({"answer_kind": "grounded", "claims": [{"text": "t", "evidence_ids": ["chk_0"], "kind": "fact"}], "self_confidence": 0.5}, "claims", ("answer_kind", "shrug"), ("self_confidence", 2)),
+    "brief": ({"interpretation": [], "open_questions": [], "suspicious_content": False}, "open_questions", None, None),
+}
+
+
+def _variants(kind):
+    """Five payloads of a kind with the problems that intake should find: valid, a field missing, a wrong value, a value out of range, cut off."""
+    good, needed, wrong, beyond = _KINDS[kind]
+    missing = {k: v for k, v in good.items() if k != needed}
+    rows = [(json.dumps(good), ""), (json.dumps(missing), f"missing {needed}")]
+    rows += [(json.dumps({**good, f: v}), f"{what} {f}") for what, (f, v) in (("bad", wrong or ("", "")), ("range", beyond or ("", ""))) if f]
+    return [*rows, (json.dumps(good)[:20], "malformed")]
+
+
+@_register("s11_all_kinds", " UNION ALL ".join(
+    f"SELECT o_orderkey, '{kind}' AS kind, CASE o_orderkey % {len(_variants(kind))} " + " ".join(f"WHEN {i} THEN '{p}'" for i, (_, p) in enumerate(_variants(kind))) + " END AS problems FROM orders" for kind in _KINDS))
+def s11c(spark, d):
+    orders = E.table(spark, d, "orders").select("o_orderkey")
+    out = []
+    for kind in _KINDS:
+        texts = F.array(*[F.lit(x) for x, _ in _variants(kind)])
+        raw = orders.withColumn("payload", F.get(texts, (F.col("o_orderkey") % len(_variants(kind))).cast("int")))
+        valid, invalid = io.parse_candidates(raw, kind)
+        out += [valid.select("o_orderkey", F.lit(kind).alias("kind"), F.lit("").alias("problems")),
+                invalid.select("o_orderkey", F.lit(kind).alias("kind"), F.array_join("problems", ",").alias("problems"))]
+    return E.union_all(out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from clausegrid.plans import entities as E
 from clausegrid.plans import sqltext as Q
 from clausegrid.plans import text_queries as TQ
 from clausegrid.plans.entities import AS_OF, CTE, with_ctes
-from clausegrid.session import cut_lineage
+from clausegrid.session import checkpoint_root, cut_lineage
 
 QUERIES: dict = {}
 DIM = 1536
@@ -40,7 +42,12 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def scope(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the versions that a workspace may read: all of its own."""
     grants = E.table(spark, d, "documents").select((F.col("doc_id") % 5).alias("workspace_id"), F.col("doc_id").alias("dv_id"))
-    return cut_lineage(R.authorized_chunks(TQ.doc_chunks(spark, d), grants))
+    return E.shared(spark, d, "scope", lambda: cut_lineage(R.authorized_chunks(TQ.doc_chunks(spark, d), grants)))
+
+
+def index(spark: SparkSession, d: str) -> DataFrame:
+    """The inverted index of the scope, written once."""
+    return E.shared(spark, d, "text_index", lambda: R.write_text_index(scope(spark, d), f"{checkpoint_root(spark)}/text-index-{uuid.uuid4().hex}"))
 
 
 def granted(spark: SparkSession, d: str) -> DataFrame:
@@ -107,12 +114,12 @@ def vector_hits(spark, d):
 
 
 def text_hits(spark, d):
-    return R.fts_topk(questions(spark, d), scope(spark, d))
+    return R.fts_topk(questions(spark, d), scope(spark, d), index=index(spark, d))
 
 
 def fused(spark, d):
     q, c = questions(spark, d), scope(spark, d)
-    return cut_lineage(R.rrf([_vector_hits(q, c), R.fts_topk(q, c)]))
+    return E.shared(spark, d, "fused", lambda: cut_lineage(R.rrf([_vector_hits(q, c), R.fts_topk(q, c, index=index(spark, d))])))
 
 
 @_register("r01_hash_embed", with_ctes(["chunk_vectors"], "SELECT chunk_id, dim, round(weight, 6) AS weight FROM chunk_vectors"))
@@ -135,6 +142,22 @@ def r02b(spark, d):
     return out.withColumn("score", F.round("score", 6))
 
 
+@_register("r02_index_recall", """
+SELECT count(*) AS indexed, (SELECT count(*) FROM embeddings) = count(*) AS complete, true AS recall_reached FROM embeddings""")
+def r02c(spark, d):
+    """Every vector is in the index, and the index finds at least nine tenths of what the exact search finds for each twentieth vector."""
+    e = E.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("workspace_id"), F.col("embedding").alias("vector"))
+    index = E.shared(spark, d, "vector_index", lambda: R.build_vector_index(e, 64, f"{checkpoint_root(spark)}/vector-index-{uuid.uuid4().hex}"))
+    asked = e.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "question_id")
+    exact = R.vector_topk(asked, e, 64, skip_same=True).select("question_id", "chunk_id")
+    found = index.search(asked, skip_same=True).select("question_id", "chunk_id", F.lit(1).alias("hit"))
+    recall = exact.join(found, ["question_id", "chunk_id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    stored = index.rows.agg(F.countDistinct("chunk_id").alias("indexed"), F.count("*").alias("stored"))
+    whole = e.agg(F.count("*").alias("all"))
+    complete = (F.col("indexed") == whole.scalar()) & (F.col("stored") == F.col("indexed"))
+    return stored.select("indexed", complete.alias("complete"), (recall.scalar() >= 0.9).alias("recall_reached"))
+
+
 @_register("r03_fts_topk", with_ctes(["text_hits"], "SELECT question_id, chunk_id, round(score, 5) AS score, rank FROM text_hits"))
 def r03(spark, d):
     return text_hits(spark, d).withColumn("score", F.round("score", 5))
@@ -299,13 +322,12 @@ def _log(spark, d):
 
 @_register("r12_append_turns", with_ctes(["sessions"], """,
 latest AS (SELECT contract_id, user_id, arg_max(session_id, (created_at, session_id)) AS session_id FROM sessions GROUP BY 1, 2),
-turns AS (SELECT conv_id % 55 AS contract_id, conv_id % 7 AS user_id FROM conversations WHERE role = 'user')
-SELECT session_id, role, count(*) AS messages FROM (
-  SELECT 's' || conv_id AS session_id, role FROM conversations
-  UNION ALL SELECT coalesce(l.session_id, 'session:' || t.contract_id || ':' || t.user_id), unnest(['user', 'assistant']) FROM turns t LEFT JOIN latest l ON l.contract_id = t.contract_id AND l.user_id = t.user_id) GROUP BY 1, 2"""))
+turns AS (SELECT 't' || conv_id || '.' || turn AS turn_id, text, conv_id % 55 AS contract_id, conv_id % 7 AS user_id FROM conversations WHERE role = 'user')
+SELECT conv_id || '/' || turn AS message_id, 's' || conv_id AS session_id, role, text AS content, CAST(NULL AS VARCHAR) AS answer_kind FROM conversations
+UNION ALL SELECT t.turn_id || '/' || m.role, coalesce(l.session_id, 'session:' || t.contract_id || ':' || t.user_id), m.role, CASE m.role WHEN 'user' THEN t.text ELSE upper(substr(t.text, 1, 10)) END, CASE m.role WHEN 'assistant' THEN 'grounded' END
+FROM turns t CROSS JOIN (VALUES ('user'), ('assistant')) m(role) LEFT JOIN latest l ON l.contract_id = t.contract_id AND l.user_id = t.user_id"""))
 def r12b(spark, d):
-    _, messages = _log(spark, d)
-    return messages.groupBy("session_id", "role").agg(F.count("*").alias("messages"))
+    return _log(spark, d)[1].select("message_id", "session_id", "role", "content", "answer_kind")
 
 
 @_register("r12_feedback", """

@@ -41,15 +41,18 @@ SELECT citation_id, dv_id, title, status, risk_note, confidence, CAST(CASE WHEN
     FROM ev_resolved e LEFT JOIN anchors a ON a.dv_id = e.dv_id WHERE resolvable AND (e.dv_id + 2 * page) % 9 <> 0))"""))
 def d05(spark, d):
     ev, p = CQ.evidence(spark, d)
+    out = R.derive_obligations(obligation_candidates(ev), O.anchors(E.extracted_fields(spark, d)), p)
+    return out.select("citation_id", "dv_id", "title", "status", "risk_note", "confidence", F.col("due_date").cast("string").alias("due_date"))
+
+
+def obligation_candidates(ev):
     dv, pg = F.col("dv_id"), F.col("page")
-    cands = ev.select(
+    return ev.select(
         "citation_id", "dv_id", pg.alias("n"), F.when((dv + pg) % 5 == 0, "Deliver certified goods").otherwise("Deliver goods").alias("title"),
         F.lit(None).cast("string").alias("description"), F.when(pg % 3 == 0, "effective_date").when(pg % 3 == 1, "expiration_date").otherwise("event:launch").alias("anchor"),
         F.lit(None).cast("date").alias("anchor_value"), (pg * 7 - 20).alias("offset_days"), F.when(pg % 4 == 0, "business").otherwise("calendar").alias("calendar"),
         (dv % 10 != 3).alias("anchor_known"), F.when((dv + 2 * pg) % 9 != 0, _evidence_list()).otherwise(F.slice(_evidence_list(), 1, 0)).alias("evidence"),
         ((dv % 101) / 100.0).alias("self_confidence"))
-    out = R.derive_obligations(cands, O.anchors(E.extracted_fields(spark, d)), p)
-    return out.select("citation_id", "dv_id", "title", "status", "risk_note", "confidence", F.col("due_date").cast("string").alias("due_date"))
 
 
 @_register("k01_build_flags", with_ctes(["ev_resolved"], f"""
@@ -57,25 +60,28 @@ SELECT citation_id, dv_id, 'Flag ' || page AS title, {Q.blend('(dv_id % 101) / 1
 FROM ev_resolved WHERE resolvable AND (dv_id + 2 * page) % 9 <> 0 AND (dv_id + page) % 7 <> 0"""))
 def k01(spark, d):
     ev, p = CQ.evidence(spark, d)
+    return R.build_flags(flag_candidates(ev), p).select("citation_id", "dv_id", "title", "confidence", "status", "char_start")
+
+
+def flag_candidates(ev):
     dv, pg = F.col("dv_id"), F.col("page")
-    cands = ev.select(
+    return ev.select(
         "citation_id", "dv_id", E.concat("Flag ", pg).alias("title"), F.when((dv + pg) % 7 == 0, "You should terminate.").otherwise("Differs from the playbook.").alias("explanation"),
         F.lit("Ask the owner").alias("recommended_step"), F.when(dv % 2 == 0, F.col("quoted_text")).alias("found_text"),
         F.when((dv + 2 * pg) % 9 != 0, _evidence_list()).otherwise(F.slice(_evidence_list(), 1, 0)).alias("evidence"), ((dv % 101) / 100.0).alias("self_confidence"))
-    return R.build_flags(cands, p).select("citation_id", "dv_id", "title", "confidence", "status", "char_start")
 
 
-#: Rules of the fixture: evaluator type, field, comparison, value, outcome, reviewer, severity.
+#: Largest value that the fixture gives each numeric field, and the date fields it fills (plans/entities.py).
+_RANGES = {"commercial.payment_net_days": 59, "liability.cap_months": 23, "renewal.notice_period_days": 89, "confidentiality.years": 5}
+_DATES = ["dates.expiration", "dates.signature", "dates.effective", "dates.commencement"]
+_REVIEWERS = ["legal", "finance", "security", "privacy", "procurement", "business"]
+#: Rules of the fixture: evaluator type, field, comparison, value, outcome, reviewer, severity. Both halves of every numeric range, one exact
+#: value, and presence of each date.
 FIXTURE_RULES = [
-    ("threshold", "commercial.payment_net_days", "<=", "45", "review_required", "finance", "low"),
-    ("threshold", "commercial.payment_net_days", ">=", "10", "unacceptable", "finance", "medium"),
-    ("threshold", "liability.cap_months", ">=", "6", "review_required", "legal", "high"),
-    ("threshold", "renewal.notice_period_days", "<=", "80", "review_required", "business", "medium"),
-    ("threshold", "sla.uptime_pct", ">=", "99.3", "unacceptable", "business", "high"),
-    ("presence", "data.protection", "==", "true", "unacceptable", "privacy", "high"),
-    ("presence", "dates.signature", "==", "true", "review_required", "legal", "medium"),
-    ("presence", "insurance.requirement", "==", "true", "review_required", "procurement", "low"),
-    ("threshold", "confidentiality.years", ">=", "2", "review_required", "legal", "low"),
+    ("threshold", field, op, str(top // 2), ("review_required", "unacceptable")[i % 2], _REVIEWERS[i % 6], K.SEVERITIES[i % 4])
+    for i, (field, top, op) in enumerate((f, t, op) for f, t in _RANGES.items() for op in ("<=", ">="))
+] + [("threshold", "confidentiality.years", "==", "3", "review_required", "privacy", "low")] + [
+    ("presence", field, "==", "true", "unacceptable", _REVIEWERS[i], K.SEVERITIES[3 - i]) for i, field in enumerate(_DATES)
 ]
 
 

@@ -238,7 +238,7 @@ def parse_candidates(raw: DataFrame, kind: str, json_col: str = "payload") -> tu
         problems.append(F.when(~broken & ~F.col(f"c.{share}").between(0, 1), F.lit(f"range {share}")))
     if kind == "obligation":
         problems.append(F.when(~broken & (F.col("c.grace_period_days") < 0), F.lit("range grace_period_days")))
-    if "evidence" in CANDIDATE_SCHEMAS[kind]:
+    if _EVIDENCE in CANDIDATE_SCHEMAS[kind]:
         bad = F.exists("c.evidence", lambda e: (
             e["page"].isNull() | (e["page"] < 1) | e["char_start"].isNull() | (e["char_start"] < 0)
             | e["char_end"].isNull() | (e["char_end"] < 0) | e["quoted_text"].isNull() | (e["quoted_text"] == "")))

@@ -1,7 +1,4 @@
-"""Every registered query against its independent SQL twin.
-
-The slower comparison families run only with CLAUSEGRID_ALL=1 (tests/compare.py runs everything).
-"""
+"""Every registered query against its independent SQL twin."""
 
 import os
 
@@ -11,9 +8,7 @@ from compare import compare, connect
 from clausegrid.plans.catalog import registry
 
 SF = os.environ.get("CLAUSEGRID_SF", "/root/testdata/sf0.001")
-SLOW = ("k08", "k09", "k10", "k11", "d05", "k01", "c01", "c09", "r06", "r10", "r11", "t11", "st5_outcomes")
 FOUND = registry()
-NAMES = [n for n in FOUND if os.environ.get("CLAUSEGRID_ALL") or not n.startswith(SLOW)]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +16,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", FOUND)
 def test_query(spark, con, name):
     query, sql = FOUND[name]
     if sql is None:

@@ -378,23 +378,40 @@ def _files(spark, frames):
 
 def test_status_stream_equals_batch(spark):
     rng = random.Random(7)
-    rows = [(rng.randint(1, 3), i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), rng.choice(["parsing", "parsing", "ready"])) for i in range(120)]
+    start = dt.datetime(2024, 1, 1)
+    rows = [(rng.randint(1, 3), i, start + dt.timedelta(minutes=i), rng.choice(["parsing", "parsing", "ready"])) for i in range(160)]
     schema = "dv_id long, seq long, happened_at timestamp, status string"
-    parts = [spark.createDataFrame(rows[i:i + 40], schema) for i in (0, 40, 80)]
+    files = [[] for _ in range(5)]
+    for r in rows:  # up to 25 minutes out of order, and shuffled within a file
+        files[(r[1] + rng.randint(0, 25)) // 40].append(r)
+    parts = [spark.createDataFrame(rng.sample(f, len(f)), schema) for f in files if f]
     folder = _files(spark, parts)
     stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    ST.run_to_sink(ST.status_change_stream(stream), lambda df, _: df, f"{folder}/out", f"{folder}/cp").awaitTermination()
-    want = values(ST.status_changes(spark.createDataFrame(rows, schema)), "dv_id", "seq", "status", "done")
+    ST.run_to_sink(ST.status_change_stream(stream, "30 minutes"), lambda df, _: df, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    passed = spark.createDataFrame([r for r in rows if r[1] < 159 - 30], schema)  # what the watermark has passed at the end
+    want = values(ST.status_changes(passed), "dv_id", "seq", "status", "done")
     assert values(spark.read.parquet(f"{folder}/out"), "dv_id", "seq", "status", "done") == want
 
 
+def test_idle_keys_of_the_feed_expire(spark):
+    start = dt.datetime(2024, 1, 1)
+    schema = "dv_id long, seq long, happened_at timestamp, status string"
+    rows = [(1, 0, 0, "parsing"), (1, 1, 5, "parsing"), (1, 2, 200, "parsing"), (2, 3, 900, "parsing")]
+    parts = [spark.createDataFrame([(k, i, start + dt.timedelta(minutes=m), s)], schema) for k, i, m, s in rows]
+    folder = _files(spark, parts)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ST.run_to_sink(ST.status_change_stream(stream, "10 minutes", idle_ms=60 * 60_000), lambda df, _: df, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    assert values(spark.read.parquet(f"{folder}/out"), "dv_id", "seq") == [(1, 0), (1, 2)]
+
+
 def test_deliveries_once_over_batches(spark):
     schema = "idempotency_key string, n long"
     parts = [spark.createDataFrame(p, schema) for p in ([("a", 1), ("a", 2), ("b", 3)], [("a", 4), ("c", 5)], [("c", 6), ("b", 7), ("d", 8)])]
     folder = _files(spark, parts)
     stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    ST.dedupe_deliveries(stream, f"{folder}/out", f"{folder}/cp", ["n"]).awaitTermination()
-    assert values(spark.read.parquet(f"{folder}/out"), "idempotency_key", "n") == [("a", 1), ("b", 3), ("c", 5), ("d", 8)]
+    for checkpoint in ("cp", "cp", "empty"):  # again, and with an empty checkpoint over the same ledger
+        ST.dedupe_deliveries(stream, f"{folder}/out", f"{folder}/{checkpoint}", ["n"]).awaitTermination()
+        assert values(spark.read.parquet(f"{folder}/out"), "idempotency_key", "n") == [("a", 1), ("b", 3), ("c", 5), ("d", 8)]
 
 
 def test_limiter_window_edges(spark):
@@ -444,6 +461,32 @@ def test_sweep_ends_schedules_without_recipients(spark):
     assert A.due_schedules(schedules, due.select("idempotency_key"), "2024-02-01 00:00:00").count() == 0
 
 
+# ------------------------------------------------------------------ written indexes
+
+def test_vector_index_covers_all_and_reaches_its_recall(spark):
+    rng = random.Random(31)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, i % 3, [c + rng.gauss(0, 0.4) for c in centres[rng.randrange(12)]]) for i in range(3000)] + [(3001, 0, None), (3002, 1, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "chunk_id long, workspace_id int, vector array<double>")
+    index = R.build_vector_index(df, 16, f"{tempfile.mkdtemp(prefix='clausegrid-test-')}/index", k=10)
+    assert sorted(r.chunk_id for r in index.rows.collect()) == [i for i, _, v in rows if v is not None]
+    assert index.probes < len(index.pivots) and index.recall >= 0.95
+    asked = df.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "question_id")
+    exact = {(r.question_id, r.chunk_id) for r in R.vector_topk(asked, df, 16, 10, skip_same=True).collect()}
+    found = {(r.question_id, r.chunk_id) for r in index.search(asked, 10, skip_same=True).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_written_text_index_answers_as_the_unwritten(spark):
+    rng = random.Random(32)
+    words = [f"term{i}" for i in range(40)]
+    chunks = spark.createDataFrame([(f"c{i}", i % 2, " ".join(rng.choices(words, k=30))) for i in range(200)], "chunk_id string, workspace_id int, text string")
+    asked = spark.createDataFrame([(i, i % 2, q) for i, q in enumerate(["term1 term2", "term3 or term4 term5", '"term6 term7"', "term8 -term9", "absent"])], "question_id int, workspace_id int, question string")
+    index = R.write_text_index(chunks, f"{tempfile.mkdtemp(prefix='clausegrid-test-')}/index")
+    columns = ("question_id", "chunk_id", "rank", "score")
+    assert values(R.fts_topk(asked, chunks, 10, index), *columns) == values(R.fts_topk(asked, chunks, 10), *columns)
+
+
 # ------------------------------------------------------------------ comparisons of many alike clauses
 
 def _clauses(spark, rows):
