@@ -7,8 +7,8 @@ bound (unread entries at the value last read). Reading stops when at most a frac
 lower bound; only for these the final scores are resolved. Bounds are exact integers, and ties stay in play to the end.
 A tile's k best go on; a window keeps the k best of all tiles.
 
-Cases: vectors that are null or hold a null or non-finite component take no part; of rows that repeat an id the smallest
-vector counts; missing components count as 0; with fewer than k candidates all are returned; ties go to the smaller id; an
+Cases: vectors that are null or hold a null or non-finite component take no part; rows that repeat an id
+are all candidates (no query's own id), of queries that repeat one the smallest vector asks; missing components count as 0; with fewer than k candidates all are returned; ties go to the smaller id; an
 empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
-def _matrix(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and their rows, zero-filled; of equal ids the smallest vector."""
+def _matrix(t: pa.Table, width: int, once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids ascending and their rows, zero-filled; of equal ids the smallest vector only if `once`."""
     ids, rows = t.column("vec_id").to_numpy(), t.column("v").combine_chunks()
     out = np.zeros((len(ids), width), np.int64)
     offsets, flat = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
@@ -43,6 +43,8 @@ def _matrix(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
         out[at[:, None], np.arange(n)] = flat[offsets[at][:, None] + np.arange(n)]
     order = np.lexsort([*out.T[::-1], ids]) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
     ids, out = ids[order], out[order]
+    if not once:
+        return ids, out
     first = np.r_[True, ids[1:] != ids[:-1]] if len(ids) else np.zeros(0, bool)
     return ids[first], out[first]
 
@@ -63,8 +65,6 @@ def tile_topk(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray,
     rank = np.empty((n, width), np.int64)
     np.put_along_axis(rank, np.argsort(c, axis=0, kind="stable"), np.arange(n)[:, None], axis=0)
     plus, minus = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
-    own = np.searchsorted(cids, qids)
-    own = np.where((own < n) & (cids[np.minimum(own, n - 1)] == qids), own, -1)
     waiting, alive = np.arange(len(qids)), None
     for step in (*_STEPS, 1.0):
         depth = min(n, max(k + 1, int(n * step)))
@@ -73,15 +73,14 @@ def tile_topk(qids: np.ndarray, q: np.ndarray, cids: np.ndarray, c: np.ndarray,
         seen = p @ np.where(high, x, 0).T + m @ np.where(low, x, 0).T
         upper = seen + (p * up[n - depth]) @ ~high.T + (m * up[depth - 1]) @ ~low.T
         lower = seen + (p * up[0]) @ ~high.T + (m * up[n - 1]) @ ~low.T
-        mine = own[waiting]
-        has = np.flatnonzero(mine >= 0)
-        lower[has, mine[has]] = upper[has, mine[has]] = -np.inf
+        mine = cids[None, :] == qids[waiting][:, None]
+        lower[mine] = upper[mine] = -np.inf
         kth = np.partition(lower, n - min(k, n), axis=1)[:, n - min(k, n)]
         open_ = upper >= kth[:, None]
         stop = (open_.sum(axis=1) <= max(4 * k, n // 16)) | (depth == n)
         for r in np.flatnonzero(stop):
             alive = np.flatnonzero(open_[r])
-            alive = alive[alive != mine[r]]
+            alive = alive[~mine[r][alive]]
             score = c[alive] @ q[waiting[r]]
             best = np.lexsort([cids[alive], -score])[:k]
             out += [(int(qids[waiting[r]]), int(cids[alive[j]]), int(score[j])) for j in best]
@@ -98,7 +97,7 @@ def _tile(k: int):
         rows: list = []
         if candidates.num_rows and queries.num_rows:
             width = max(1, *(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max()) for t in (candidates, queries)))
-            (cids, c), (qids, q) = _matrix(candidates, width), _matrix(queries, width)
+            (cids, c), (qids, q) = _matrix(candidates, width, False), _matrix(queries, width, True)
             rows = tile_topk(qids, q, cids, c, k)
         cols = list(zip(*rows)) or [()] * 3
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in cols], schema=schema)
