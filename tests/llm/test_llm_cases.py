@@ -194,7 +194,11 @@ def test_topk_brute_force(frame):
 def test_topk_few_candidates_and_large_values(frame):
     rows = [(0, [1e9, -2e9]), (1, [3e9, 1e9]), (2, [-1e9, 0.0])]
     got = {(r.query_id, r.rank, r.vec_id, r.score) for r in op4.topk(frame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
-    assert got == {(0, 1, 1, 65536 * 10**18), (0, 2, 2, -65536 * 10**18)} or {g[2] for g in got} == {1, 2}
+    exact = {1: 65536 * (3 * 10**18 - 2 * 10**18), 2: -65536 * 10**18}  # beyond 64 bits, so at its ends
+    assert got == {(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))} and all(abs(x) > 2**63 for x in exact.values())
+    again = [(50, [1.0, 0.0]), (1, [1.0, 2.0]), (1, [5.0, 5.0]), (2, [3.0, 0.0]), (50, [9.0, 9.0])]
+    rows = op4.topk(frame([r + (1, 2) for r in again], "vec_id long, embedding array<double>, rank int, score int"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 1, 5 * 65536), (2, 2, 3 * 65536), (3, 1, 65536)]
     assert op4.topk(frame([], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).count() == 0
 
 
@@ -327,6 +331,41 @@ def test_every_varying_slot_stays():
     assert op6.extract(html) == "Related work At sea T B"
 
 
+def test_any_depth(frame):
+    deep = "<div>" * 5000 + "<p>deep down</p>"
+    pages = [(k, f"http://deep.example/{k}", deep + f"<p>page {k}</p>") for k in range(6)] + [(9, "http://deep.example/9", "<b>" * 40_000 + "bold")]
+    got = {r.page_id: r.text for r in op6.extract_pages(frame([p + (1, "z") for p in pages], "page_id long, url string, html string, host int, template string")).collect()}
+    assert all(got[k].endswith(f"page {k}") for k in range(6)) and got[9] == "bold"
+    a = op6.shape([op6.parse("<ul><li>a<li>b</ul><p>c <i>d</i></p>")])
+    assert op6.Shape.load(a.dump()).dump() == a.dump() and a.count() == 5
+
+
+def test_near_copies_are_one_page_of_evidence(frame):
+    story = "".join(f"<p>{' '.join(f'w{k}x{j}' for j in range(40))}</p>" for k in range(12))
+    site = '<div class="a">About our small site</div>'
+    pages = [(k, f"http://copies.example/{k}", f"<body>{site}<h1>Title {k}</h1>{story}<p>only {k}</p></body>") for k in (1, 2)]
+    pages += [(k, f"http://copies.example/{k}", f"<body>{site}<h1>Other {k}</h1><p>{' '.join(f'v{k}y{j}' for j in range(300))}</p></body>") for k in range(3, 12)]
+    got = {r.page_id: r.text for r in op6.extract_pages(frame(pages, "page_id long, url string, html string")).collect()}
+    for k in (1, 2):
+        assert got[k].startswith(f"Title {k} w0x0") and got[k].endswith(f"w11x39 only {k}")
+    assert got[5].startswith("Other 5 v5y0")
+
+
+def test_template_decides_without_telling_names(frame):
+    """The same pages, their names told and untold: what is constant goes either way."""
+    def page(k, names):
+        a, b, c = names
+        return (f'<body><div class="{a}"><a>Home</a><a>News</a></div><div class="{b}"><h1>Story {k}</h1><p>{" ".join(f"t{k}w{j}" for j in range(50))}</p></div>'
+                f'<div class="{c}">All rights of this site</div></body>')
+
+    told = [(k, f"http://told.example/{k}", page(k, ("menu", "story", "footer"))) for k in range(20)]
+    untold = [(100 + k, f"http://untold.example/{k}", page(k, ("u1", "u2", "u3"))) for k in range(20)]
+    alone = [(999, "http://alone.example/", page(0, ("u1", "u2", "u3")))]
+    got = {r.page_id: r.text for r in op6.extract_pages(frame(told + untold + alone, "page_id long, url string, html string")).collect()}
+    assert all(got[100 + k] == got[k] for k in range(20)) and got[3].startswith("Story 3 t3w0")
+    assert got[999] != got[0] and "Home" in got[999]
+
+
 # op7
 
 
