@@ -45,6 +45,25 @@ def release(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of whole texts that go to a Python worker at once.
+TEXT_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after lowering the session's Arrow batches to TEXT_ROWS rows: batches of whole texts are held several times at once, on both
+    sides of a Python worker, and workers and executors keep the memory. Results don't depend on it."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH_CONF, str(TEXT_ROWS))
+    return df
+
+
+def release_memory() -> None:
+    """Give back what Arrow keeps for later: the worker goes on to other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the offsets of its texts in them, from 0."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
