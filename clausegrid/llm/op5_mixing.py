@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from clausegrid.llm.common import WORD, keep, positions
 
 REPEATS = 3
+BROADCAST_IDS = 2_000_000
 
 
 def sizes(docs: DataFrame, key: str | None = None) -> DataFrame:
@@ -118,7 +119,9 @@ def choose(docs: DataFrame, repeats: int = REPEATS) -> DataFrame:
     numbered = keep(docs.withColumn(key, F.monotonically_increasing_id()), "mix-docs")
     copies = F.col("whole") + (2 * F.col("part") > F.col("size")).cast("int")
     picks = mix(numbered, repeats, key).select(F.col("key").alias(key), copies.alias(key + "copies")).where(F.col(key + "copies") > 0)
-    out = numbered.join(picks, key).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(key + "copies"))).alias(key))
+    picks = keep(picks, "mix-picks")
+    few = picks.count() <= BROADCAST_IDS  # two numbers a row; beyond that the rows meet in a shuffle
+    out = numbered.join(F.broadcast(picks) if few else picks, key).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(key + "copies"))).alias(key))
     return out.drop(key)
 
 
