@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.llm.common import keep, release
+from clausegrid.llm.common import keep, release, release_memory, small_batches
 
 SAMPLES, ROWS, BITS, SEED = 128, 4, 1024, 7
 BANDS = SAMPLES // ROWS
 SLACK = 0.2
 BROADCAST_IDS = 2_000_000
+#: Bytes of sets that a task hands on at once.
+HANDED_BYTES = 4_000_000
 #: Bands that the rounds of hubs look at.
 FIRST_BANDS = (2, 8, BANDS)
 #: Partners of a document in each round of hubs over prefix shingles; the exact prefix join after them looks at all that are still apart.
@@ -101,12 +103,13 @@ def _sketch(words: int):
                     else:
                         rows.append((doc_id, 0, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        release_memory()
 
     return run
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return keep(rows.mapInArrow(_sketch(words), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"), "sketches")
 
 
@@ -132,11 +135,15 @@ def components(links: DataFrame) -> DataFrame:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                sets = [shingle_set(t.as_py() or "", words).tobytes() for t in b.column(1)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+        for b in batches:
+            first, held, sets = 0, 0, []
+            for k, t in enumerate(b.column(1)):
+                sets.append(shingle_set(t.as_py() or "", words).tobytes())
+                held += len(sets[-1])
+                if held >= HANDED_BYTES or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(sets)), pa.array(sets, pa.binary())], names=["id", "set"])
+                    first, held, sets = k + 1, 0, []
+        release_memory()
 
     return run
 
@@ -287,7 +294,7 @@ def prefix_pairs(rows: DataFrame, root: DataFrame, percent: int) -> DataFrame:
 
 def _kept_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     texts = _fewer(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    sets = texts.mapInArrow(_sets(words), "id long, set binary")
+    sets = small_batches(texts).mapInArrow(_sets(words), "id long, set binary")
     return keep(sets, "sets")
 
 

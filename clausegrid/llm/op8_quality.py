@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausegrid.llm.common import keep
+from clausegrid.llm.common import keep, release_memory, small_batches
 
 ORDER, WIDTH, CLASSES = 4, 15, (1 << 15) - 2
-BLOCK_CHARS, BLOCK_DOCS = 12_000_000, 65_536
+BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 32_768
+#: n-grams held before they are folded into distinct ones, and distinct ones before they are handed on
+FOLD, HELD = 500_000, 1_500_000
 TRUSTED_QUANTILE, UNTRUSTED_QUANTILE, MARGIN, LEAST = 0.999, 0.1, 0.5, 30
 BROADCAST_IDS = 2_000_000
 _BOS = (1 << WIDTH) - 1
@@ -63,7 +65,7 @@ class _Counter:
     def add(self, keys: np.ndarray) -> None:
         self.new.append(keys)
         self.size += len(keys)
-        if self.size >= 2_000_000:
+        if self.size >= FOLD:
             self.fold()
 
     def fold(self) -> None:
@@ -80,17 +82,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0):
             if text := t.as_py():
                 seen.add(grams(text))
-        if len(seen.keys) > 4_000_000:
+        if len(seen.keys) > HELD:
             seen.fold()
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys), pa.array(seen.counts)], names=["key", "n"])
             seen = _Counter()
     seen.fold()
     yield pa.RecordBatch.from_arrays([pa.array(seen.keys), pa.array(seen.counts)], names=["key", "n"])
+    release_memory()
 
 
 def train(texts: DataFrame) -> DataFrame:
     """The model over the column `text`: key, logp (null where only a context), log_gamma (null where never a context)."""
-    counts = keep(texts.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    counts = keep(small_batches(texts.select("text")).mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         orders[k] = keep(orders[k + 1].groupBy(F.col("key").bitwiseAND((1 << WIDTH * k) - 1).alias("key"))
@@ -155,13 +158,14 @@ def _blocks(want: str):
                 docs.append((doc_id, lang, text.encode()))
                 new.append(grams(text))
                 size, waiting = size + len(text), waiting + len(text)
-                if waiting >= 2_000_000:
+                if waiting >= FOLD:
                     seen, new, waiting = np.union1d(seen, np.concatenate(new)), [], 0
                 if size >= BLOCK_CHARS or len(docs) >= BLOCK_DOCS:
                     yield out(block, docs, needed(np.union1d(seen, np.concatenate([*new, np.zeros(0, np.int64)]))[1:]))
                     block, docs, size, seen, new, waiting = block + 1, [], 0, np.zeros(1, np.int64), [], 0
         if docs:
             yield out(block, docs, needed(np.union1d(seen, np.concatenate([*new, np.zeros(0, np.int64)]))[1:]))
+        release_memory()
 
     return run
 
@@ -203,7 +207,7 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """doc_id, lang, n_chars, logp (null for empty texts) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"))
     asked = rows.mapInArrow(_blocks("keys"), "block long, key long").join(model, "key", "left")
     texts = rows.mapInArrow(_blocks("texts"), "block long, payload binary, ids array<long>, langs array<string>, sizes array<long>, n_keys long")
     return texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_score, "doc_id long, lang string, n_chars long, logp double")
