@@ -263,9 +263,6 @@ def k09b(spark, d):
     return C.changed_pairs(aligned(spark, d)[0])[1]
 
 
-_PAIR_NO = F.split("pair_id", ">").getItem(0).cast("long")
-
-
 def changes(spark, d):
     """Change rows and totals: labels that a model would give are made from the contract and the rank; every fifth one quotes the new text itself."""
     pairs, p = aligned(spark, d)
@@ -273,7 +270,7 @@ def changes(spark, d):
     listed, totals = C.changed_pairs(pairs)
     r = F.col("rank")
     labels = listed.select("pair_id", "rank", F.lit("modified").alias("change_type"), F.when(r % 2 == 0, "money").otherwise("cosmetic").alias("impact_category"),
-                           (r % 2 == 0).alias("is_material"), F.when((_PAIR_NO + r) % 7 == 0, "This violates the plan.").otherwise("The amount changed.").alias("business_impact"),
+                           (r % 2 == 0).alias("is_material"), F.when((F.split("pair_id", ">").getItem(0).cast("long") + r) % 7 == 0, "This violates the plan.").otherwise("The amount changed.").alias("business_impact"),
                            F.lit(None).cast("string").alias("before_text"), F.when(r % 5 == 0, F.substring("t_text", 1, 200)).alias("after_text"),
                            F.when(r % 3 == 0, "increased").otherwise("unchanged").alias("risk_delta"),
                            F.when(r % 4 == 0, "finance").otherwise("legal").alias("suggested_reviewer_role"), (F.lit(0.5) + (r % 5) / 10).alias("self_confidence"))
