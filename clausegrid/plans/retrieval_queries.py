@@ -316,7 +316,7 @@ def _log(spark, d):
     turns = conv.filter("role = 'user'").select(
         E.concat("t", F.col("conv_id"), ".", F.col("turn")).alias("turn_id"), (F.col("conv_id") % 55).alias("contract_id"), (F.col("conv_id") % 7).alias("user_id"),
         E.ts("2000-02-01 00:00:00", F.col("conv_id") * 60 + F.col("turn")).alias("asked_at"), F.col("text").alias("question"),
-        F.upper(F.substring("text", 1, 10)).alias("answer"), F.lit("grounded").alias("answer_kind"))
+        T.upper_each(F.substring("text", 1, 10)).alias("answer"), F.lit("grounded").alias("answer_kind"))
     return R.append_turns(_sessions(spark, d), messages, turns)
 
 
