@@ -30,6 +30,8 @@ def _slice(text: Column, start: Column, size: Column) -> Column:
 
 _WS = frozenset(re.sub(r"\\x\{([0-9a-f]+)\}|\\([tnfr])", lambda m: chr(int(m[1], 16)) if m[1] else {"t": "\t", "n": "\n", "f": "\f", "r": "\r"}[m[2]],
                        K.WS.replace(r"\x{2000}-\x{200a}", "".join(map(chr, range(0x2000, 0x200B))))))
+_WHITE = np.zeros(0x10000, bool)
+_WHITE[[ord(c) for c in _WS]] = True
 _UNIFY = str.maketrans(K.COMPARE_FROM, K.COMPARE_TO)
 _LOOSE = str.maketrans(K.LOOSE_FROM, K.LOOSE_TO)
 
@@ -42,12 +44,13 @@ def _lower(text: str) -> str:
 
 def _collapsed(text: str) -> tuple[str, np.ndarray, np.ndarray]:
     """The text with white space runs as one space, the place of each of its characters in `text`, and which characters of `text` are white."""
-    white = np.fromiter((c in _WS for c in text), bool, len(text))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    white = _WHITE[np.minimum(codes, 0xFFFF)]
     kept = ~white
     kept[1:] |= ~white[:-1]
     kept[:1] = True
     at = np.flatnonzero(kept)
-    return "".join([" " if white[i] else text[i] for i in at]), at, white
+    return np.where(white, np.uint32(32), codes)[at].tobytes().decode("utf-32-le", "surrogatepass"), at, white
 
 
 def loose_hit(page: str, quote: str, hint: int | None) -> tuple[int, int] | None:
@@ -63,10 +66,14 @@ def loose_hit(page: str, quote: str, hint: int | None) -> tuple[int, int] | None
     return best and best[1:]
 
 
+#: Counts of a quote's bigrams that are held at once.
+_COUNTED = 2_000_000
+
+
 def fuzzy_hit(page: str, quote: str, length: int) -> tuple[int, int, float] | None:
     """The best window of the whole page: starts on a grid, three sizes around the quote's `length`.
 
-    Only bigrams of the quote count: their places in the page are posting lists, and a window's share of each list is found by its two ends."""
+    Only bigrams of the quote count: their places in the page are counted from the left, and a window's share is the difference at its two ends."""
     n, span = len(page), max(length, 40)
     step = max(20, span // 4)
     starts = np.arange(0, n - span + 1, step)
@@ -87,17 +94,22 @@ def fuzzy_hit(page: str, quote: str, length: int) -> tuple[int, int, float] | No
     last = np.searchsorted(solid, end) - 1
     low, high = place[solid[first]], np.where(last >= first, place[solid[np.maximum(last, 0)]] + 1, place[solid[first]])
     code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    grams = code[:-1] << 21 | code[1:]
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
     q = np.frombuffer(quote.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wanted, often = np.unique(q[:-1] << 21 | q[1:], return_counts=True)
+    grams = code[:-1] << 21 | code[1:]
+    which = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
+    spots = np.flatnonzero(wanted[which] == grams)
+    which = which[spots]
     shared = np.zeros(len(low), np.int64)
-    for gram, count in zip(*np.unique(q[:-1] << 21 | q[1:], return_counts=True)):
-        lo, hi = np.searchsorted(ranked, [gram, gram + 1])
-        if hi > lo:
-            posting = order[lo:hi]
-            held = np.searchsorted(posting, high - 1) - np.searchsorted(posting, low)
-            shared += np.minimum(np.maximum(held, 0), count)
+    # a window's places among the spots, then how many of them hold each gram, some grams at a time
+    first, last = np.searchsorted(spots, low), np.maximum(np.searchsorted(spots, high - 1), np.searchsorted(spots, low))
+    some = max(1, _COUNTED // (len(spots) + len(low) + 1))
+    for g in range(0, len(wanted), some):
+        held = np.zeros((min(some, len(wanted) - g), len(spots) + 1), np.int32)
+        here = np.flatnonzero((which >= g) & (which < g + some))
+        held[which[here] - g, here + 1] = 1
+        np.cumsum(held, axis=1, out=held)
+        shared += np.minimum(held[:, last] - held[:, first], often[g:g + some, None]).sum(axis=0)
     size = high - low
     score = np.where(size < 2, 0.0, 2.0 * shared / np.maximum(size + len(quote) - 2, 1))
     best = int(np.argmax(score))  # the first of equals: earliest start, then the first size
@@ -133,7 +145,8 @@ def find_slice(page: Column | str, quote: Column | str, hint: Column | str | Non
     form, exact = T.normalize_for_compare(quote), F.instr(page, quote)
     rest = _inexact_udf()(F.when(wanted & (exact == 0), page), quote, form, hint)
     hit = F.when(wanted & (exact > 0) & (form != ""), _span(exact - 1, exact - 1 + F.length(quote), F.lit(1.0)))
-    return F.coalesce(hit, F.when(rest["start"].isNotNull(), _span(rest["start"], rest["end"], rest["score"])))
+    # one call for all three values: a search that is named again is made again
+    return F.coalesce(hit, S.let(rest, lambda r: F.when(r["start"].isNotNull(), _span(r["start"], r["end"], r["score"]))))
 
 
 def resolve_citations(evidence: DataFrame, pages: DataFrame, threshold: float = K.CITATION_THRESHOLD,
