@@ -758,3 +758,19 @@ def test_rules_without_an_index(frame):
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in op13.find(docs, op13.BASE[2:]).collect()}
     assert got == {1: [("hex", 0, 40)], 2: [], 3: []}
     assert {r.doc_id for r in op13.find(docs, [op13.Rule("umlaut", "ÄÖ")]).collect() if r.spans} == {2}
+
+
+def test_long_rows_of_children_are_matched_as_short_ones(monkeypatch):
+    rng = random.Random(12)
+
+    def tree(depth):
+        return "".join(f"<{(k := rng.choice(['p', 'h2', 'ul', 'b']))}>{rng.choice('xyz')}{tree(depth - 1) if depth else ''}</{k}>" for _ in range(rng.randint(0, 7)))
+
+    for _ in range(40):
+        a, b = (op6.shape([op6.parse(f"<div>{tree(2)}</div>")]) for _ in range(2))
+        short = op6._align(a, b, {})
+        with monkeypatch.context() as m:
+            m.setattr(op6, "CELLS", 0)
+            assert op6._align(a, b, {}) == short
+    a, b = (op6.shape([op6.parse("<div>" + rows + "</div>")]) for rows in ("<b>0</b>" + "<p>1</p><h2>2</h2>" * 300, "<p>1</p><h2>2</h2>" * 300 + "<b>0</b>"))
+    assert op6.match(a, b, {})[0] == 602  # the root, the div and all but the one that moved
