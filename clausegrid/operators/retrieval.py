@@ -23,13 +23,50 @@ BM25_K1, BM25_B = 1.2, 0.75
 
 # ------------------------------------------------------------------ embeddings
 
+_VECTOR = "array<struct<dim:int,weight:double>>"
+_WORD_BYTE = np.array([chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" for b in range(256)])
+
+
+def _hashed_tokens(lowered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 32-bit FNV-1a hash of every token of some lower-cased texts; the tokens' bytes are hashed side by side."""
+    texts = [(x or "").encode("utf-8", "surrogatepass") for x in lowered.to_pylist()]
+    codes = np.frombuffer(b" ".join(texts), np.uint8)
+    word = np.concatenate([[False], _WORD_BYTE[codes], [False]])
+    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    rows = np.searchsorted(np.cumsum([len(x) + 1 for x in texts]), starts, "right")
+    order = np.argsort(starts - ends, kind="stable")  # the longest first, so that those still read stand in front
+    starts, length = starts[order], (ends - starts)[order]
+    hashes = np.full(len(starts), 2166136261, np.uint32)
+    at, live = 0, len(starts)
+    while live := int(np.searchsorted(-length[:live], -at, "left")):
+        hashes[:live] = (hashes[:live] ^ codes[starts[:live] + at]) * np.uint32(16777619)
+        at += 1
+    return rows[order], hashes
+
+
+def _embedder(dim: int) -> Callable[[pa.Array], pa.Array]:
+    def embed(lowered: pa.Array) -> pa.Array:
+        rows, hashes = _hashed_tokens(lowered)
+        dims = np.abs(hashes.view(np.int32).astype(np.int64)) % dim
+        keys, n = np.unique(rows.astype(np.int64) * dim + dims, return_counts=True)
+        row = keys // dim
+        norm = np.sqrt(np.bincount(row, n.astype(np.float64) ** 2, len(lowered)))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(lowered)))]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array((keys % dim).astype(np.int32)), pa.array(n / norm[row])], names=["dim", "weight"])
+        empty = np.append(ends[1:] == ends[:-1], False)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=empty), pairs)
+
+    return embed
+
+
+def vector_of(text: Column | str, dim: int = 1536) -> Column:
+    """Sparse unit vector of a text from hashed token counts, as array<struct<dim, weight>> by dimension; null without tokens."""
+    return F.arrow_udf(_embedder(dim), _VECTOR)(F.lower(T.col(text)))
+
+
 def hash_embed(df: DataFrame, key: str = "chunk_id", text: str = "text", dim: int = 1536) -> DataFrame:
-    """Sparse unit vectors (key, dim, weight) from hashed token counts."""
-    tok = df.select(key, F.explode(T.tokens(text)).alias("tok"))
-    counts = tok.groupBy(key, T.hash_dimension(F.col("tok"), dim).alias("dim")).agg(F.count("*").alias("n"))
-    # at most `dim` rows per key from here on
-    norm = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counts.join(norm, key).select(key, "dim", (F.col("n") / F.col("norm")).alias("weight"))
+    """Sparse unit vectors (key, dim, weight) from hashed token counts, made within each text's row."""
+    return df.select(key, F.explode(vector_of(text, dim)).alias("x")).select(key, "x.dim", "x.weight")
 
 
 def pack(sparse: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -37,8 +74,10 @@ def pack(sparse: DataFrame, key: str = "chunk_id") -> DataFrame:
     return sparse.groupBy(key).agg(F.collect_list(F.struct("dim", "weight")).alias("vector"))
 
 
-def reembed(chunks: DataFrame, dim: int, embed: Callable[..., DataFrame] = hash_embed) -> DataFrame:
-    """Vectors of every chunk's text; chunks without tokens get none."""
+def reembed(chunks: DataFrame, dim: int, embed: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """Vectors of every chunk's text, by hashed token counts or by `embed`; chunks without tokens get none."""
+    if embed is None:
+        return chunks.withColumn("vector", vector_of("text", dim))
     return chunks.join(pack(embed(chunks, dim=dim)), "chunk_id", "left")
 
 

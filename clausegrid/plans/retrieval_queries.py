@@ -104,8 +104,8 @@ SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PAR
 
 
 def _vector_hits(q, c):
-    qv = R.pack(R.hash_embed(q, "question_id", "question", DIM), "question_id").join(q.select("question_id", "workspace_id"), "question_id")
-    cv = R.pack(R.hash_embed(c, "chunk_id", "text", DIM)).join(c.select("chunk_id", "workspace_id"), "chunk_id")
+    qv = q.select("question_id", "workspace_id", R.vector_of("question", DIM).alias("vector"))
+    cv = c.select("chunk_id", "workspace_id", R.vector_of("text", DIM).alias("vector"))
     return R.vector_topk(qv, cv, DIM)
 
 
