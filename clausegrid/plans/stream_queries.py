@@ -213,7 +213,7 @@ def _stream_documents(spark, d):
         return E.number_sections(batch).withColumns({
             "text": F.when(k % 100 != 42, F.col("text")), "lang": F.when(k % 100 != 44, F.col("lang"))})
 
-    anchors = O.anchors(E.extracted_fields(spark, d))
+    anchors = O.anchors(E.extracted_fields(spark, d, keys=K.ANCHOR_FIELDS.values()))
     S.document_stream(S.table_stream(spark, d, "documents.parquet"), prepare, E.cut_pages, _draft, anchors, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return f"{root}/out"
 
