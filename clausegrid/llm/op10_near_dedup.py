@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausegrid.llm.common import keep, release, release_memory, small_batches
+from clausegrid.llm.common import keep, parallelism, release, release_memory, small_batches
 
 SAMPLES, ROWS, BITS, SEED = 128, 4, 1024, 7
 BANDS = SAMPLES // ROWS
@@ -37,6 +37,8 @@ SLACK = 0.2
 BROADCAST_IDS = 2_000_000
 #: Bytes of sets that a task hands on at once.
 HANDED_BYTES = 4_000_000
+#: Shuffle partitions that one task writes, where a table of a round is kept.
+TOGETHER = 16
 #: Bands that the rounds of hubs look at.
 FIRST_BANDS = (2, 8, BANDS)
 #: Partners of a document in each round of hubs over prefix shingles; the exact prefix join after them looks at all that are still apart.
@@ -88,6 +90,13 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _keep_few(df: DataFrame, label: str) -> DataFrame:
+    """`keep` by fewer tasks: the rounds keep dozens of tables that are small for their partitions, and each file that is written costs the executors
+    processes of their own (a local file system sets permissions by one) and the driver a listing. Two tasks a core stay, or one for `TOGETHER`
+    shuffle partitions if that is more."""
+    return keep(df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-parallelism(df.sparkSession) // TOGETHER))), label)
+
+
 def _sketch(words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
@@ -123,7 +132,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = _keep_few(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
         if table is not None:
             release(table)
         table = edges
@@ -180,11 +189,11 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = sketches(docs, words)
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = keep(classes, "classes")
+    classes = _keep_few(classes, "classes")
     posted = classes.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     crowded = posted.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = keep(posted.join(crowded, "bucket"), "members")
-    ids = keep(members.select(F.col("id").alias("doc_id")).distinct(), "met")
+    members = _keep_few(posted.join(crowded, "bucket"), "members")
+    ids = _keep_few(members.select(F.col("id").alias("doc_id")).distinct(), "met")
     root = ids.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("root"))
     for bands in FIRST_BANDS:
         active = _open(members.where(F.col("band") < bands), root)
@@ -194,21 +203,21 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         hubs = hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.n").alias("hub_n"))
         near_in_size = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
         pairs = active.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & near_in_size)
-        pairs = keep(_sketched(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), classes, percent), "pairs")
-        chosen = keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "confirm")
+        pairs = _keep_few(_sketched(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), classes, percent), "pairs")
+        chosen = _keep_few(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "confirm")
         root = _joined(root, _confirmed(pairs, _kept_sets(docs, chosen, words), percent))
         release(active)
         release(pairs)
     active = _open(members, root)
-    chosen = keep(active.select(F.col("id").alias("doc_id")).distinct(), "confirm")
+    chosen = _keep_few(active.select(F.col("id").alias("doc_id")).distinct(), "confirm")
     if not chosen.isEmpty():
         sets = _kept_sets(docs, chosen, words)
         early = prefixes(sets, percent)
         for seed, partners in enumerate(PARTNERS):
-            pairs = keep(_sketched(hub_pairs(early, root, percent, partners, seed), classes, percent), "pairs")
+            pairs = _keep_few(_sketched(hub_pairs(early, root, percent, partners, seed), classes, percent), "pairs")
             root = _joined(root, _confirmed(pairs, sets, percent))
             release(pairs)
-        pairs = keep(_sketched(prefix_pairs(early, root, percent), classes, percent), "pairs")
+        pairs = _keep_few(_sketched(prefix_pairs(early, root, percent), classes, percent), "pairs")
         root = _joined(root, _confirmed(pairs, sets, percent))
     named = classes.select("set_id", "id").join(root, "id", "left").select("set_id", F.coalesce("root", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
@@ -220,7 +229,7 @@ def _open(members: DataFrame, root: DataFrame) -> DataFrame:
     """Members, with their component, of the buckets that hold more than one."""
     rows = members.join(root, "id")
     split = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    return keep(rows.join(split, "bucket"), "active")
+    return _keep_few(rows.join(split, "bucket"), "active")
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -232,7 +241,7 @@ def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return keep(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    return _keep_few(both.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
 def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
@@ -241,7 +250,7 @@ def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
         return root
     lifted = links.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     merged = components(lifted).toDF("root", "top")
-    return keep(root.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
+    return _keep_few(root.join(merged, "root", "left").select("id", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +271,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("id")  # the shingles of one document
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1  # those of no other come first
     rows = rows.withColumn("place", place).where(F.col("place") * 100 <= F.col("n") * (100 - percent))
-    return keep(rows.select("token", "id", "n", "place"), "prefixes")
+    return _keep_few(rows.select("token", "id", "n", "place"), "prefixes")
 
 
 def _reachable(percent: int):
@@ -300,9 +309,9 @@ def _kept_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay: one of each group, rows that repeat an id once; all columns of `docs`."""
-    found = keep(link(docs, words, percent), "near")
-    gone = keep(found.where("NOT kept").select("doc_id").distinct(), "gone")
-    twice = keep(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twice")
+    found = _keep_few(link(docs, words, percent), "near")
+    gone = _keep_few(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    twice = _keep_few(found.where("kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "twice")
     small = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
     stay = docs.join(small(gone), "doc_id", "left_anti")
     if twice.isEmpty():

@@ -774,3 +774,20 @@ def test_long_rows_of_children_are_matched_as_short_ones(monkeypatch):
             assert op6._align(a, b, {}) == short
     a, b = (op6.shape([op6.parse("<div>" + rows + "</div>")]) for rows in ("<b>0</b>" + "<p>1</p><h2>2</h2>" * 300, "<p>1</p><h2>2</h2>" * 300 + "<b>0</b>"))
     assert op6.match(a, b, {})[0] == 602  # the root, the div and all but the one that moved
+
+
+def test_tables_of_the_rounds_are_few_files(spark):
+    few = 2 * spark.sparkContext.defaultParallelism
+    links = spark.range(5000).repartition(211, "id").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    kept = op10._keep_few(links, "links")
+    assert len(kept.inputFiles()) <= few and sorted(kept.collect()) == sorted(links.collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        roots = op10.components(links.where("a % 10 <> 9"))
+        assert len(roots.inputFiles()) <= few
+        assert {tuple(r) for r in roots.collect()} == {(i, i - i % 10) for i in range(5000) if i % 10}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
