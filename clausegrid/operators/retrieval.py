@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -219,37 +222,96 @@ def text_index(chunks: DataFrame) -> DataFrame:
     return rows.groupBy("workspace_id", "term", "chunk_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-#: Files of a written index: terms are dealt by their hash.
-INDEX_BUCKETS = 64
+#: Words of a segment of a written index, about.
+SEGMENT_WORDS = 2_000_000
+
+
+def _segment_type(chunks: DataFrame) -> t.StructType:
+    places = t.ArrayType(t.IntegerType())
+    return t.StructType([
+        t.StructField("segment", t.LongType()), t.StructField("workspace_id", chunks.schema["workspace_id"].dataType), t.StructField("term", t.StringType()),
+        t.StructField("places", places), t.StructField("counts", places), t.StructField("chunk_ids", t.ArrayType(chunks.schema["chunk_id"].dataType))])
+
+
+def _segment(number: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """The rows of one segment: first the chunks of every workspace (term null, counts are their lengths), then the places and counts of every term.
+    `parts`: workspaces, ids and sizes of some chunks, and their words."""
+    spaces, ids, sizes, words = zip(*parts)
+    firsts, coded, sizes = pa.concat_arrays(spaces).dictionary_encode(), pa.concat_arrays(words).dictionary_encode(), np.concatenate(sizes)
+    n, space = len(sizes), firsts.indices.to_numpy().astype(np.int64)
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place_of = np.empty(len(order), np.int64)
+    place_of[order] = np.arange(len(order))
+    row = np.repeat(np.arange(n), sizes)
+    keys, counts = np.unique((space[row] * len(order) + place_of[coded.indices.to_numpy()]) * n + row, return_counts=True)
+    groups = keys // n
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    by_space = np.argsort(space, kind="stable")
+    held = np.flatnonzero(np.diff(space[by_space], prepend=-1))
+
+    def lists(values: pa.Array, at: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(at, len(values)).astype(np.int32)), values)
+
+    def ints(values: np.ndarray) -> pa.Array:
+        return pa.array(values.astype(np.int32))
+
+    ids = lists(pa.concat_arrays(ids).take(pa.array(by_space)), held)
+    terms = coded.dictionary.take(pa.array(order)).cast(pa.string())
+    columns = [
+        pa.array(np.full(len(held) + len(starts), number, np.int64)),
+        firsts.dictionary.take(pa.array(np.concatenate([space[by_space][held], groups[starts] // len(order)]))),
+        pa.concat_arrays([pa.nulls(len(held), pa.string()), terms.take(pa.array(groups[starts] % len(order)))]),
+        pa.concat_arrays([lists(ints(by_space), held), lists(ints(keys % n), starts)]),
+        pa.concat_arrays([lists(ints(sizes[by_space]), held), lists(ints(counts), starts)]),
+        pa.concat_arrays([ids, pa.nulls(len(starts), ids.type)])]
+    whole = pa.RecordBatch.from_arrays(columns, names=["segment", "workspace_id", "term", "places", "counts", "chunk_ids"])
+    for at in range(0, whole.num_rows, 65_536):
+        yield whole.slice(at, 65_536)
+
+
+def text_segments(chunks: DataFrame, words: int = SEGMENT_WORDS) -> DataFrame:
+    """Rows of an inverted index, made from the chunks as they come: a task holds one segment at a time, of about so many words."""
+    content, stop, step = re.compile(b"[a-z0-9]+"), {w.encode() for w in K.STOP_WORDS}, min(256, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, parts = TaskContext.get().partitionId() << 32, 0, []
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                spaces, ids, texts = whole.slice(at, step).columns
+                found = [[w for w in content.findall(x) if w not in stop] for x in texts.cast(pa.binary()).fill_null(b"").to_pylist()]
+                sizes = np.array([len(x) for x in found])
+                live = pa.array(sizes > 0)
+                parts.append((spaces.filter(live), ids.filter(live), sizes[sizes > 0], pa.array([w for x in found for w in x], pa.binary())))
+                held += int(sizes.sum())
+                if held >= words:
+                    yield from _segment(number, parts)
+                    number, held, parts = number + 1, 0, []
+        if held:
+            yield from _segment(number, parts)
+
+    rows = chunks.filter(F.col("workspace_id").isNotNull()).select("workspace_id", "chunk_id", F.lower("text").alias("text"))
+    return rows.mapInArrow(run, _segment_type(chunks))
 
 
 class TextIndex:
-    """A written inverted index: `postings` in buckets by the hash of the term, `terms` with their document counts, `corpus` with each workspace's
-    number of chunks and mean length. A batch of questions opens the buckets of its own terms only."""
+    """A written inverted index, in segments of chunks: `lists` (segment, workspace_id, term, places, counts) says at which places of its segment a
+    term occurs, in ascending order, and how often; `chunks` (segment, place, chunk_id, dl) which chunk a place holds and its length; `corpus` each
+    workspace's number of chunks and mean length. A term's document count is the number of its places."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self.terms, self.corpus = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/corpus")
-
-    def postings(self, wanted: DataFrame) -> DataFrame:
-        """workspace_id, term, chunk_id, tf, dl of the terms in `wanted`."""
-        buckets = [r[0] for r in wanted.select(_bucket("term").alias("bucket")).distinct().collect()]  # at most INDEX_BUCKETS numbers
-        rows = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(buckets)).drop("bucket")
-        return rows.join(wanted.select("term").distinct(), "term", "left_semi")
-
-
-def _bucket(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
-
-
-def write_text_index(chunks: DataFrame, path: str) -> TextIndex:
-    """Write the index of `chunks` under `path`."""
-    rows = text_index(chunks).withColumn("bucket", _bucket("term"))
-    rows.repartition("bucket", "workspace_id").sortWithinPartitions("bucket", "term", "workspace_id", "chunk_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = chunks.sparkSession.read.parquet(f"{path}/postings")
-    index.groupBy("workspace_id", "term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
-    corpus = index.groupBy("workspace_id", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    corpus.write.parquet(f"{path}/corpus")
+        rows = spark.read.parquet(path)
+        self.lists = rows.filter("term IS NOT NULL").drop("chunk_ids")
+        held = rows.filter("term IS NULL")
+        self.chunks = held.select("segment", F.explode(F.arrays_zip("places", "chunk_ids", "counts")).alias("c")).select(
+            "segment", F.col("c.places").alias("place"), F.col("c.chunk_ids").alias("chunk_id"), F.col("c.counts").alias("dl"))
+        words = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+        self.corpus = held.groupBy("workspace_id").agg(F.sum(F.size("places")).alias("n"), F.sum(words).alias("words")).select(
+            "workspace_id", "n", (F.col("words") / F.col("n")).alias("avgdl"))
+
+
+def write_text_index(chunks: DataFrame, path: str, words: int = SEGMENT_WORDS) -> TextIndex:
+    """Write the index of `chunks` under `path`: every task writes the segments of the chunks it reads, nothing is shuffled."""
+    text_segments(chunks, words).write.parquet(path)
     return TextIndex(chunks.sparkSession, path)
 
 
@@ -274,35 +336,43 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def fts_topk(questions: DataFrame, chunks: DataFrame, k: int = K.CANDIDATES, index: TextIndex | None = None) -> DataFrame:
     """Top k chunks that satisfy the question, ranked by BM25 within the question's workspace.
 
-    The rarest term of every alternative selects the candidates; only those are looked up
-    for the other terms, by an equi-join on (chunk, term), so frequent terms never fan out.
+    The rarest term of every alternative selects the candidates; only those are looked up for the other terms, by an equi-join on (chunk, term),
+    or on (segment, term) with the term's places in a written index, so frequent terms never fan out.
     """
     asked = question_terms(questions)
     key = ["question_id", "workspace_id", "alt"]
     terms = asked.filter(~F.col("negated")).select(*key, F.explode("words").alias("term")).distinct()
-    wanted = terms.select("term").distinct()
+    wanted = terms.select("workspace_id", "term").distinct()
     if index is None:
         postings = text_index(chunks)
         corpus = postings.groupBy("workspace_id", "chunk_id").agg(F.max("dl").alias("dl")).groupBy("workspace_id").agg(
             F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        postings = postings.join(wanted, "term", "left_semi")
+        postings = postings.join(wanted, ["workspace_id", "term"], "left_semi")
         df = postings.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
     else:
-        postings, corpus, df = index.postings(wanted), index.corpus, index.terms
+        lists, corpus = index.lists.join(wanted, ["workspace_id", "term"], "left_semi"), index.corpus
+        df = lists.groupBy("workspace_id", "term").agg(F.sum(F.size("places")).alias("df"))
     rated = terms.join(df, ["workspace_id", "term"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rated.groupBy(*key).agg(F.min_by("term", F.struct("df", "term")).alias("term"), F.count("*").alias("n_terms"))
-    picked = rare.join(postings.select("workspace_id", "term", "chunk_id"), ["workspace_id", "term"]).drop("term")
-    hits = picked.join(rated, key).join(postings.drop("workspace_id"), ["term", "chunk_id"]).join(corpus, "workspace_id")
+    if index is None:
+        picked = rare.join(postings.select("workspace_id", "term", "chunk_id"), ["workspace_id", "term"]).drop("term")
+        hits = picked.join(rated, key).join(postings.drop("workspace_id"), ["term", "chunk_id"])
+    else:
+        picked = rare.join(lists.select("workspace_id", "term", "segment", "places"), ["workspace_id", "term"]).select(
+            *key, "n_terms", "segment", F.explode("places").alias("place")).join(index.chunks, ["segment", "place"])
+        found = picked.join(rated, key).join(lists, ["segment", "workspace_id", "term"]).withColumn("at", F.array_position("places", F.col("place")))
+        hits = found.filter("at > 0").withColumn("tf", F.get("counts", (F.col("at") - 1).cast("int")))
+    hits = hits.join(corpus, "workspace_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(*key, "chunk_id").agg(
         F.count("*").alias("found"), F.max("n_terms").alias("n_terms"), F.round(F.sum(part), 9).alias("score")).filter("found = n_terms")
     strict = asked.filter(F.col("phrase").isNotNull()).groupBy(*key).agg(F.collect_set(F.struct("negated", "phrase")).alias("rules"))
     ruled = scored.join(strict, key, "left")
-    text = chunks.select("chunk_id", F.concat(F.lit(" "), F.array_join(T.tokens("text"), " "), F.lit(" ")).alias("flat"))
+    flat = F.concat(F.lit(" "), F.array_join(T.tokens("text"), " "), F.lit(" "))
     free = ruled.filter(F.col("rules").isNull()).drop("rules")
-    checked = ruled.filter(F.col("rules").isNotNull()).join(text, "chunk_id").filter(F.forall(
-        "rules", lambda r: F.contains(F.col("flat"), F.concat(F.lit(" "), r["phrase"], F.lit(" "))) != r["negated"])).drop("rules", "flat")
+    checked = ruled.filter(F.col("rules").isNotNull()).join(chunks.select("chunk_id", "text"), "chunk_id").withColumn("flat", flat).filter(F.forall(
+        "rules", lambda r: F.contains(F.col("flat"), F.concat(F.lit(" "), r["phrase"], F.lit(" "))) != r["negated"])).drop("rules", "text", "flat")
     best = ordered.stack(free, checked).groupBy("question_id", "chunk_id").agg(F.max("score").alias("score"))
     return ordered.top_n(best, ["question_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
