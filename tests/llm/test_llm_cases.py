@@ -323,6 +323,17 @@ def test_children_of_one_kind_stay_apart():
     assert [len(k.constant()) for k in total.kids] == [1, 0, 1, 1] and max(len(k.texts) for k in total.kids) <= op6.KEPT
 
 
+def test_a_template_forgets_no_node():
+    word = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    own = lambda k: "".join(f'<div class="{word(1000 * k + j)}"><b>{k}</b></div>' for j in range(30))
+    rare = '<section class="rare"><p>Printed in Ghent</p></section>'
+    total = None
+    for k in range(100, 160):  # 3600 nodes that only one page has, the rare one on the first and on the last page
+        total = op6._joined(total, op6.shape([op6.parse(own(k) + (rare if k in (100, 159) else ""))]))
+    found = [n for n in total.kids if n.kind == "section.rare"]
+    assert [(n.pages, len(n.kids[0].constant())) for n in found] == [(2, 1)] and total.count() == 1 + 60 * 60 + 2
+
+
 def test_every_varying_slot_stays():
     assert op6.extract(f"<body><h1>Title</h1><p>Lead</p><div class=text>{'long ' * 200}</div></body>") == "Title Lead " + ("long " * 200).strip()
     assert op6.extract("<main><article>one</article><article>two, longer</article></main><p>last</p>") == "one two, longer last"
