@@ -245,17 +245,22 @@ def complete_coverage(fields: DataFrame, versions: DataFrame, prompt_version: st
 
     `searched`: dv_id, sections (the comma-joined references that `assemble_context` gives); a version without a row was not searched."""
     specs = F.array(*[
-        F.struct(F.lit(k).alias("field_key"), F.lit(label).alias("label"), F.lit(g).alias("field_group"))
-        for k, label, g in K.TARGET_FIELDS])
-    wanted = versions.withColumn("s", F.explode(specs)).select(*versions.columns, "s.*")
-    missing = wanted.join(fields.select("dv_id", "field_key").distinct(), ["dv_id", "field_key"], "left_anti")
+        F.struct(F.lit(k).alias("field_key"), F.lit(label).alias("label"), F.lit(g).alias("field_group"), F.lit(1 << i).cast("long").alias("bit"))
+        for i, (k, label, g) in enumerate(K.TARGET_FIELDS)])
+    # what a version has is one number, a bit a field, which meets the version's row before that becomes a row for each missing field
+    bit = F.coalesce(*[F.when(F.col("field_key") == k, F.lit(1 << i).cast("long")) for i, (k, _, _) in enumerate(K.TARGET_FIELDS)])
+    present = fields.select("dv_id", bit.alias("bit")).filter("bit IS NOT NULL").groupBy("dv_id").agg(F.bit_or("bit").alias("__present"))
+    rows = versions.join(present, "dv_id", "left")
     none = F.array().cast("array<string>")
     if searched is None:
-        missing = missing.withColumn("searched_sections", none)
+        rows = rows.withColumn("searched_sections", none)
     else:
         sections = F.filter(F.split("sections", ","), lambda s: s != "")
-        missing = missing.join(searched.select("dv_id", sections.alias("searched_sections")), "dv_id", "left").withColumn(
+        rows = rows.join(searched.select("dv_id", sections.alias("searched_sections")), "dv_id", "left").withColumn(
             "searched_sections", F.coalesce("searched_sections", none))
+    lacking = F.filter(specs, lambda s: F.coalesce("__present", F.lit(0)).bitwiseAND(s["bit"]) == 0)
+    missing = rows.withColumn("s", F.explode(lacking)).select(
+        "dv_id", "s.field_key", *[c for c in versions.columns if c != "dv_id"], "s.label", "s.field_group", "searched_sections")
     return missing.withColumns({
         "validation_status": F.lit("not_found"), "value_text": F.lit(None).cast("string"),
         "extraction_kind": F.lit("factual"), "confidence": F.lit(0.0), "prompt_version": F.lit(prompt_version)})
